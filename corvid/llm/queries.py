@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import conversations, leakage, splitting, tokens
+from corvid.llm import conversations, leakage, near_duplicates, neighbours, splitting, tokens
 from corvid.session import table
 
 
@@ -20,6 +20,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_pairs(table(spark, d, "chunks"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(table(spark, d, "chunks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -28,6 +40,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found)}
 
 SQL: dict[str, str] = {}
