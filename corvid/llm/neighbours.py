@@ -22,7 +22,7 @@ from corvid.session import prepare, stage
 DIM = 96
 K = 10
 #: Tables and probed buckets of a vector, at no further bits; each further bit adds a table and two probes.
-TABLES, PROBES = 3, 7
+TABLES, PROBES = 3, 9
 #: A further bit of a second rotation halves the buckets when one would hold more rows than this on average.
 BUCKET = 3000
 SEED = 20240229

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import conversations, leakage, near_duplicates, neighbours, splitting, tokens
+from corvid.llm import boilerplate, conversations, leakage, near_duplicates, neighbours, splitting, tokens
 from corvid.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_lines(table(spark, d, "raw_docs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped(table(spark, d, "chats"), table(spark, d, "messages"))
 
@@ -40,6 +44,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found)}
 
 SQL: dict[str, str] = {}
