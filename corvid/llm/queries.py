@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import boilerplate, conversations, leakage, near_duplicates, neighbours, splitting, tokens
+from corvid.llm import boilerplate, conversations, leakage, near_duplicates, neighbours, splitting, subjects, tokens
 from corvid.session import table
 
 
@@ -44,6 +44,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"), table(spark, d, "eval_items"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_composition)}
 
 SQL: dict[str, str] = {}
