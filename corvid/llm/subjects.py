@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.session import prepare, stage
@@ -32,7 +32,9 @@ Z = 1.64
 #: Given labels stay clamped if the graph gives them at least this weight in the document.
 TRUST = 0.1
 #: A term's weight for a subject below this is nothing.
-FAINT = 0.02
+FAINT = 0.1
+#: A term is as good as a longer one that contains it if it is at most this many times as frequent.
+SAME = 1.15
 #: Tables of labels and terms are broadcast up to this many rows; beyond it their joins shuffle.
 BROADCAST_ROWS = 500_000
 GRAM = (2, 4)
@@ -82,7 +84,7 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def verified_terms(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """(term, p0, p1, ...): verified terms with the share of each subject among their labelled documents."""
+    """(term, n, p0, p1, ...): verified terms with their count and the share of each subject among their labelled documents."""
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     lab = labels.groupBy("doc_id").agg(F.collect_set(index[F.col("subject")]).alias("s"))
     n = lab.limit(BROADCAST_ROWS + 1).count()
@@ -116,7 +118,7 @@ def verified_terms(docs: DataFrame, labels: DataFrame, names: list[str]) -> Data
     wide = wide.withColumn("n", total).where(F.col("n") >= F.greatest(F.lit(float(TERM_DOCS)), F.lit(TERM_SHARE * n)))
     p, m = best / F.col("n"), F.col("n")
     low = (p + Z * Z / (2 * m) - Z * F.sqrt(p * (1 - p) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
-    return wide.where(low >= PURITY).select("term", *[(F.col(f"c{i}") / F.col("n")).alias(f"p{i}") for i in range(len(names))])
+    return wide.where(low >= PURITY).select("term", "n", *[(F.col(f"c{i}") / F.col("n")).alias(f"p{i}") for i in range(len(names))])
 
 
 def term_hits(docs: DataFrame, terms: list[str], skip: set[str]) -> DataFrame:
@@ -165,31 +167,53 @@ def term_hits(docs: DataFrame, terms: list[str], skip: set[str]) -> DataFrame:
                 [b.column(0), pa.array(n, pa.int32()), *[pa.array(x, ints) for x in (at, term, only, tf)]], ["doc_id", "n", "at", "term", "only", "tf"]
             )
 
+    prepare(spark)
     out = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(find, "doc_id bigint, n int, at array<int>, term array<int>, only array<int>, tf array<int>")
     return out.where("n > 0")
 
 
-def propagate(edges: DataFrame, start: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(term, s, p): term weights after ``rounds`` of propagation over ``edges`` (doc_id, term, tf) from ``start`` (term, s, p).
+def closed(rows: list[tuple[str, int]]) -> list[bool]:
+    """For terms with their counts, whether each is kept: a term falls out if a longer one that contains it (a word of a pair, a
+    run of a longer Chinese run) is nearly as frequent, as both would say the same twice."""
+    counts = dict(rows)
+    gone: set[str] = set()
+    for term, n in rows:
+        if " " in term:
+            parts = term.split(" ")
+        elif "一" <= term[0] <= "鿿":
+            parts = [term[a:b] for a in range(len(term)) for b in range(a + GRAM[0], len(term) + 1) if b - a < len(term)]
+        else:
+            continue
+        gone.update(q for q in parts if counts.get(q, 1 << 60) <= SAME * n)
+    return [t not in gone for t, _ in rows]
+
 
-    A round gives each document the normalised weights of its terms; seeds (doc_id, s) that the graph confirms are
-    clamped. Each edge then carries the subjects that document and term agree on back to the term. The edges are
-    shuffled once by document; all sums of a document are made in place, those of a term partly before their shuffle.
+def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, rounds: int = ROUNDS) -> DataFrame:
+    """(term, p): term weights, one for each subject, after ``rounds`` of propagation.
+
+    ``hits`` (doc_id, only, tf) holds the edges of each document, ``start`` (term, p array<double>) the first weights, ``seeds``
+    (doc_id, given array<double>) the given labels. A round gives each document the normalised weights of its terms; seeds
+    that the graph confirms are clamped. Each edge then carries the subjects that document and term agree on back to the
+    term. All sums are made before the shuffle as far as the rows of a task allow.
     """
+    edges = lambda df, *more: df.select("doc_id", *more, F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", *more, F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
+    wide = lambda v: F.array(*[F.coalesce(F.sum(F.when(F.col("s") == i, F.col(v))), F.lit(0.0)) for i in range(count)])
+    part = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda u, v: u + v))
     small = start.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    edges = edges.join(seeds.groupBy("doc_id").agg(F.collect_set("s").alias("given")), "doc_id", "left")
     terms = start
-    doc = Window.partitionBy("doc_id")
     for r in range(rounds):
-        near = edges.repartition("doc_id").join(F.broadcast(terms) if small else terms, "term").withColumn("w", F.col("tf") * F.col("p"))
-        near = near.withColumn("d", F.sum("w").over(Window.partitionBy("doc_id", "s"))).withColumn("d", F.col("d") / F.sum("w").over(doc))
-        near = near.withColumn("ok", F.coalesce(F.array_contains("given", F.col("s")), F.lit(False)) & (F.col("d") >= TRUST))
-        clamped = F.max("ok").over(doc)
-        near = near.withColumn("d", F.when(clamped, F.when(F.col("ok"), 1.0).otherwise(0.0)).otherwise(F.col("d"))).withColumn("y", F.col("p") * F.col("d"))
-        near = near.withColumn("z", F.sum("y").over(Window.partitionBy("doc_id", "term"))).where("z > 0")
-        got = near.groupBy("term", "s").agg(F.sum(F.col("tf") * F.col("y") / F.col("z")).alias("q"))
-        p = F.col("q") / F.sum("q").over(Window.partitionBy("term"))
-        terms = stage(got.withColumn("p", p).where(F.col("p") >= FAINT).select("term", "s", "p"), f"terms{r}")
+        side = F.broadcast(terms) if small else terms
+        near = edges(hits).join(side, "term").select("doc_id", F.posexplode(F.transform("p", lambda x: x * F.col("tf"))).alias("s", "w")).where("w > 0")
+        docs = near.groupBy("doc_id", "s").agg(F.sum("w").alias("w")).groupBy("doc_id").agg(wide("w").alias("d"))
+        docs = docs.select("doc_id", part(F.col("d")).alias("d")).join(seeds, "doc_id", "left")
+        ok = F.zip_with("given", "d", lambda g, x: F.when((g > 0) & (x >= TRUST), 1.0).otherwise(0.0))
+        docs = docs.withColumn("ok", ok).select("doc_id", F.when(F.exists("ok", lambda x: x > 0), part(F.col("ok"))).otherwise(F.col("d")).alias("d"))
+        back = edges(hits.select("doc_id", "only", "tf").join(docs, "doc_id"), "d").join(side, "term")
+        back = back.select("term", "tf", F.zip_with("p", "d", lambda a, b: a * b).alias("y")).where(F.exists("y", lambda x: x > 0))
+        back = back.select("term", F.posexplode(F.transform(part(F.col("y")), lambda x: x * F.col("tf"))).alias("s", "q")).where("q > 0")
+        got = back.groupBy("term", "s").agg(F.sum("q").alias("q")).groupBy("term").agg(wide("q").alias("q"))
+        got = got.select("term", F.transform(part(F.col("q")), lambda x: F.when(x >= FAINT, x).otherwise(0.0)).alias("p"))
+        terms = stage(got, f"terms{r}")
     return terms
 
 
@@ -207,6 +231,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_te
     verified = stage(verified_terms(docs, seeds, names).orderBy("term"), "verified")
     # At most (terms of a text) / TERM_SHARE rows: a list for the automaton.
     rows = verified.orderBy("term").collect()
+    rows = [r for r, keep in zip(rows, closed([(r["term"], r["n"]) for r in rows])) if keep]
     terms = [r["term"] for r in rows]
     skip = set()
     if skip_texts is not None:
@@ -214,15 +239,14 @@ def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_te
             skip.update(sentences_of(r["text"]))
     hits = stage(term_hits(docs, terms, skip), "hits")
     count = len(names)
-    start = spark.createDataFrame(
-        [(i, k, float(r[f"p{k}"])) for i, r in enumerate(rows) for k in range(count) if r[f"p{k}"] >= FAINT], "term int, s int, p double"
-    )
-    edges = hits.select("doc_id", F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
-    index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
-    final = propagate(edges, start, seeds.select("doc_id", index[F.col("subject")].alias("s"))).where("p >= 0.5").collect()
+    start = spark.createDataFrame([(i, [p if p >= FAINT else 0.0 for p in (float(r[f"p{k}"]) for k in range(count))]) for i, r in enumerate(rows)], "term int, p array<double>")
+    given = seeds.groupBy("doc_id").agg(F.array(*[F.max(F.when(F.col("subject") == n, 1.0).otherwise(0.0)) for n in names]).alias("given"))
+    final = propagate(hits, start, given, count).collect()
     best = np.full(len(terms), -1, np.int32)
     for r in final:
-        best[r["term"]] = r["s"]
+        k = int(np.argmax(r["p"]))
+        if r["p"][k] >= 0.5:
+            best[r["term"]] = k
     weight = np.array([len(t) for t in terms], np.float64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
