@@ -174,7 +174,8 @@ def sse_events(c: str | Column) -> Column:
 
     def one(b):
         lines = F.split(b, "\n")
-        name = F.element_at(F.filter(lines, lambda x: x.startswith("event:")), -1)
+        names = F.filter(lines, lambda x: x.startswith("event:"))
+        name = F.get(names, F.size(names) - 1)
         data = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: strip(F.substr(x, F.lit(6)))), "\n")
         return F.struct(
             F.coalesce(strip(F.substr(name, F.lit(7))), F.lit("message")).alias("event"),

@@ -110,3 +110,27 @@ def test_retrieve(spark):
     assert retrieval.retrieve(d, "id", "t", None, "id", "v", q, 3).count() == 3
     w = spark.createDataFrame([("pod limit",)], "q string").select(retrieval.stand_in_rewrite(F.col("q")).alias("j"))
     assert tuple(retrieval.parse_rewrites(w, "j").select("semantic_query", "keywords").first()) == ("pod limit", "pod limit")
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_against_brute_force(spark, rows):
+    import random
+
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abß中") for _ in range(rng.randrange(1, 8))) for _ in range(120)})
+    v = spark.createDataFrame([(w,) for w in words], "term string")
+    t = v.limit(30)
+    want = []
+    for (a,) in t.collect():
+        allowed = 0 if len(a) <= 2 else 1 if len(a) <= 5 else 2
+        near = sorted((edits(a, b), b) for b in words if b[0] == a[0] and edits(a, b) <= allowed)[:50]
+        want += [(a, b, e) for e, b in near]
+    assert rows(keyword.fuzzy_terms(t, v)) == sorted(want, key=str)
