@@ -54,4 +54,20 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_composition)}
 
-SQL: dict[str, str] = {}
+_EDGE = r"^[\s\v\p{Z}\x{85}]+|[\s\v\p{Z}\x{85}]+$"
+_WORDS = r"regexp_extract_all({}, '[\x{{4E00}}-\x{{9FFF}}]|(?:[^\P{{L}}\x{{4E00}}-\x{{9FFF}}]|\p{{N}})+')"
+_GRAMS = "(SELECT {0}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: lower(array_to_string(w[i:i+11], ' ')))) AS g FROM (SELECT {0}, {1} AS w FROM {2}))"
+
+SQL: dict[str, str] = {
+    "p2_found": rf"""WITH v AS (SELECT *, lower(chat_id) AS c, lower(regexp_replace(role, '{_EDGE}', '', 'g')) AS r, lower(regexp_replace(message_type, '{_EDGE}', '', 'g')) AS t
+        FROM messages WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, c DESC NULLS LAST, r DESC NULLS LAST) = 1),
+    m AS (SELECT c, created_at, t, CASE WHEN r IN ('user', 'human', 'customer') THEN 1 WHEN r IN ('assistant', 'ai', 'bot') THEN 2 WHEN r = 'system' THEN 0 END AS k,
+        content IS NULL OR NOT regexp_matches(content, '[^\s\v\p{{Z}}\x{{85}}]') AS blank FROM v WHERE c IS NOT NULL),
+    b AS (SELECT c, bool_or(created_at IS NULL OR blank OR k IS NULL OR k = 2 AND coalesce(t = 'error', false)) AS bad FROM m GROUP BY c),
+    s AS (SELECT c, k, row_number() OVER (PARTITION BY c ORDER BY created_at, k) AS n FROM m WHERE k > 0),
+    o AS (SELECT c FROM s GROUP BY c HAVING count(*) % 2 = 0 AND bool_and(k = CASE WHEN n % 2 = 1 THEN 1 ELSE 2 END)),
+    u AS (SELECT lower(id) AS c FROM chats WHERE id IS NOT NULL)
+    SELECT c AS chat_id FROM (SELECT c FROM u UNION SELECT c FROM m) WHERE c NOT IN (SELECT u.c FROM u JOIN b ON b.c = u.c AND NOT bad JOIN o ON o.c = u.c)""",
+    "p3_found": f"SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND length(regexp_replace(content, '{_EDGE}', '', 'g')) > 1024",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format('doc_id', _WORDS.format('text'), 'documents')} JOIN {_GRAMS.format('item_id', _WORDS.format('text'), 'eval_items')} USING (g)",
+}
