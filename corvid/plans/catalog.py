@@ -417,7 +417,7 @@ def index_upsert(spark, d):
 
 # ---------------------------------------------------------------- keyword search and fusion
 
-QUERY_SQL = "SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL"
+QUERY_SQL = "SELECT doc_id AS query_id, coalesce(title, substr(text, 1, 60)) AS query FROM documents WHERE doc_id % 100 = 0 AND coalesce(title, text) IS NOT NULL"
 BM25 = f"""WITH tok AS (SELECT doc_id, {sql_tokens("coalesce(text, '')")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avglen FROM tok),
     qt AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS term FROM ({QUERY_SQL})),
     tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
@@ -428,7 +428,8 @@ RANKED = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _queries(spark, d):
-    return table(spark, d, "documents").where("doc_id % 100 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    q = table(spark, d, "documents").where("doc_id % 100 = 0 AND coalesce(title, text) IS NOT NULL")
+    return q.select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.substring("text", 1, 60)).alias("query"))
 
 
 @query(f"{BM25} SELECT * FROM ({RANKED}) WHERE rank <= 10")

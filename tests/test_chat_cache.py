@@ -42,7 +42,7 @@ def test_search_counts(messages, chats, rows):
 
 def test_history(messages, chats, rows):
     got = rows(chat.history(chats, messages).select("user_id", "chat_id", "title", "n_messages"))
-    assert got == [("u1", "c1", "text 6%", 20), ("u2", "c3", "named", 0)]
+    assert got == [("u1", "c1", "text 4%", 20), ("u2", "c3", "named", 0)]
 
 
 def test_updates(spark, messages, chats, rows):

@@ -22,7 +22,7 @@ def test_blocks_and_restore(spark):
     assert rows[1]["content"].count("[CODE_BLOCK:code_block_") == 2 and rows[1]["n_codes"] == 2 and rows[2]["content"] == ""
     blocks = C.code_blocks(df, "id", "html")
     back = {r["id"]: r["content"] for r in C.restore(text, "id", "content", blocks).collect()}
-    assert "```" + "x" * 501 + "```" in back[1] and "CODE_BLOCK" not in back[1]
+    assert "\n```" + "x" * 501 + "\n```\n" in back[1] and "CODE_BLOCK" not in back[1]
     assert C.associate(text, "id", "content", blocks).collect()[0]["code_ids"] == sorted(r["code_id"] for r in got)
     unknown = spark.createDataFrame([(9, "see [CODE_BLOCK: nope] [1]"), (8, None)], "id int, content string")
     assert {r["id"]: r["content"] for r in C.restore(unknown, "id", "content", blocks).collect()} == {9: "see [CODE_BLOCK: nope] [1]", 8: None}
