@@ -196,24 +196,26 @@ def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, r
     that the graph confirms are clamped. Each edge then carries the subjects that document and term agree on back to the
     term. All sums are made before the shuffle as far as the rows of a task allow.
     """
-    edges = lambda df, *more: df.select("doc_id", *more, F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", *more, F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
     wide = lambda v: F.array(*[F.coalesce(F.sum(F.when(F.col("s") == i, F.col(v))), F.lit(0.0)) for i in range(count)])
     part = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda u, v: u + v))
-    small = start.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    edges = hits.select("doc_id", F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
+    send = F.broadcast if start.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     terms = start
     for r in range(rounds):
-        side = F.broadcast(terms) if small else terms
-        near = edges(hits).join(side, "term").select("doc_id", F.posexplode(F.transform("p", lambda x: x * F.col("tf"))).alias("s", "w")).where("w > 0")
-        docs = near.groupBy("doc_id", "s").agg(F.sum("w").alias("w")).groupBy("doc_id").agg(wide("w").alias("d"))
+        long = terms.select("term", F.posexplode("p").alias("s", "p")).where("p > 0")
+        docs = edges.join(send(long), "term").groupBy("doc_id", "s").agg(F.sum(F.col("tf") * F.col("p")).alias("w")).groupBy("doc_id").agg(wide("w").alias("d"))
         docs = docs.select("doc_id", part(F.col("d")).alias("d")).join(seeds, "doc_id", "left")
         ok = F.zip_with("given", "d", lambda g, x: F.when((g > 0) & (x >= TRUST), 1.0).otherwise(0.0))
         docs = docs.withColumn("ok", ok).select("doc_id", F.when(F.exists("ok", lambda x: x > 0), part(F.col("ok"))).otherwise(F.col("d")).alias("d"))
-        back = edges(hits.select("doc_id", "only", "tf").join(docs, "doc_id"), "d").join(side, "term")
+        # A term of one subject hears nothing new: whatever its documents say, all of it agrees on that subject.
+        several = F.size(F.filter("p", lambda x: x > 0)) > 1
+        back = edges.join(send(terms.where(several)), "term").join(docs, "doc_id")
         back = back.select("term", "tf", F.zip_with("p", "d", lambda a, b: a * b).alias("y")).where(F.exists("y", lambda x: x > 0))
         back = back.select("term", F.posexplode(F.transform(part(F.col("y")), lambda x: x * F.col("tf"))).alias("s", "q")).where("q > 0")
         got = back.groupBy("term", "s").agg(F.sum("q").alias("q")).groupBy("term").agg(wide("q").alias("q"))
         got = got.select("term", F.transform(part(F.col("q")), lambda x: F.when(x >= FAINT, x).otherwise(0.0)).alias("p"))
-        terms = stage(got, f"terms{r}")
+        sure = terms.where(~several).select("term", F.transform("p", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("p"))
+        terms = stage(got.unionByName(sure), f"terms{r}")
     return terms
 
 
@@ -251,26 +253,29 @@ def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_te
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows_, subj = [], []
-            for row, (n, at, term) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if not term:
-                    continue
-                term = np.array(term)
-                s = best[term]
-                ok = s >= 0
-                if not ok.any():
-                    continue
-                score = np.zeros((n, count))
-                np.add.at(score, (np.array(at)[ok], s[ok]), weight[term[ok]])
-                whole = score.sum(axis=0)
-                treated = score.max(axis=1) > 0
-                # A tie within a sentence goes to the subject that is stronger in the document.
-                top = (score[treated] + 1e-3 * whole / (1 + whole.max())).argmax(axis=1)
-                got = np.bincount(top, minlength=count)
-                for k in np.flatnonzero((got >= share * treated.sum()) & (got >= LEAST_OF_ALL * n)):
-                    rows_.append(row)
-                    subj.append(names[k])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows_, pa.int64())), pa.array(subj, pa.string())], ["doc_id", "subject"])
+            if not b.num_rows:
+                continue
+            n = b.column(1).to_numpy().astype(np.int64)
+            first = np.cumsum(n) - n
+            lists = b.column(3)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            flat = lambda c: c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()]
+            at, term = flat(b.column(2)).astype(np.int64), flat(lists).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            s = best[term].astype(np.int64)
+            ok = s >= 0
+            row, sentence, s, w = row[ok], (first[row] + at)[ok], s[ok], weight[term[ok]]
+            score = np.bincount(sentence * count + s, weights=w, minlength=int(n.sum()) * count).reshape(-1, count)
+            whole = np.bincount(row * count + s, weights=w, minlength=b.num_rows * count).reshape(-1, count)
+            treated = score.max(axis=1) > 0
+            owner = np.repeat(np.arange(b.num_rows), n)
+            # A tie within a sentence goes to the subject that is stronger in the document.
+            tie = 1e-3 * whole / (1 + whole.max(axis=1, keepdims=True))
+            top = (score + tie[owner]).argmax(axis=1)
+            got = np.bincount(owner[treated] * count + top[treated], minlength=b.num_rows * count).reshape(-1, count)
+            of = got.sum(axis=1, keepdims=True)
+            r, k = np.nonzero((got > 0) & (got >= share * of) & (got >= LEAST_OF_ALL * n[:, None]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([names[x] for x in k], pa.string())], ["doc_id", "subject"])
 
     return hits.select("doc_id", "n", "at", "term").mapInArrow(judge, "doc_id bigint, subject string").distinct()
 
