@@ -132,6 +132,30 @@ def html_pages(df: DataFrame, key: str, html: str, selector: str | None = None,
     return df.select(key, html).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, content string, n_codes int")
 
 
+def code_positions(df: DataFrame, key: str, html: str, preview: int = 50) -> DataFrame:
+    """(key, idx, parent, n_siblings, language, preview): where each code element stands: its parent's tag, the number of the parent's
+    other elements, and the first characters of its text with '...' where cut."""
+    prepare(df.sparkSession)
+
+    def one(page):
+        for i, n in enumerate([n for n in H.parse(page).walk() if n.tag == "code"]):
+            code = H.text_of(n).strip()
+            yield i, n.parent.tag or "", sum(c.tag is not None for c in n.parent.children) - 1, n.attrs.get("class", ""), n.parent.attrs.get("class", ""), code
+
+    types = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches):
+        for b in batches:
+            rows = [(row, *x) for row, page in enumerate(b.column(1).to_pylist()) for x in one(page)]
+            cols = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], types)]], [key, "idx", "parent", "n_siblings", "cls", "parent_cls", "code"])
+
+    raw = df.select(key, html).where(F.lower(html).contains("<code")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, idx int, parent string, n_siblings int, cls string, parent_cls string, code string")
+    lang = detect_language("code", F.nullif(F.col("cls"), F.lit("")), F.nullif(F.col("parent_cls"), F.lit("")), long_list=True)
+    cut = F.when(F.length("code") > preview, F.concat(F.substring("code", 1, preview), F.lit("..."))).otherwise(F.col("code"))
+    return raw.select(key, "idx", "parent", "n_siblings", lang.alias("language"), cut.alias("preview"))
+
+
 def placeholders(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, code_id): the distinct blocks a chunk refers to."""
     return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1)))).alias("code_id")).select(key, F.trim("code_id").alias("code_id"))

@@ -96,3 +96,14 @@ def highlights(hits: DataFrame, text: str, query: str, k: int, fragments: int =
         return F.aggregate(qt, x, lambda a, q: F.regexp_replace(a, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}<])("), q, F.lit(r")(?![\p{L}\p{N}>])")), F.lit("<em>$1</em>")))
 
     return hits.withColumn("highlights", F.transform(F.slice(hit, 1, fragments), wrap))
+
+
+def keywords(docs: DataFrame, doc_id: str, text: str, k: int = 3) -> DataFrame:
+    """(doc_id, rank, term, score): the ``k`` terms of each document with the highest tf * ln(N / df), six places, ties by term:
+    a deterministic stand-in for a model's keywords and title words. Documents without terms have no rows."""
+    tf = postings(docs, doc_id, text)
+    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    scored = tf.join(df_, "term").join(F.broadcast(n)).select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6).alias("score"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "score")

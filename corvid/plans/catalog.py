@@ -519,6 +519,57 @@ def rag_context(spark, d):
     return retrieval.contexts(r, q)
 
 
+@query(
+    f"""WITH tok AS (SELECT doc_id, unnest({sql_tokens("coalesce(text, '')")}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT doc_id, term, round(tf * ln(n / df), 6) AS score FROM tf JOIN df USING (term), (SELECT count(*) AS n FROM documents))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term)::INT AS rank, term, score FROM s QUALIFY rank <= 3"""
+)
+def doc_keywords(spark, d):
+    return keyword.keywords(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""SELECT query_id, rank, vec_id AS id, coalesce(title, 'Unknown document') AS title, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview
+    FROM ({TOPK}) JOIN documents ON doc_id = vec_id"""
+)
+def document_search(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("Unknown document")).alias("title"), T.preview("text").alias("preview"))
+    return _topk(spark, d).join(docs, "id").select("query_id", "rank", "id", "title", "preview")
+
+
+@query(f"{RERANK} SELECT query_id, count(*) AS n, sum(length(content))::BIGINT AS n_chars FROM x WHERE rank <= 10 GROUP BY query_id")
+def context_unbounded(spark, d):
+    r = _reranked(spark, d).withColumn("score", F.col("rerank_score"))
+    parts = context.context_parts(r, max_docs=1 << 30, max_doc=0, max_total=0)
+    body = F.length(F.regexp_extract("part", "(?s)^.*?\n内容: (.*)\n-{50}$", 1))
+    return parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(body.cast("bigint")).alias("n_chars"))
+
+
+@query()
+def prompt_messages(spark, d):
+    r = _reranked(spark, d).withColumn("score", F.col("rerank_score"))
+    q = _queries(spark, d)
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    p = context.context(r, q).join(q, "query_id").select("query_id", F.posexplode(context.prompt("Answer from the context.", none, F.col("context"), F.col("query"))).alias("seq", "m"))
+    return p.select("query_id", "seq", "m.role", F.md5("m.content").alias("hash"))
+
+
+@query()
+def source_lists(spark, d):
+    return context.source_list(_reranked(spark, d).withColumn("score", F.col("rerank_score"))).select("query_id", F.md5("sources").alias("hash"))
+
+
+@query()
+def stream_events(spark, d):
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("title").alias("answer"), F.lit(None).cast("string").alias("error"))
+    return context.stream_events(a)
+
+
+@query()
+def code_positions(spark, d):
+    return code.code_positions(pages_of(spark, d), "page_id", "content")
+
+
 # ---------------------------------------------------------------- chat store
 
 
@@ -563,6 +614,12 @@ def latest_n(spark, d):
     return chat.recent_messages(current(spark, d, "messages"), 20).select("chat_id", "id", "seq")
 
 
+@query(f"SELECT chat_id, id, pos FROM (SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC NULLS LAST, id)::INT AS pos FROM {MESSAGES} WHERE chat_id IS NOT NULL) WHERE pos <= 10")
+def history_window(spark, d):
+    m = current(spark, d, "messages").where("chat_id IS NOT NULL")
+    return chat.page_of_each(m, "chat_id", chat.newest("created_at", "id"), 10).select("chat_id", "id", "pos")
+
+
 @query(f"SELECT c.id AS chat_id, count(m.id) AS n FROM {CHATS} c LEFT JOIN {MESSAGES} m ON m.chat_id = c.id GROUP BY c.id")
 def message_counts(spark, d):
     return chat.message_counts(current(spark, d, "chats"), current(spark, d, "messages"))
