@@ -37,7 +37,8 @@ def kept_paths(df: DataFrame, extensions: list[str] = EXTENSIONS, exclude: list[
 
 
 def read_documents(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, exclude: list[str] = EXCLUDED, recursive: bool = True, any_case: bool = False, on: str = "relative_path") -> DataFrame:
-    """Documents below a folder, one row a file, UTF-8. Unreadable bytes become the replacement character."""
+    """Documents below a folder, one row a file, UTF-8. Unreadable bytes become the replacement character;
+    files of no bytes give no row."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     raw = reader.load(root)
     path = F.regexp_replace("path", "^file:/+", "/")

@@ -25,9 +25,10 @@ def last_seen(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> Da
     return s.groupBy(key).agg(F.max("_ts").alias("last"))
 
 
-def bounded_lists(stream: DataFrame, key: str, item: str, ts: str, n: int = MAX_MESSAGES, ttl: int = TTL_SECONDS, keep: str = "last") -> DataFrame:
+def bounded_lists(stream: DataFrame, key: str, item: str, ts: str, n: int = MAX_MESSAGES, ttl: int = TTL_SECONDS, keep: str = "last", delay: str = "1 hour") -> DataFrame:
     """(key, items, size): each key's list after every batch: the ``n`` newest (or oldest) items since the last pause of more
-    than ``ttl`` seconds. State per key is the list itself, so it is bounded; a key idle for ``ttl`` is forgotten."""
+    than ``ttl`` seconds. State per key is the list itself, so it is bounded; a key whose last item is ``ttl`` seconds
+    behind the watermark is forgotten."""
     kind = dict(stream.dtypes)[key]
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,12 +46,13 @@ def bounded_lists(stream: DataFrame, key: str, item: str, ts: str, n: int = MAX_
                 held.pop(0)
         full = held[:n] if keep == "first" else held
         state.update(([t for t, _ in full], [i for _, i in full]))
-        state.setTimeoutDuration(ttl * 1000)
+        state.setTimeoutTimestamp(max(full[-1][0] // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "items": [",".join(i for _, i in full)], "size": [len(full)]})
 
-    s = stream.where(F.col(key).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(item).cast("string").alias("_item")).where("_us IS NOT NULL")
+    s = stream.where(F.col(key).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).where("_ts IS NOT NULL").withWatermark("_ts", delay)
+    s = s.select(key, "_ts", F.unix_micros("_ts").alias("_us"), F.col(item).cast("string").alias("_item"))
     return s.groupBy(key).applyInPandasWithState(
-        update, f"`{key}` {kind}, items string, size int", "t array<bigint>, i array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, f"`{key}` {kind}, items string, size int", "t array<bigint>, i array<string>", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
