@@ -159,8 +159,10 @@ def nprobe_for(rows: int) -> int:
 
 
 def ivf_train(vectors: DataFrame, id_col: str, vec_col: str, nlist: int = 1024, sample: int = IVF_SAMPLE, rounds: int = 10) -> np.ndarray:
-    """Unit centroids of at most ``nlist`` cells, by spherical k-means on a bounded sample."""
-    rows = usable(vectors, id_col, vec_col).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
+    """Unit centroids of at most ``nlist`` cells, by spherical k-means on a bounded sample of the vectors of the commonest length."""
+    good = usable(vectors, id_col, vec_col)
+    dim = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows = good.where(F.size("v") == (dim["n"] if dim else 0)).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
     x = _unit(np.array([r["v"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
     nlist = min(nlist, max(1, len(x) // 8))
     c = x[np.linspace(0, max(0, len(x) - 1), nlist).astype(int)] if len(x) else x
