@@ -518,21 +518,24 @@ def fit(counted: DataFrame, sample: int = TRAIN_PAGES) -> tuple[LineModel, LineM
     """Line models with and without sight of the boxes, from at most ``sample`` pages whose heading lies in a box; None if
     there are none. The sample is of bounded size whatever the corpus; all else is computed from all pages."""
     rows = counted.where("body > 0").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).toArrow().combine_chunks()
-    D, C, I, Y = [], [], [], []
+    seen: list[tuple] = []
+    bare: list[tuple] = []
     for batch in rows.to_batches():
-        for _, _, h, length, flags, boxes, parents, body, rate, share in rows_of(batch):
+        for r, _, h, length, flags, boxes, parents, body, rate, share in rows_of(batch):
             if not len(h):
                 continue
             y = gold(boxes, body, flags, rate)
-            d, c, i = features(h, length, flags, boxes, parents, body, rate, share)
-            D.append(d)
-            C.append(c)
-            I.append(i)
-            Y.append(y)
-    if not D:
+            seen.append((*features(h, length, flags, boxes, parents, body, rate, share), y))
+            # The model without boxes also meets pages without a heading, and pages without a body.
+            if r % 4 == 0:
+                bare.append((*features(h, length, flags & ~TITLE, boxes, parents, -1, rate, share), y))
+            elif r % 4 == 1 and (y == 0).any():
+                k = y == 0
+                bare.append((*features(h[k], length[k], flags[k] & ~TITLE, boxes[k], parents, -1, rate[k], share[k]), y[k]))
+    if not seen:
         return None
-    D, C, I, Y = (np.concatenate(x) for x in (D, C, I, Y))
-    return LineModel(True).fit(D, C, I, Y), LineModel(False).fit(D, C, I, Y)
+    join = lambda parts: [np.concatenate([x[k] for x in parts]) for k in range(4)]
+    return LineModel(True).fit(*join(seen)), LineModel(False).fit(*join(seen + bare))
 
 
 def main_lines(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:

@@ -71,7 +71,7 @@ def site(spark, n=60, seed=2):
 
 def test_pages(spark, rows):
     data, want = site(spark)
-    data += [data[0], (900, None, None, None, None), (901, "https://site0.test/x", None, "", None), (902, None, "/m/site0.test/y", "<a href='/h'>Home</a>\n<a href='/b'>Blog</a>", None), (None, None, None, "x", None)]
+    data += [data[0], (900, None, None, None, None), (901, "https://site0.test/x", None, "", None), (902, None, "/m/site0.test/y", "<div class='a'>\n<li><a href='/h'>Home</a></li>\n<a href='/b'>Blog</a>\n</div>", None), (None, None, None, "x", None)]
     got = set(rows(B.main_lines(spark.createDataFrame(data, RAW).selectExpr("*", "1 AS site", "2 AS seen"))))
     assert len(got & want) / len(want) > 0.97 and len(got & want) / len(got) > 0.97
     assert not [g for g in got if g[0] >= 900]
