@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.text import tokens
+from corvid.session import stage
 
 K1, B = 1.2, 0.75
 #: A postings side is broadcast only if its terms are at most this many; otherwise the join shuffles on the term.
@@ -40,6 +41,8 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
         .groupBy("term", "doc_id")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     )
+    # Written once: only the queries' terms are left, and two branches below read them.
+    tf = stage(tf, "tf")
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avglen"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
