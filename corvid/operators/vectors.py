@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.vectors import distance_score, l2_normalize, norm
-from corvid.session import prepare
+from corvid.session import prepare, stage
 
 #: Queries are sent to the tasks in blocks of this many; each block is one pass over the vectors.
 QUERY_BLOCK = 4096
-#: Centroids are fitted on at most this many vectors, those of the smallest id hash; every vector is then assigned.
+#: Centroids are fitted on about this many vectors at most, of each length those of the smallest id hash; every vector is then assigned.
 IVF_SAMPLE = 100_000
-# Cells to probe by the number of rows.
+# Cells to probe first, by the number of rows.
 NPROBE = [(1_000, 10), (10_000, 32), (100_000, 64), (None, 128)]
 MODEL_DIMS = {"small": 384, "base": 768, "large": 1024, "mini": 384}
 CONTENT_LIMIT = 65_000
@@ -158,24 +158,42 @@ def nprobe_for(rows: int) -> int:
     return next(p for limit, p in NPROBE if limit is None or rows < limit)
 
 
-def ivf_train(vectors: DataFrame, id_col: str, vec_col: str, nlist: int = 1024, sample: int = IVF_SAMPLE, rounds: int = 10) -> np.ndarray:
-    """Unit centroids of at most ``nlist`` cells, by spherical k-means on a bounded sample of the vectors of the commonest length."""
-    good = usable(vectors, id_col, vec_col)
-    dim = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = good.where(F.size("v") == (dim["n"] if dim else 0)).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
-    x = _unit(np.array([r["v"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
-    nlist = min(nlist, max(1, len(x) // 8))
-    c = x[np.linspace(0, max(0, len(x) - 1), nlist).astype(int)] if len(x) else x
-    for _ in range(rounds if len(x) else 0):
-        own = (x @ c.T).argmax(axis=1)
-        s = np.zeros_like(c)
-        np.add.at(s, own, x)
-        n = np.linalg.norm(s, axis=1, keepdims=True)
-        c = np.where(n > 1e-9, s / np.maximum(n, 1e-9), c)
-    return c
-
-
-def ivf_assign(vectors: DataFrame, id_col: str, vec_col: str, centroids: np.ndarray, cells: int = 1) -> DataFrame:
+def ivf_train(vectors: DataFrame, id_col: str, vec_col: str, nlist: int = 1024, sample: int = IVF_SAMPLE, rounds: int = 10) -> dict[int, np.ndarray]:
+    """Unit centroids by length of vector: at most ``nlist`` cells a length, by spherical k-means on a bounded sample of the
+    vectors, to which each length adds its share."""
+    good = usable(vectors, id_col, vec_col).withColumn("n", F.size("v"))
+    counts = {r["n"]: r["count"] for r in good.groupBy("n").count().collect()}
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, -(-sample * c // max(sample, sum(counts.values()))))])
+    w = Window.partitionBy("n").orderBy(F.xxhash64("id"), "id")
+    rows = good.withColumn("r", F.row_number().over(w)).where(F.col("r") <= share[F.col("n")]).orderBy("n", "r").select("n", "v").collect()
+    out = {}
+    for dim in sorted(counts):
+        x = _unit(np.array([r["v"] for r in rows if r["n"] == dim], np.float64))
+        c = x[np.linspace(0, len(x) - 1, min(nlist, max(1, len(x) // 8))).astype(int)]
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(axis=1)
+            s = np.zeros_like(c)
+            np.add.at(s, own, x)
+            n = np.linalg.norm(s, axis=1, keepdims=True)
+            c = np.where(n > 1e-9, s / np.maximum(n, 1e-9), c)
+        out[dim] = c
+    return out
+
+
+def _by_length(b: pa.RecordBatch, column: int, centroids: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row numbers, unit vectors, centroids, number of the first cell) for each length of vector in the batch that has cells."""
+    flat, off = b.column(column).values.to_numpy(zero_copy_only=False), b.column(column).offsets.to_numpy()
+    size, base = np.diff(off), 0
+    for dim, c in sorted(centroids.items()):
+        at = np.flatnonzero(size == dim)
+        if len(at):
+            yield at, _unit(flat[off[at][:, None] + np.arange(dim)].astype(np.float64)), c, base
+        base += len(c)
+
+
+def ivf_assign(vectors: DataFrame, id_col: str, vec_col: str, centroids: dict[int, np.ndarray], cells: int = 1) -> DataFrame:
     """(id, v, cell): the nearest ``cells`` cells of every usable vector; written partitioned by cell, probes prune files."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -183,29 +201,80 @@ def ivf_assign(vectors: DataFrame, id_col: str, vec_col: str, centroids: np.ndar
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            flat, off = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            c = shared.value
-            sim = _unit(flat[off[0] : off[-1]].reshape(-1, c.shape[1]).astype(np.float64)) @ c.T
-            near = np.argsort(-sim, axis=1, kind="stable")[:, :cells].astype(np.int32)
-            at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel())], ["id", "v", "cell"])
-
-    base = usable(vectors, id_col, vec_col).where(F.size("v") == centroids.shape[1])
+            for at, u, c, base in _by_length(b, 1, shared.value):
+                near = np.argsort(-(u @ c.T), axis=1, kind="stable")[:, :cells].astype(np.int32)
+                rows = pa.array(np.repeat(at, near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near.ravel() + np.int32(base))], ["id", "v", "cell"])
+
+    base = usable(vectors, id_col, vec_col).where(F.size("v").isin(*centroids))
     return base.mapInArrow(run, f"id {dict(vectors.dtypes)[id_col]}, v array<float>, cell int")
 
 
-def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, query_id: str, query_vec: str, k: int = 10, nprobe: int | None = None) -> DataFrame:
-    """(query_id, id, rank, cosine): the best ``k`` among the rows of the ``nprobe`` nearest cells of each query, by an
-    equi-join on the cell. ``nprobe`` defaults by the number of rows."""
+def cell_bounds(index: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, tuple[int, float]]:
+    """By cell that has rows: their number, and the least cosine of one of them to the centroid."""
+    shared = index.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        for b in batches:
+            for at, u, c, base in _by_length(b, 0, shared.value):
+                cell = b.column(1).to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.einsum("ij,ij->i", u, c[cell - base]))], ["cell", "cos"])
+
+    near = index.select("v", "cell").mapInArrow(run, "cell int, cos double")
+    return {r["cell"]: (r["n"], r["least"]) for r in near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("least")).collect()}
+
+
+def _open_cells(probed: DataFrame, centroids: dict[int, np.ndarray], bounds: dict[int, tuple[int, float]], first: int) -> DataFrame:
+    """(query_id, qv, cell): the cells behind the ``first`` nearest of a query that may hold a cosine of its ``floor`` or above:
+    a row lies within the cell's angle of the centroid, so no nearer to the query than the centroid's angle less that."""
+    shared = probed.sparkSession.sparkContext.broadcast((centroids, bounds))
+
+    def run(batches):
+        centroids, bounds = shared.value
+        for b in batches:
+            floor = b.column(2).to_numpy()
+            for at, u, c, base in _by_length(b, 1, centroids):
+                sim = u @ c.T
+                angle = np.arccos(np.clip([bounds[base + k][1] if base + k in bounds else 1.0 for k in range(len(c))], -1, 1))
+                best = np.cos(np.maximum(np.arccos(np.clip(sim, -1, 1)) - angle, 0))
+                # Cosines are compared at six places, and the index holds floats.
+                ok = (best >= floor[at][:, None] - 1e-5) & np.isin(np.arange(base, base + len(c)), list(bounds))
+                np.put_along_axis(ok, np.argsort(-sim, axis=1, kind="stable")[:, :first], False, axis=1)
+                i, cell = np.nonzero(ok)
+                rows = pa.array(at[i])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array((cell + base).astype(np.int32))], ["query_id", "qv", "cell"])
+
+    return probed.select("query_id", "qv", "floor").mapInArrow(run, f"query_id {dict(probed.dtypes)['query_id']}, qv array<float>, cell int")
+
+
+def ivf_search(index: DataFrame, centroids: dict[int, np.ndarray], queries: DataFrame, query_id: str, query_vec: str, k: int = 10, nprobe: int | None = None) -> DataFrame:
+    """(query_id, id, rank, cosine): the best ``k`` rows of the index for each query, by equi-joins on the cell.
+
+    Exact by default: the nearest cells are probed first, as many as ``nprobe_for`` says, then every cell whose bound does
+    not exclude a hit as good as the k-th so far. With ``nprobe`` only the rows of so many nearest cells are compared, and
+    hits outside them are missed.
+    """
     from corvid.functions.vectors import cosine
 
-    nprobe = min(nprobe or nprobe_for(index.count()), len(centroids))
-    q = ivf_assign(queries, query_id, query_vec, centroids, nprobe).withColumnsRenamed({"id": "query_id", "v": "qv"})
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    hits = index.join(q, "cell").select("query_id", "id", F.round(cosine("v", "qv"), 6).alias("cosine"))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "cosine")
+
+    def hits(probes: DataFrame) -> DataFrame:
+        return index.join(probes, "cell").select("query_id", "id", F.round(cosine("v", "qv"), 6).alias("cosine"))
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "cosine")
+
+    def nearest(cells: int) -> DataFrame:
+        return ivf_assign(queries, query_id, query_vec, centroids, cells).withColumnsRenamed({"id": "query_id", "v": "qv"})
+
+    if nprobe:
+        return best(hits(nearest(nprobe)))
+    bounds = cell_bounds(index, centroids)
+    first = nprobe_for(sum(n for n, _ in bounds.values()))
+    some = stage(best(hits(nearest(first))), "ivf_first")
+    floor = some.where(F.col("rank") == k).select("query_id", F.col("cosine").alias("floor"))
+    q = nearest(1).drop("cell").join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    return best(some.drop("rank").unionByName(hits(_open_cells(q, centroids, bounds, first))))
 
 
 def chunks_by_path(chunks: DataFrame, path: str, limit: int = 1000) -> DataFrame:

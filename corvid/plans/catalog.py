@@ -12,7 +12,7 @@ from corvid.functions import text as T
 from corvid.functions import vectors as V
 from corvid.operators import cache, chat, chunking, code, context, fusion, keyword, vectors
 from corvid.plans import pipeline, retrieval
-from corvid.session import table
+from corvid.session import stage, table
 from corvid.sources import crawl, files, sinks
 from corvid.streaming import state
 
@@ -358,7 +358,8 @@ def vector_score_map(spark, d):
 def ivf_topk(spark, d):
     e = table(spark, d, "embeddings")
     c = vectors.ivf_train(e, "vec_id", "embedding")
-    return vectors.ivf_search(vectors.ivf_assign(e, "vec_id", "embedding", c), c, e.where("vec_id % 100 = 0"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+    index = stage(vectors.ivf_assign(e, "vec_id", "embedding", c), "ivf")
+    return vectors.ivf_search(index, c, e.where("vec_id % 100 = 0"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS l1 FROM embeddings")

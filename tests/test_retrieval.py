@@ -89,6 +89,26 @@ def test_topk_and_ivf(spark):
     assert [vectors.nprobe_for(n) for n in (999, 1000, 10_000, 100_000)] == [10, 32, 64, 128]
 
 
+def test_ivf_finds_all_neighbours(spark):
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(1200, 32))
+    tight = np.repeat(rng.normal(size=(60, 24)), 10, axis=0) + 0.1 * rng.normal(size=(600, 24))
+    e = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate([*flat, *tight])] + [(9000, None), (9001, [1.0])], "id int, v array<float>").repartition(3)
+    q = e.where("id % 40 = 0 OR id = 9001")
+    c = vectors.ivf_train(e, "id", "v")
+    index = vectors.ivf_assign(e, "id", "v", c)
+    assert index.count() == 1801
+    exact = vectors.topk(e, "id", "v", q, "id", "v", 10)
+    near = vectors.ivf_search(index, c, q, "id", "v", 10)
+    key = ["query_id", "id", "rank"]
+    assert exact.count() == near.count() and near.select(*key).exceptAll(exact.select(*key)).count() == 0
+    bounds = vectors.cell_bounds(index, c)
+    some = vectors.ivf_assign(q.where("id BETWEEN 1200 AND 8999"), "id", "v", c).selectExpr("id AS query_id", "v AS qv", "0.9D AS floor")
+    # cells far from the query are left out
+    assert vectors._open_cells(some, c, bounds, 1).count() < some.count() * 20 < some.count() * len(c[24])
+    assert vectors.ivf_search(index, c, q.limit(0), "id", "v").count() == 0 and vectors.ivf_train(e.limit(0), "id", "v") == {}
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "id int, t string")
     got = {r["id"]: r for r in vectors.embed(df, "id", "t").collect()}
