@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped(table(spark, d, "chats"), table(spark, d, "messages"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuilt(table(spark, d, "chats"), table(spark, d, "messages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks")).where("chunk_index = 1").select("id")
 
@@ -52,7 +56,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rebuilt, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_composition)}
 
 _EDGE = r"^[\s\v\p{Z}\x{85}]+|[\s\v\p{Z}\x{85}]+$"
 _WORDS = r"regexp_extract_all({}, '[\x{{4E00}}-\x{{9FFF}}]|(?:[^\P{{L}}\x{{4E00}}-\x{{9FFF}}]|\p{{N}})+')"
