@@ -8,6 +8,7 @@ a third of all rows share is hashed once.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,8 +22,12 @@ from corvid.session import prepare, stage
 
 DIM = 96
 K = 10
-#: Tables and probed buckets of a vector, at no further bits; each further bit adds a table and two probes.
+#: Tables and probed buckets of a vector, at no further bits; each further bit adds a table, and probes as ``plan`` finds them needed.
 TABLES, PROBES = 3, 9
+#: The cosine at which further bits must not lower the chance to meet.
+MEET = 0.75
+#: Key comparisons held at once when pairs of one bucket are checked for an earlier one.
+COMPARED = 1 << 26
 #: A further bit of a second rotation halves the buckets when one would hold more rows than this on average.
 BUCKET = 3000
 SEED = 20240229
@@ -130,14 +135,34 @@ def classes(df: DataFrame, id_col: str, vec_col: str, dim: int = DIM, keep: int
     )
 
 
+@functools.cache
+def probes_to_meet(tables: int, bits: int, dim: int, cosine: float = MEET, pairs: int = 3000) -> np.ndarray:
+    """For random pairs of the given cosine, in ascending order, how many probes of each bring the two into one bucket; the
+    pairs are the same for all arguments. Pairs that no number of probes brings together have the greatest number."""
+    rng = np.random.default_rng(SEED)
+    a, g = unit(rng.normal(size=(pairs, dim))), rng.normal(size=(pairs, dim))
+    g = unit(g - np.einsum("ij,ij->i", g, a)[:, None] * a)
+    matrix, every = rotations(dim, 2 * tables), tables * 6
+    x, y = (bucket_keys(v, matrix, tables, every, bits) for v in (a, cosine * a + math.sqrt(1 - cosine**2) * g))
+    rank = np.arange(1, x.shape[1] + 1, dtype=np.int16)
+    later = np.maximum(rank[:, None], rank[None, :])
+    need = [np.where(p[:, :, None] == q[:, None, :], later, np.iinfo(np.int16).max).min(axis=(1, 2)) for p, q in zip(np.array_split(x, 10), np.array_split(y, 10))]
+    return np.sort(np.concatenate(need))
+
+
 def plan(n: int, dim: int = DIM, bucket: int = BUCKET) -> tuple[int, int, int]:
-    """(tables, probes, bits) for ``n`` vectors: bits of a second rotation as needed to hold the mean bucket, and tables
-    and probes for them."""
+    """(tables, probes, bits) for ``n`` vectors: bits of a second rotation as needed to hold the mean bucket, a table for
+    each, and so many probes that a pair of cosine ``MEET`` meets as often as with no further bits."""
     axes = 2 << max(1, (dim - 1).bit_length())
-    load = n * PROBES / TABLES / axes / bucket
-    bits = max(0, math.ceil(math.log2(load))) if load > 1 else 0
-    bits = min(bits, (dim - 1).bit_length() + 1)
-    return TABLES + bits, PROBES + 2 * bits, bits
+    tables, probes, bits = TABLES, PROBES, 0
+    while n * probes / tables / (axes << bits) > bucket and bits < (dim - 1).bit_length() + 1:
+        bits += 1
+        tables = TABLES + bits
+        enough = np.searchsorted(probes_to_meet(TABLES, 0, dim), PROBES, side="right")
+        while (probes := int(probes_to_meet(tables, bits, dim)[enough - 1])) > 6 * tables:
+            tables += 1
+        probes = max(probes, PROBES)
+    return tables, probes, bits
 
 
 def neighbour_lists(base: DataFrame, n: int, dim: int, k: int, least: float, bucket: int = BUCKET) -> DataFrame:
@@ -176,9 +201,12 @@ def neighbour_lists(base: DataFrame, n: int, dim: int, k: int, least: float, buc
                     i, j = i[ok], j[ok]
                     if len(i):
                         # A pair counts in the first bucket that both share, in the order of bucket numbers.
-                        both = (keys[i][:, :, None] == keys[j][:, None, :]).any(axis=2)
-                        first = np.where(both, keys[i], np.iinfo(np.int32).max).min(axis=1)
-                        ok = first == key[i]
+                        ok = np.empty(len(i), bool)
+                        step = max(1, COMPARED // probes**2)
+                        for c in range(0, len(i), step):
+                            x, y = i[c : c + step], j[c : c + step]
+                            both = (keys[x][:, :, None] == keys[y][:, None, :]).any(axis=2)
+                            ok[c : c + step] = np.where(both, keys[x], np.iinfo(np.int32).max).min(axis=1) == key[x]
                         I.append(i[ok])
                         J.append(j[ok])
             if not I:

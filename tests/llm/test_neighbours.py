@@ -52,6 +52,27 @@ def test_pairs_recall(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_further_bits_keep_the_chance_to_meet(spark):
+    rng = np.random.default_rng(7)
+    a, g = N.unit(rng.normal(size=(2000, 96))), rng.normal(size=(2000, 96))
+    b = 0.75 * a + np.sqrt(1 - 0.75**2) * N.unit(g - (g * a).sum(axis=1, keepdims=True) * a)
+    met = {}
+    for n in (200_000, 400_000, 3_000_000, 12_000_000, 60_000_000):
+        tables, probes, bits = N.plan(n)
+        m = N.rotations(96, 2 * tables)
+        x, y = N.bucket_keys(a, m, tables, probes, bits), N.bucket_keys(b, m, tables, probes, bits)
+        assert x.shape[1] == probes
+        met[bits] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean()
+    assert len(met) == 5 and min(met) == 0 and max(met) >= 7 and min(met.values()) >= met[0] - 0.015
+    # pairs of about the least cosine, buckets as of millions of rows
+    x = np.stack([a[:600], b[:600] + 1e-3 * a[:600]], axis=1).reshape(-1, 96).astype(np.float32)
+    ids = [f"id{i:05}" for i in range(len(x))]
+    want = truth(ids, x)
+    assert N.plan(len(x), bucket=1)[2] >= 4
+    got = {tuple(r) for r in N.similar_pairs(frame(spark, ids, x), bucket=1).collect()}
+    assert len(want) >= 600 and len(got & want) / len(want) >= 0.95
+
+
 def test_copies_and_hot_buckets(spark, monkeypatch):
     x = clustered(120)
     x[30:60] = x[30]
