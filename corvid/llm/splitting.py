@@ -2,8 +2,9 @@
 
 Lengths are counted in units: characters by default, or the tokens of any ``unit`` pattern. The offsets of
 the units are a sorted array (their prefix sums), natural boundaries are a sorted array per kind, and every
-cut is found by binary search: the last boundary at or under the limit, best kind first; without one, a
-hard cut. The next piece starts up to ``overlap`` units earlier, at a boundary where there is one.
+cut is found by binary search: the last boundary at or under the limit in the second half of the piece, best
+kind first; else the last of any kind behind the piece before; a hard cut only where there is none. The next piece
+starts up to ``overlap`` units earlier, at a boundary where there is one, and later if only so a boundary is in reach.
 """
 
 from __future__ import annotations
@@ -54,8 +55,18 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: re.Pattern
         return []
     if n <= limit:
         return [(0, len(text))]
+    up = (lambda p: p) if at is None else (lambda p: bisect_left(at, p))
     bounds = [[m.end() for m in k.finditer(text)] for k in KINDS]
-    out, start = [], 0
+
+    def begin(low: int, end: int) -> int:
+        """Where a piece begins that may reach back to ``low`` from ``end``."""
+        for b in bounds[2:]:
+            k = bisect_left(b, low)
+            if k < len(b) and b[k] <= end:
+                return b[k]
+        return low
+
+    out, start, done, natural = [], 0, 0, True
     while True:
         if n - start <= limit:
             out.append((pos(start), pos(n)))
@@ -63,25 +74,29 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: re.Pattern
         hi = pos(start + limit)
         # A piece shorter than half the limit would come of a boundary too near; the next kind is tried then.
         lo = pos(start + max(limit // 2, overlap + 1))
-        end = hi
+        end = None
         for b in bounds:
             k = bisect_right(b, hi) - 1
             if k >= 0 and b[k] >= lo:
                 end = b[k]
                 break
+        if end is None:
+            # A short piece is still better than a cut within a word, and so is a smaller overlap.
+            ends = [b[k] for b in bounds if (k := bisect_right(b, hi) - 1) >= 0 and b[k] > done]
+            end = max(ends, default=hi)
+            if not ends:
+                ahead = min((b[k] for b in bounds if (k := bisect_right(b, done)) < len(b)), default=len(text) if natural else None)
+                first = 0 if ahead is None else up(ahead) - limit
+                if start < first <= index(done):
+                    start = index(begin(pos(first), done))
+                    continue
+            natural = bool(ends)
+        else:
+            natural = True
         out.append((pos(start), end))
+        done = end
         back = index(end) - overlap
-        low = pos(max(back, start + 1))
-        nxt = low
-        if overlap:
-            for b in bounds[2:]:
-                k = bisect_left(b, low)
-                if k < len(b) and b[k] <= end:
-                    nxt = b[k]
-                    break
-        else:
-            nxt = end
-        start = index(nxt)
+        start = index(begin(pos(max(back, start + 1)), end) if overlap else end)
 
 
 def pieces(df: DataFrame, id_col: str = "id", text_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

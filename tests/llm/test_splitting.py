@@ -30,6 +30,22 @@ def test_boundaries():
     assert S.cuts("中文句子。" * 6, 12, 0)[0] == (0, 10)
 
 
+def test_no_hard_cut_where_a_boundary_is_in_reach():
+    long = "y" * 95
+    assert S.cuts("some words " + long + " end", 100, 10)[0] == (0, 11)
+    # a boundary within the overlap, and one that only a smaller overlap reaches
+    for text in ("ab " + long + " end of it", "x. " * 10 + long + " more", long + " " + "z" * 99 + " " + long):
+        for overlap in (0, 10, 40):
+            got = S.cuts(text, 100, overlap)
+            assert all(text[b - 1] == " " for _, b in got[:-1]) and all(b - c <= overlap for (_, b), (c, _) in zip(got, got[1:]))
+
+
+@given(st.lists(st.sampled_from(["a" * 30, "b" * 57, "c", "d.", ",", "e" * 12]), max_size=40), st.integers(0, 59))
+def test_short_words_are_never_cut(words, overlap):
+    text = " ".join(words)
+    assert all(text[b - 1 : b + 1].strip() != text[b - 1 : b + 1] for _, b in S.cuts(text, 60, overlap)[:-1])
+
+
 def test_token_units():
     word = re.compile(r"\S+\s*")
     got = S.cuts("one two three four five six seven", 3, 1, word)
