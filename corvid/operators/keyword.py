@@ -13,6 +13,8 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 200_000
 MAX_FUZZY_TOKENS, MAX_EXPANSIONS = 8, 50
 HIGHLIGHT_MAX_K, FRAGMENTS, FRAGMENT_CHARS = 20, 3, 150
+#: A character that with its like makes one token.
+WORD = r"[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]"
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
@@ -87,11 +89,12 @@ def fuzzy_query_terms(queries: DataFrame, query_id: str, query: str, vocabulary:
 
 def highlights(hits: DataFrame, text: str, query: str, k: int, fragments: int = FRAGMENTS, chars: int = FRAGMENT_CHARS) -> DataFrame:
     """``hits`` with ``highlights``: up to ``fragments`` windows of ``chars`` characters around term occurrences, terms wrapped in
-    <em>. For k over 20 the array is empty, as it is for null texts."""
+    <em>. Windows end between tokens, so no occurrence is split; a token longer than ``chars`` is a window of its own. For k over
+    20 the array is empty, as it is for null texts."""
     if k > HIGHLIGHT_MAX_K:
         return hits.withColumn("highlights", F.array().cast("array<string>"))
     t = F.coalesce(F.col(text), F.lit(""))
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(chars)), lambda i: t.substr(i + 1, F.lit(chars)))
+    windows = F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{chars}}}(?!(?<={WORD}){WORD})|{WORD}+"), F.lit(0))
     qt = F.array_distinct(tokens(query))
     hit = F.filter(windows, lambda x: F.arrays_overlap(tokens(x), qt))
 

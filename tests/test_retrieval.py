@@ -67,6 +67,14 @@ def test_bm25_and_fuzzy(spark, rows):
     assert keyword.highlights(h, "text", "query", 21).first()["highlights"] == []
 
 
+def test_highlights_across_window_borders(spark):
+    texts = ["a " * 74 + "pod tail", "中" * 149 + "pods pod", "b " * 60 + "x" * 170 + " pod " + "中" * 400]
+    h = spark.createDataFrame([(x, "pod") for x in texts], "text string, query string")
+    got = [r["highlights"] for r in keyword.highlights(h, "text", "query", 10).collect()]
+    assert all(sum("<em>pod</em>" in x for x in m) == 1 for m in got)
+    assert all(len(x) <= 150 + len("<em></em>") for m in got for x in m)
+
+
 def test_topk_and_ivf(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype("float32")
