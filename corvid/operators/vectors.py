@@ -25,9 +25,10 @@ CONTENT_LIMIT = 65_000
 
 
 class HashingEncoder:
-    """Deterministic stand-in for a learned encoder: signed hashed counts of the first ``max_tokens`` tokens, at length 1."""
+    """Deterministic stand-in for a learned encoder: signed hashed counts of a text's tokens, at length 1. With ``max_tokens``
+    only so many first tokens count; a model that truncates has 512."""
 
-    def __init__(self, dim: int = 64, max_tokens: int = 512):
+    def __init__(self, dim: int = 64, max_tokens: int | None = None):
         self.dim, self.max_tokens = dim, max_tokens
 
     def encode(self, texts: list[str]) -> np.ndarray:

@@ -129,6 +129,12 @@ def test_embed(spark):
     assert vectors.embed(df, "id", "t", Broken).where("embedding IS NULL AND error = 'no'").count() == 3
 
 
+def test_whole_texts_are_encoded():
+    long = "a " * 512
+    whole, cut = vectors.HashingEncoder(), vectors.HashingEncoder(max_tokens=512)
+    assert not np.array_equal(*whole.encode([long, long + "behind"])) and np.array_equal(*cut.encode([long, long + "behind"]))
+
+
 def test_retrieve(spark):
     d = spark.createDataFrame([(i, f"text {'pod' if i % 2 else 'node'} {i}", f"p{i}") for i in range(20)], "id int, t string, path string")
     e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, v array<float>")
