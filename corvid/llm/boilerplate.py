@@ -396,36 +396,50 @@ class LineModel:
         return np.clip(dense @ self.w + self.c[cat].sum(axis=1), -PRICE_CAP, PRICE_CAP)
 
 
+def page_edges(boxes: np.ndarray, parents: np.ndarray, w_next=W_NEXT, w_cross=W_CROSS, w_box=W_BOX) -> tuple[int, list[tuple[int, int, float]]]:
+    """Number of nodes and edges of a page's graph: its lines, then the boxes that hold lines and those around them. Neighbouring
+    lines are tied, each line to its box and each box to the box around it; the page itself (0) is no node."""
+    n = len(boxes)
+    hub: dict[int, int] = {}
+    edges = [(i, i + 1, w_next if boxes[i] == boxes[i + 1] else w_cross) for i in range(n - 1)]
+    for i, b in enumerate(boxes.tolist()):
+        inner = None
+        while b > 0:
+            known = b in hub
+            at = hub.setdefault(b, n + len(hub))
+            edges.append((i if inner is None else inner, at, w_box))
+            if known:
+                break
+            inner, b = at, int(parents[b])
+    return n + len(hub), edges
+
+
 def cut_page(price: np.ndarray, flags: np.ndarray, boxes: np.ndarray, parents: np.ndarray, w_next=W_NEXT, w_cross=W_CROSS, w_box=W_BOX) -> np.ndarray:
-    """Content or not for each line: the minimum cut of the page's graph.
+    """Content or not for each line: the minimum cut of the page's graph (``page_edges``); boxes have no price.
 
-    Neighbouring lines of one box that lean the same way are one node: no cut gains by parting them, as the edges
-    within a box are all alike. Boxes are nodes without a price, tied to their lines and to the box around them.
+    A line whose price outweighs all its ties lies on its own side in every minimum cut, so it is settled beforehand and its
+    ties become prices of the others.
     """
     n = len(price)
     if not n:
         return np.zeros(0, bool)
-    lean = price > 0
-    new = np.concatenate([[True], (lean[1:] != lean[:-1]) | (boxes[1:] != boxes[:-1])])
-    node = np.cumsum(new) - 1
-    m = int(node[-1]) + 1
-    weight = np.bincount(node, weights=price, minlength=m)
-    count = np.bincount(node, minlength=m)
-    first = np.flatnonzero(new)
-    edges = []
-    for a in range(m - 1):
-        same = boxes[first[a]] == boxes[first[a + 1]]
-        edges.append((a, a + 1, w_next if same else w_cross))
-    used = sorted({int(b) for b in boxes if b > 0})
-    hub = {b: m + i for i, b in enumerate(used)}
-    for a in range(m):
-        b = int(boxes[first[a]])
-        if b in hub:
-            edges.append((a, hub[b], w_box * float(np.sqrt(count[a]))))
-    total = m + len(hub)
-    source = [max(0.0, float(x)) for x in weight] + [0.0] * len(hub)
-    sink = [max(0.0, -float(x)) for x in weight] + [0.0] * len(hub)
-    return np.array(max_flow_cut(total, source, sink, edges)[:m])[node]
+    total, edges = page_edges(boxes, parents, w_next, w_cross, w_box)
+    value = np.concatenate([price, np.zeros(total - n)])
+    ends = np.array([e[:2] for e in edges], int).reshape(-1, 2)
+    ties = np.bincount(ends.ravel(), weights=np.repeat([e[2] for e in edges], 2), minlength=total)
+    side, sure = value > 0, np.abs(value) > ties
+    rest = np.flatnonzero(~sure)
+    if len(rest):
+        place = {int(v): k for k, v in enumerate(rest)}
+        source, sink, inner = np.maximum(value[rest], 0).tolist(), np.maximum(-value[rest], 0).tolist(), []
+        for a, b, w in edges:
+            if a in place and b in place:
+                inner.append((place[a], place[b], w))
+            elif a in place or b in place:
+                free, fixed = (a, b) if a in place else (b, a)
+                (source if side[fixed] else sink)[place[free]] += w
+        side[rest] = max_flow_cut(len(rest), source, sink, inner)
+    return side[:n]
 
 
 PARSED = "page_id bigint, site string, at string, no array<int>, h array<bigint>, len array<int>, flags array<int>, box array<int>, parents array<int>, body int"

@@ -34,6 +34,28 @@ def test_grouping_changes_no_cut():
         assert abs(cut_value(src, snk, edges, B.cut_page(price, np.zeros(n, int), boxes, np.array([-1])).tolist()) - whole) < 1e-6
 
 
+def test_cut_of_nested_boxes_is_minimal():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, k = int(rng.integers(1, 7)), int(rng.integers(1, 4))
+        parents = np.array([-1] + [int(rng.integers(0, b)) for b in range(1, k + 1)])
+        boxes, price = np.sort(rng.integers(0, k + 1, size=n)), rng.normal(size=n) * 0.3
+        # the whole graph: each line to its box, each box that holds lines, or a box with lines, to the one around it
+        used = set()
+        for b in boxes.tolist():
+            while b > 0:
+                used.add(b)
+                b = int(parents[b])
+        hub = {b: n + i for i, b in enumerate(sorted(used))}
+        edges = [(i, i + 1, B.W_NEXT if boxes[i] == boxes[i + 1] else B.W_CROSS) for i in range(n - 1)]
+        edges += [(i, hub[b], B.W_BOX) for i, b in enumerate(boxes.tolist()) if b > 0]
+        edges += [(hub[b], hub[parents[b]], B.W_BOX) for b in used if parents[b] > 0]
+        src, snk = [*np.maximum(price, 0), *[0.0] * len(hub)], [*np.maximum(-price, 0), *[0.0] * len(hub)]
+        value = lambda lines: min(cut_value(src, snk, edges, [*lines, *h]) for h in itertools.product((False, True), repeat=len(hub)))
+        best = min(value(s) for s in itertools.product((False, True), repeat=n))
+        assert abs(value(B.cut_page(price, np.zeros(n, int), boxes, parents).tolist()) - best) < 1e-6
+
+
 def test_lines():
     page = "<html><head><title>T</title>\n<style>a{}</style>\n</head><body>\n<!-- gone\nstill gone -->\n<nav>\n<li><a href='/x'>Menu</a></li>\n</nav>\n<div class='m'>\n<header>\n<H1>T &amp; U</H1>\n</header>\n<script>var x = 'no';</script>\n<p>Body <b>text</b>.</p>\n<pre><code>\n  a: 1\n</code></pre>\n</div>\n</body></html>"
     rows, parents, body = B.visible_lines(page, "s.test")
