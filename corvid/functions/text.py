@@ -14,6 +14,8 @@ WORDY = r"[a-zA-Z0-9\x{4E00}-\x{9FFF}]"
 HTML_BLOCKS = ["nav", "footer", "header", "aside"]
 URL_EXCLUDED = ["/search", "/sitemap", "/404", "/blog", "/community", "/partners", "/case-studies", "#", "mailto:", "javascript:"]
 URL_SECTIONS = ["/docs/concepts/", "/docs/tasks/", "/docs/reference/", "/docs/setup/", "/docs/tutorials/"]
+# How a speaker's role may be written, apart from case and outer white space.
+ROLES = {"system": ["system"], "user": ["user", "human", "customer"], "assistant": ["assistant", "ai", "bot"]}
 #: The analyzer's tokens: runs of letters and digits, one token for each Chinese character.
 TOKEN = r"[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+|[\x{4E00}-\x{9FFF}]"
 
@@ -128,6 +130,15 @@ def hrefs(c: str | Column) -> Column:
     return F.coalesce(F.regexp_extract_all(col(c), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1)), F.array().cast("array<string>"))
 
 
+def canonical_role(c: str | Column) -> Column:
+    """system, user or assistant; null for anything else, null included."""
+    r = F.lower(strip(c))
+    out = F.lit(None).cast("string")
+    for role, names in ROLES.items():
+        out = F.when(r.isin(names), F.lit(role)).otherwise(out)
+    return out
+
+
 def valid_message(text: str | Column, low: int = 1, high: int = 2000) -> Column:
     """Whether a message's length is within the accepted range; null is not."""
     return F.coalesce(F.length(col(text)).between(low, high), F.lit(False))

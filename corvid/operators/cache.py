@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.operators.ranges import ranged
+
 MAX_MESSAGES, MAX_CHATS, TTL_SECONDS = 20, 5, 3600
 
 
@@ -32,10 +34,22 @@ def read_entries(ids: DataFrame, entries: DataFrame, key: str, entry: str, limit
 
 
 def segments(df: DataFrame, key: str, ts: str, order: list[str], ttl: int = TTL_SECONDS) -> DataFrame:
-    """``df`` with ``segment``: the list's number, a new one where more than ``ttl`` seconds passed since the key's last item."""
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    gap = F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts)) > ttl * 1_000_000
-    return df.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """``df`` with ``segment``: the list's number, a new one where more than ``ttl`` seconds passed since the key's last item.
+
+    Keys may be of any size: pauses are counted range by range, and a range's first item is compared with the last of the
+    key's range before. Rows with a null key or time are dropped."""
+    by = [F.col(c) for c in (ts, *order)]
+    r = ranged(df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()), [key], by)
+    pause = lambda a, b: F.coalesce(F.timestamp_diff("MICROSECOND", a, b) > ttl * 1_000_000, F.lit(False)).cast("bigint")
+    w = Window.partitionBy(key, "_range").orderBy(*by)
+    r = r.withColumn("_new", pause(F.lag(ts).over(w), F.col(ts)))
+    k = Window.partitionBy(key).orderBy("_range")
+    ends = r.groupBy(key, "_range").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum("_new").alias("_n"))
+    ends = ends.withColumn("_edge", pause(F.lag("_hi").over(k), F.col("_lo")))
+    before = F.coalesce(F.sum("_n").over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_edge").over(k.rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.select(key, "_range", before.alias("_before"))
+    own = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("_own", own).join(ends, [key, "_range"]).select(*df.columns, (F.col("_own") + F.col("_before")).alias("segment"))
 
 
 def live(entries: DataFrame, written: str, as_of, ttl: int = TTL_SECONDS) -> DataFrame:
@@ -55,7 +69,7 @@ def invalidate(cached: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def merge_lists(cached: DataFrame, pairs: DataFrame, key: str, order: list[str], n: int = MAX_CHATS) -> DataFrame:
     """Lists of merged keys (from_id, to_id) joined into the target's and bounded again."""
-    p = pairs.select(F.col("from_id").alias(key), "to_id").dropDuplicates([key])
+    p = pairs.groupBy(F.col("from_id").alias(key)).agg(F.min("to_id").alias("to_id"))
     moved = cached.drop("pos").join(p, key, "left").withColumn(key, F.coalesce("to_id", F.col(key))).drop("to_id")
     return bounded(moved.distinct(), key, order, n)
 

@@ -1,7 +1,7 @@
 """The relational operators of the chat store: users, chats and messages as tables.
 
-Tables may hold rows sent again; ``current`` keeps the latest version of each key and is what the queries start from.
-Writes return the whole new table, to be written by ``corvid.sources.sinks``.
+Tables may hold rows sent again and ids in either case; ``current`` keeps the latest version of each key, with ids in lower
+case, and is what the queries start from. Writes return the whole new table, to be written by ``corvid.sources.sinks``.
 """
 
 from __future__ import annotations
@@ -11,17 +11,22 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.text import conversation_title
+from corvid.functions.text import canonical_role, conversation_title
+from corvid.operators.ranges import numbered
 
+#: Columns that hold UUIDs, which are equal apart from case.
+IDS = ("id", "chat_id", "user_id", "sender_id")
 RECENT_CHATS, HISTORY_MESSAGES = 5, 20
 ARCHIVE_DAYS, DELETE_DAYS = 30, 90
 
 
-def current(df: DataFrame, key: str = "id", version: str = "updated_at") -> DataFrame:
-    """Each key once: the row with the latest version, ties by the remaining columns in order. Null keys are dropped."""
-    rest = [c for c in df.columns if c not in (key, version)]
-    x = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(version, *rest)).alias("x"))
-    return x.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in df.columns])
+def current(df: DataFrame, *columns: str, key: str = "id", version: str = "updated_at") -> DataFrame:
+    """Each key once: the row with the latest version (null is oldest), ties by the columns in order. Null keys are dropped, ids
+    are given in lower case. Only the key, the version and the named ``columns`` (all, without any) are read and shuffled."""
+    rest = [c for c in columns or df.columns if c not in (key, version)]
+    low = df.select(*[F.lower(c).alias(c) if c in IDS else F.col(c) for c in dict.fromkeys([key, version, *rest])])
+    x = low.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(version, *rest)).alias("x"))
+    return x.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in columns or df.columns])
 
 
 def point(df: DataFrame, column: str, value) -> DataFrame:
@@ -89,21 +94,30 @@ def user_stats(users: DataFrame, chats: DataFrame) -> DataFrame:
     return users.select("id", "username", "is_active", "is_anonymous").join(n, "id", "left").withColumn("chat_count", F.coalesce("chat_count", F.lit(0)))
 
 
-def with_messages(chats: DataFrame, messages: DataFrame, n: int | None = None) -> DataFrame:
-    """(chat_id, messages): each chat with its messages as (created_at, id, role) newest first; [] without any. Only the
-    newest ``n`` are gathered if given, as an unbounded list of one chat must fit in one row."""
-    m = messages if n is None else page_of_each(messages.where("chat_id IS NOT NULL"), "chat_id", newest("created_at", "id"), n)
-    g = m.groupBy("chat_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "role")), asc=False).alias("messages"))
+def with_messages(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    """(chat_id, pos, id, role, created_at): every chat with all its messages, newest first (``pos`` from 0, ties by id); a chat
+    without messages has one row of nulls. Rows rather than a list, numbered range by range, so that no task holds a whole chat."""
+    m = messages.where("chat_id IS NOT NULL").select("chat_id", "id", "role", "created_at")
+    m = numbered(m, ["chat_id"], [F.col("created_at").desc_nulls_last(), F.col("id")], "pos")
+    return chats.select(F.col("id").alias("chat_id")).join(m, "chat_id", "left").select("chat_id", "pos", "id", "role", "created_at")
+
+
+def latest_lists(chats: DataFrame, messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
+    """(chat_id, messages): each chat with its newest ``n`` messages as a list of (created_at, id, role), newest first; [] without."""
+    m = page_of_each(messages.where("chat_id IS NOT NULL"), "chat_id", newest("created_at", "id"), n)
+    g = m.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("pos", "created_at", "id", "role"))).alias("messages"))
+    g = g.select("chat_id", F.transform("messages", lambda x: F.struct(x["created_at"].alias("created_at"), x["id"].alias("id"), x["role"].alias("role"))).alias("messages"))
     empty = F.array().cast(dict(g.dtypes)["messages"])
     return chats.select(F.col("id").alias("chat_id")).join(g, "chat_id", "left").select("chat_id", F.coalesce("messages", empty).alias("messages"))
 
 
 def history(chats: DataFrame, messages: DataFrame, n_chats: int = RECENT_CHATS, n_messages: int = HISTORY_MESSAGES) -> DataFrame:
     """(user_id, pos, chat_id, title, n_messages): each user's recent open chats with the view's title: the chat's own, else
-    the first user message among the newest ``n_messages``."""
+    the first user message among the newest ``n_messages``, however the role is written."""
     recent = user_chats(chats, n_chats).select("user_id", "pos", F.col("id").alias("chat_id"), "title")
     m = recent_messages(messages.join(recent.select("chat_id"), "chat_id", "left_semi"), n_messages)
-    first = m.groupBy("chat_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("seq"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    asked = canonical_role("role") == "user"
+    first = m.groupBy("chat_id").agg(F.min_by(F.when(asked, F.col("content")), F.when(asked, F.col("seq"))).alias("first"), F.count(F.lit(1)).alias("n"))
     return recent.join(first, "chat_id", "left").select("user_id", "pos", "chat_id", conversation_title("title", "first").alias("title"), F.coalesce("n", F.lit(0)).alias("n_messages"))
 
 
@@ -130,21 +144,32 @@ def delete_chats(chats: DataFrame, messages: DataFrame, gone: DataFrame) -> tupl
     return chats.join(g.withColumnRenamed("chat_id", "id"), "id", "left_anti"), messages.join(g, "chat_id", "left_anti")
 
 
-def deactivate(users: DataFrame, ids: list[str]) -> DataFrame:
-    return set_where(users, F.col("id").isin(ids), is_active=False)
+def deactivate(users: DataFrame, gone: DataFrame) -> DataFrame:
+    """Users with those of ``gone`` (id) inactive; unknown ids change nothing."""
+    g = gone.select("id").distinct().withColumn("_gone", F.lit(True))
+    return set_where(users.join(g, "id", "left"), F.col("_gone"), is_active=False).select(*users.columns)
 
 
 def merge_users(users: DataFrame, chats: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(users, chats) after merging each pair (from_id, to_id): chats move to the target, the source is deactivated.
-    Messages keep their sender."""
-    p = pairs.select("from_id", "to_id").dropDuplicates(["from_id"])
+    Messages keep their sender. Of several targets of one source the smallest counts."""
+    p = pairs.groupBy("from_id").agg(F.min("to_id").alias("to_id"))
     moved = chats.join(p.withColumnRenamed("from_id", "user_id"), "user_id", "left").withColumn("user_id", F.coalesce("to_id", "user_id")).drop("to_id").select(*chats.columns)
     gone = users.join(p.select(F.col("from_id").alias("id")).withColumn("gone", F.lit(True)), "id", "left")
     return set_where(gone, F.col("gone"), is_active=False).drop("gone").select(*users.columns), moved
 
 
-def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
-    return df.unionByName(rows, allowMissingColumns=True)
+def insert(df: DataFrame, rows: DataFrame, unique: list[str] = ["id"]) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """(table, rejected): ``rows`` added to the table, but for those whose value in a ``unique`` column the table or an earlier row
+    (by ``unique`` order) has already. Nulls never clash; missing columns are null."""
+    new = rows
+    for c in unique:
+        have = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_have", F.lit(True))
+        first = Window.partitionBy(c).orderBy(*unique)
+        named = new.where(F.col(c).isNotNull()).join(have, c, "left").withColumn("_n", F.row_number().over(first)).where("_have IS NULL AND _n = 1").drop("_have", "_n")
+        new = named.select(*rows.columns).unionByName(new.where(F.col(c).isNull()))
+    rejected = rows.exceptAll(new)
+    return df.unionByName(new, allowMissingColumns=True), rejected
 
 
 def not_unique(df: DataFrame, column: str) -> DataFrame:

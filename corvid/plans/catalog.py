@@ -40,7 +40,8 @@ def query(sql: str | None = None):
 
 def current_sql(name: str) -> str:
     order = ", ".join(f"{c} DESC NULLS LAST" for c in ["updated_at", *REST[name]])
-    return f"(SELECT * FROM {name} WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"
+    low = ", ".join(f"lower({c}) AS {c}" for c in ["id", *REST[name]] if c in chat.IDS)
+    return f"(SELECT * FROM (SELECT * REPLACE ({low}) FROM {name} WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {order}) = 1)"
 
 
 MESSAGES, CHATS, USERS = (current_sql(n) for n in ("messages", "chats", "users"))
@@ -51,13 +52,12 @@ PAGES = (
 )
 
 
-def current(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = table(spark, d, name)
-    return chat.current(df.select("id", "updated_at", *REST[name]))
+def current(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return chat.current(table(spark, d, name), *columns)
 
 
-def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.latest_pages(table(spark, d, "raw_docs"))
+def pages_of(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return crawl.latest_pages(table(spark, d, "raw_docs"), *columns)
 
 
 # SQL pieces for text: white space and control characters as the engine sees them.
@@ -101,13 +101,13 @@ def clean_text_flat(spark, d):
 
 @query(f"SELECT page_id, length(x) AS n_chars, md5(x) AS hash FROM (SELECT page_id, {sql_tags('content', ['script', 'style', 'noscript', *T.HTML_BLOCKS])} AS x FROM {PAGES})")
 def clean_html(spark, d):
-    x = pages_of(spark, d).select("page_id", T.clean_html("content").alias("x"))
+    x = pages_of(spark, d, "page_id", "content").select("page_id", T.clean_html("content").alias("x"))
     return x.select("page_id", F.length("x").cast("bigint").alias("n_chars"), F.md5("x").alias("hash"))
 
 
 @query(rf"SELECT page_id, md5({sql_strip(rf'''regexp_replace({sql_tags('content', ['script', 'style'])}, '[\s\v\p{{Z}}\x{{85}}]+', ' ', 'g')''')}) AS hash FROM {PAGES}")
 def clean_html_legacy(spark, d):
-    return pages_of(spark, d).select("page_id", F.md5(T.clean_html_legacy("content")).alias("hash"))
+    return pages_of(spark, d, "page_id", "content").select("page_id", F.md5(T.clean_html_legacy("content")).alias("hash"))
 
 
 @query(
@@ -139,7 +139,7 @@ ROOT = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]+)', 1)"
     WHERE root <> '' AND (starts_with(href, '/') OR starts_with(href, root))"""
 )
 def page_links(spark, d):
-    return crawl.page_links(pages_of(spark, d), "page_id", "url", "content")
+    return crawl.page_links(pages_of(spark, d, "page_id", "url", "content"), "page_id", "url", "content")
 
 
 def _any(fn: str, col: str, items: list[str]) -> str:
@@ -148,7 +148,7 @@ def _any(fn: str, col: str, items: list[str]) -> str:
 
 @query(f"SELECT page_id, url, starts_with(url, {ROOT}) AND NOT {_any('contains', 'url', T.URL_EXCLUDED)} AND {_any('contains', 'url', T.URL_SECTIONS)} AS kept FROM {PAGES} WHERE url IS NOT NULL")
 def doc_url_filter(spark, d):
-    return crawl.doc_urls(pages_of(spark, d), "page_id", "url")
+    return crawl.doc_urls(pages_of(spark, d, "page_id", "url"), "page_id", "url")
 
 
 @query(
@@ -156,18 +156,18 @@ def doc_url_filter(spark, d):
     (SELECT page_id, translate(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/-', '__') AS p FROM {PAGES} WHERE url IS NOT NULL))"""
 )
 def url_filename(spark, d):
-    return crawl.file_names(pages_of(spark, d), "page_id", "url")
+    return crawl.file_names(pages_of(spark, d, "page_id", "url"), "page_id", "url")
 
 
 @query(f"SELECT DISTINCT url FROM {PAGES} WHERE url IS NOT NULL AND contains(url, '/docs/tasks/') ORDER BY url LIMIT 100")
 def crawl_frontier(spark, d):
-    p = pages_of(spark, d).where("url IS NOT NULL")
+    p = pages_of(spark, d, "page_id", "url").where("url IS NOT NULL")
     return crawl.frontier(p.where(F.contains("url", F.lit("/docs/tasks/"))), p.where(F.lit(False)), "url", 100)
 
 
 @query()
 def crawl_page_text(spark, d):
-    return crawl.page_texts(pages_of(spark, d), "page_id", "content")
+    return crawl.page_texts(pages_of(spark, d, "page_id", "content"), "page_id", "content")
 
 
 @query(
@@ -243,23 +243,23 @@ def detect_language_long(spark, d):
 
 @query()
 def code_blocks(spark, d):
-    return code.code_blocks(pages_of(spark, d), "page_id", "content", min_code=100)
+    return code.code_blocks(pages_of(spark, d, "page_id", "content"), "page_id", "content", min_code=100)
 
 
 @query()
 def code_restore(spark, d):
-    p = pages_of(spark, d)
+    p = pages_of(spark, d, "page_id", "content")
     return code.restore(code.html_pages(p, "page_id", "content", min_code=100).select("page_id", "content"), "page_id", "content", code.code_blocks(p, "page_id", "content", 100))
 
 
 @query()
 def html_pages(spark, d):
-    return code.html_pages(pages_of(spark, d), "page_id", "content", "article")
+    return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", "article")
 
 
 @query()
 def html_plain(spark, d):
-    return code.html_pages(pages_of(spark, d), "page_id", "content", "div.td-content", skip_missing=False, legacy=True)
+    return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", "div.td-content", skip_missing=False, legacy=True)
 
 
 @query("SELECT page_id, file_size, lower(file_type) AS file_type FROM raw_docs WHERE (ends_with(lower(relative_path), '.html') OR ends_with(lower(relative_path), '.md') OR ends_with(lower(relative_path), '.txt')) AND NOT contains(relative_path, 'lag') AND NOT regexp_matches(relative_path, '(^|/)\\.')")
@@ -568,7 +568,7 @@ def stream_events(spark, d):
 
 @query()
 def code_positions(spark, d):
-    return code.code_positions(pages_of(spark, d), "page_id", "content")
+    return code.code_positions(pages_of(spark, d, "page_id", "content"), "page_id", "content")
 
 
 # ---------------------------------------------------------------- chat store
@@ -576,118 +576,125 @@ def code_positions(spark, d):
 
 @query(f"SELECT id, username FROM {USERS} WHERE lower(email) LIKE '%@mail.invalid' AND is_active")
 def users_by_mail(spark, d):
-    return current(spark, d, "users").where(F.lower("email").endswith("@mail.invalid") & F.col("is_active")).select("id", "username")
+    return current(spark, d, "users", "id", "email", "is_active", "username").where(F.lower("email").endswith("@mail.invalid") & F.col("is_active")).select("id", "username")
 
 
 @query(f"SELECT id, username, anonymous_id FROM {USERS} WHERE is_anonymous AND anonymous_id IN (SELECT min(anonymous_id) FROM users)")
 def anonymous_user(spark, d):
-    u = current(spark, d, "users")
+    u = current(spark, d, "users", "id", "username", "is_anonymous", "anonymous_id")
     low = u.agg(F.min("anonymous_id").alias("anonymous_id"))
     return chat.lookups(u.where("is_anonymous"), low, "anonymous_id").select("id", "username", "anonymous_id")
 
 
 @query(f"SELECT id, username, created_at FROM {USERS} WHERE is_active ORDER BY created_at DESC NULLS LAST, id LIMIT 100 OFFSET 10")
 def active_users(spark, d):
-    return chat.page(current(spark, d, "users").where("is_active"), chat.newest("created_at", "id"), 100, 10).select("id", "username", "created_at")
+    return chat.page(current(spark, d, "users", "id", "username", "is_active", "created_at").where("is_active"), chat.newest("created_at", "id"), 100, 10).select("id", "username", "created_at")
 
 
 @query(f"SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC NULLS LAST, id)::INT AS pos FROM {CHATS} WHERE user_id IS NOT NULL AND NOT is_archived QUALIFY pos <= 10")
 def recent_per_owner(spark, d):
-    return chat.user_chats(current(spark, d, "chats"), 10).select("user_id", "id", "pos")
+    return chat.user_chats(current(spark, d, "chats", "id", "user_id", "last_message_at", "is_archived"), 10).select("user_id", "id", "pos")
 
 
 @query(f"SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC NULLS LAST, id)::INT AS pos FROM {CHATS} WHERE user_id IS NOT NULL QUALIFY pos > 2 AND pos <= 5")
 def user_chats_page(spark, d):
-    return chat.user_chats(current(spark, d, "chats"), 3, 2, include_archived=True).select("user_id", "id", "pos")
+    return chat.user_chats(current(spark, d, "chats", "id", "user_id", "last_message_at", "is_archived"), 3, 2, include_archived=True).select("user_id", "id", "pos")
 
 
 @query(f"SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at NULLS LAST, id)::INT AS pos FROM {MESSAGES} WHERE chat_id IS NOT NULL QUALIFY pos > 2 AND pos <= 7")
 def messages_page(spark, d):
-    m = current(spark, d, "messages").where("chat_id IS NOT NULL")
+    m = current(spark, d, "messages", "id", "chat_id", "created_at").where("chat_id IS NOT NULL")
     return chat.page_of_each(m, "chat_id", [F.col("created_at").asc_nulls_last(), F.col("id")], 5, 2).select("chat_id", "id", "pos")
 
 
+ASKED = f"lower({sql_strip('role')}) IN ('user', 'human', 'customer')"
 LATEST = f"(SELECT *, (count(*) OVER (PARTITION BY chat_id) - p)::INT AS seq FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC NULLS LAST, id) AS p FROM {MESSAGES} WHERE chat_id IS NOT NULL) WHERE p <= 20)"
 
 
 @query(f"SELECT chat_id, id, seq FROM {LATEST}")
 def latest_n(spark, d):
-    return chat.recent_messages(current(spark, d, "messages"), 20).select("chat_id", "id", "seq")
+    return chat.recent_messages(current(spark, d, "messages", "id", "chat_id", "created_at"), 20).select("chat_id", "id", "seq")
 
 
 @query(f"SELECT chat_id, id, pos FROM (SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC NULLS LAST, id)::INT AS pos FROM {MESSAGES} WHERE chat_id IS NOT NULL) WHERE pos <= 10")
 def history_window(spark, d):
-    m = current(spark, d, "messages").where("chat_id IS NOT NULL")
+    m = current(spark, d, "messages", "id", "chat_id", "created_at").where("chat_id IS NOT NULL")
     return chat.page_of_each(m, "chat_id", chat.newest("created_at", "id"), 10).select("chat_id", "id", "pos")
 
 
 @query(f"SELECT c.id AS chat_id, count(m.id) AS n FROM {CHATS} c LEFT JOIN {MESSAGES} m ON m.chat_id = c.id GROUP BY c.id")
 def message_counts(spark, d):
-    return chat.message_counts(current(spark, d, "chats"), current(spark, d, "messages"))
+    return chat.message_counts(current(spark, d, "chats", "id"), current(spark, d, "messages", "id", "chat_id"))
 
 
 @query(f"SELECT u.id AS user_id, count(c.id) AS n_all, coalesce(count_if(NOT c.is_archived), 0)::BIGINT AS n_open FROM {USERS} u LEFT JOIN {CHATS} c ON c.user_id = u.id GROUP BY u.id")
 def chat_counts(spark, d):
-    return chat.chat_counts(current(spark, d, "users"), current(spark, d, "chats"))
+    return chat.chat_counts(current(spark, d, "users", "id"), current(spark, d, "chats", "id", "user_id", "is_archived"))
 
 
 @query(f"SELECT u.id, username, is_active, is_anonymous, count(c.id) AS chat_count FROM {USERS} u LEFT JOIN {CHATS} c ON c.user_id = u.id GROUP BY ALL")
 def owner_stats(spark, d):
-    return chat.user_stats(current(spark, d, "users"), current(spark, d, "chats"))
+    return chat.user_stats(current(spark, d, "users", "id", "username", "is_active", "is_anonymous"), current(spark, d, "chats", "id", "user_id"))
 
 
 @query(f"SELECT sender_id, id, row_number() OVER (PARTITION BY sender_id ORDER BY created_at DESC NULLS LAST, id)::INT AS pos FROM {MESSAGES} WHERE sender_id IS NOT NULL QUALIFY pos <= 100")
 def messages_by_sender(spark, d):
-    return chat.page_of_each(current(spark, d, "messages").where("sender_id IS NOT NULL"), "sender_id", chat.newest("created_at", "id"), 100).select("sender_id", "id", "pos")
+    return chat.page_of_each(current(spark, d, "messages", "id", "sender_id", "created_at").where("sender_id IS NOT NULL"), "sender_id", chat.newest("created_at", "id"), 100).select("sender_id", "id", "pos")
 
 
 @query(f"SELECT chat_id, id, created_at FROM {MESSAGES} WHERE lower(message_type) = 'error' ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
 def messages_by_type(spark, d):
-    return chat.page(current(spark, d, "messages").where(F.lower("message_type") == "error"), chat.newest("created_at", "id"), 100).select("chat_id", "id", "created_at")
+    return chat.page(current(spark, d, "messages", "id", "chat_id", "message_type", "created_at").where(F.lower("message_type") == "error"), chat.newest("created_at", "id"), 100).select("chat_id", "id", "created_at")
 
 
 @query(f"SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC NULLS LAST, id)::INT AS pos FROM {MESSAGES} WHERE chat_id IS NOT NULL AND content ILIKE '%quota%' QUALIFY pos <= 50")
 def search_messages(spark, d):
-    return chat.search_messages(current(spark, d, "messages"), "quota").select("chat_id", "id", "pos")
+    return chat.search_messages(current(spark, d, "messages", "id", "chat_id", "content", "created_at"), "quota").select("chat_id", "id", "pos")
 
 
-@query(f"SELECT c.id AS chat_id, coalesce(string_agg(m.id || ':' || coalesce(m.role, ''), ',' ORDER BY m.created_at DESC NULLS LAST, m.id DESC), '') AS messages FROM {CHATS} c LEFT JOIN (SELECT * FROM {LATEST}) m ON m.chat_id = c.id GROUP BY c.id")
+@query(f"SELECT c.id AS chat_id, (row_number() OVER (PARTITION BY c.id ORDER BY m.created_at DESC NULLS LAST, m.id) - 1)::INT + CASE WHEN m.id IS NULL THEN NULL ELSE 0 END AS pos, m.id, m.role, m.created_at FROM {CHATS} c LEFT JOIN {MESSAGES} m ON m.chat_id = c.id")
 def chat_with_messages(spark, d):
-    w = chat.with_messages(current(spark, d, "chats"), current(spark, d, "messages"), 20)
+    w = chat.with_messages(current(spark, d, "chats", "id"), current(spark, d, "messages", "id", "chat_id", "role", "created_at"))
+    return w.withColumn("pos", F.col("pos").cast("int"))
+
+
+@query(f"SELECT c.id AS chat_id, coalesce(string_agg(m.id || ':' || coalesce(m.role, ''), ',' ORDER BY m.created_at DESC NULLS LAST, m.id), '') AS messages FROM {CHATS} c LEFT JOIN (SELECT * FROM {LATEST}) m ON m.chat_id = c.id GROUP BY c.id")
+def chat_latest_lists(spark, d):
+    w = chat.latest_lists(current(spark, d, "chats", "id"), current(spark, d, "messages", "id", "chat_id", "role", "created_at"))
     return w.select("chat_id", F.array_join(F.transform("messages", lambda x: F.concat(x["id"], F.lit(":"), F.coalesce(x["role"], F.lit("")))), ",").alias("messages"))
 
 
 @query(
     f"""WITH r AS (SELECT user_id, id AS chat_id, title, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC NULLS LAST, id)::INT AS pos FROM {CHATS} WHERE user_id IS NOT NULL AND NOT is_archived QUALIFY pos <= 5),
-    m AS (SELECT chat_id, count(*) AS n, arg_min(CASE WHEN content IS NULL THEN chr(1) ELSE content END, seq) FILTER (role = 'user') AS f FROM {LATEST} GROUP BY chat_id)
+    m AS (SELECT chat_id, count(*) AS n, arg_min(CASE WHEN content IS NULL THEN chr(1) ELSE content END, seq) FILTER ({ASKED}) AS f FROM {LATEST} GROUP BY chat_id)
     SELECT user_id, pos, r.chat_id, CASE WHEN title IS NOT NULL AND title NOT IN ('', 'New Chat') THEN title ELSE coalesce(CASE WHEN length(f) > 50 THEN substr(f, 1, 50) || '...' ELSE nullif(f, chr(1)) END, 'New Chat') END AS title,
     coalesce(n, 0) AS n_messages FROM r LEFT JOIN m USING (chat_id)"""
 )
 def chat_history(spark, d):
-    return chat.history(current(spark, d, "chats"), current(spark, d, "messages"))
+    return chat.history(current(spark, d, "chats", "id", "user_id", "title", "last_message_at", "is_archived"), current(spark, d, "messages", "id", "chat_id", "content", "role", "created_at"))
 
 
 @query(f"SELECT id, is_archived OR coalesce(last_message_at < TIMESTAMP '2025-09-01' - INTERVAL 30 DAY, false) AS is_archived FROM {CHATS}")
 def archive_old(spark, d):
-    return chat.archive_old(current(spark, d, "chats"), AS_OF).select("id", "is_archived")
+    return chat.archive_old(current(spark, d, "chats", "id", "last_message_at", "is_archived"), AS_OF).select("id", "is_archived")
 
 
 @query(f"SELECT id FROM {MESSAGES} WHERE created_at IS NULL OR created_at >= TIMESTAMP '2025-09-01' - INTERVAL 90 DAY")
 def delete_old(spark, d):
-    return chat.delete_old(current(spark, d, "messages"), AS_OF).select("id")
+    return chat.delete_old(current(spark, d, "messages", "id", "created_at"), AS_OF).select("id")
 
 
 @query(f"SELECT id, CASE WHEN title IS NULL OR title = '' THEN 'New Chat' ELSE title END AS title FROM {CHATS}")
 def update_titles(spark, d):
-    c = current(spark, d, "chats")
+    c = current(spark, d, "chats", "id", "title")
     return chat.set_where(c, F.col("title").isNull() | (F.col("title") == ""), title="New Chat").select("id", "title")
 
 
 @query(f"SELECT m.id, m.chat_id FROM {MESSAGES} m WHERE chat_id IS NULL OR chat_id NOT IN (SELECT id FROM {CHATS} WHERE is_archived)")
 def delete_cascade(spark, d):
-    c = current(spark, d, "chats")
+    c = current(spark, d, "chats", "id", "is_archived")
     gone = c.where("is_archived").select(F.col("id").alias("chat_id"))
-    return chat.delete_chats(c, current(spark, d, "messages"), gone)[1].select("id", "chat_id")
+    return chat.delete_chats(c, current(spark, d, "messages", "id", "chat_id"), gone)[1].select("id", "chat_id")
 
 
 PAIR = f"(SELECT min(id) FILTER (is_anonymous) AS from_id, min(id) FILTER (NOT is_anonymous) AS to_id FROM {USERS})"
@@ -699,14 +706,14 @@ def _pair(u: DataFrame) -> DataFrame:
 
 @query(f"SELECT c.id, CASE WHEN c.user_id = p.from_id THEN p.to_id ELSE c.user_id END AS user_id FROM {CHATS} c, {PAIR} p")
 def merge_owner(spark, d):
-    u = current(spark, d, "users")
-    return chat.merge_users(u, current(spark, d, "chats"), _pair(u))[1].select("id", "user_id")
+    u = current(spark, d, "users", "id", "is_active", "is_anonymous")
+    return chat.merge_users(u, current(spark, d, "chats", "id", "user_id"), _pair(u))[1].select("id", "user_id")
 
 
 @query(f"SELECT u.id, u.is_active AND NOT coalesce(u.id = p.from_id, false) AS is_active FROM {USERS} u, {PAIR} p")
 def merge_deactivates(spark, d):
-    u = current(spark, d, "users")
-    return chat.merge_users(u, current(spark, d, "chats"), _pair(u))[0].select("id", "is_active")
+    u = current(spark, d, "users", "id", "is_active", "is_anonymous")
+    return chat.merge_users(u, current(spark, d, "chats", "id", "user_id"), _pair(u))[0].select("id", "is_active")
 
 
 @query("SELECT id AS value, count(*) AS n FROM messages WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1")
@@ -714,21 +721,58 @@ def not_unique(spark, d):
     return chat.not_unique(table(spark, d, "messages"), "id")
 
 
-@query(f"SELECT m.id, coalesce(c.user_id = m.sender_id, false) AS owned FROM {MESSAGES} m LEFT JOIN {CHATS} c ON c.id = m.chat_id WHERE m.sender_id IS NOT NULL")
+@query(
+    """SELECT 'username' AS field, username AS value, count(*) AS n FROM users WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
+    UNION ALL SELECT 'email', lower(email), count(*) FROM users WHERE email IS NOT NULL GROUP BY lower(email) HAVING count(*) > 1"""
+)
+def user_clashes(spark, d):
+    u = table(spark, d, "users").withColumn("email", F.lower("email"))
+    names, mails = (chat.not_unique(u, c).select(F.lit(c).alias("field"), "value", "n") for c in ("username", "email"))
+    return names.unionByName(mails)
+
+
+@query(f"SELECT id, username, created_at FROM {USERS} WHERE is_anonymous ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
+def anonymous_users(spark, d):
+    u = current(spark, d, "users", "id", "username", "is_anonymous", "created_at").where("is_anonymous")
+    return chat.page(u, chat.newest("created_at", "id"), 100).select("id", "username", "created_at")
+
+
+@query(f"SELECT id, is_active AND NOT coalesce(is_anonymous AND created_at < TIMESTAMP '2025-03-01', false) AS is_active FROM {USERS}")
+def soft_delete(spark, d):
+    u = current(spark, d, "users", "id", "is_active", "is_anonymous", "created_at")
+    return chat.deactivate(u, u.where("is_anonymous AND created_at < TIMESTAMP_NTZ '2025-03-01 00:00:00'")).select("id", "is_active")
+
+
+NEW_USERS = "SELECT id || CASE WHEN is_anonymous THEN '' ELSE 'x' END AS id, CASE WHEN is_active THEN username ELSE username || '2' END AS username FROM"
+
+
+@query(
+    f"""WITH u AS (SELECT id, username FROM {USERS}), n AS ({NEW_USERS} {USERS}),
+    a AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM u) QUALIFY row_number() OVER (PARTITION BY id ORDER BY id, username) = 1),
+    b AS (SELECT * FROM a WHERE username IS NULL OR username NOT IN (SELECT username FROM u WHERE username IS NOT NULL) QUALIFY username IS NULL OR row_number() OVER (PARTITION BY username ORDER BY id, username) = 1)
+    SELECT id, username, 'table' AS part FROM u UNION ALL SELECT id, username, 'table' FROM b UNION ALL SELECT id, username, 'rejected' FROM n WHERE (id) NOT IN (SELECT id FROM b)"""
+)
+def insert_users(spark, d):
+    u = current(spark, d, "users", "id", "username", "is_active", "is_anonymous")
+    new = u.select(F.concat("id", F.when(F.col("is_anonymous"), "").otherwise("x")).alias("id"), F.when(F.col("is_active"), F.col("username")).otherwise(F.concat("username", F.lit("2"))).alias("username"))
+    full, rejected = chat.insert(u.select("id", "username"), new, ["id", "username"])
+    return full.withColumn("part", F.lit("table")).unionByName(rejected.withColumn("part", F.lit("rejected")))
+
+
+@query(f"SELECT m.chat_id, m.sender_id AS user_id, coalesce(bool_or(c.user_id = m.sender_id), false) AS owned FROM (SELECT DISTINCT chat_id, sender_id FROM {MESSAGES} WHERE sender_id IS NOT NULL) m LEFT JOIN {CHATS} c ON c.id = m.chat_id GROUP BY m.chat_id, m.sender_id")
 def ownership(spark, d):
-    m = current(spark, d, "messages").where("sender_id IS NOT NULL").select("id", "chat_id", F.col("sender_id").alias("user_id"))
-    c = current(spark, d, "chats").select(F.col("id").alias("chat_id"), F.col("user_id").alias("owner"))
-    return m.join(c, "chat_id", "left").select("id", F.coalesce(F.col("owner") == F.col("user_id"), F.lit(False)).alias("owned"))
+    asks = current(spark, d, "messages", "id", "chat_id", "sender_id").where("sender_id IS NOT NULL").select("chat_id", F.col("sender_id").alias("user_id")).distinct()
+    return chat.owned(current(spark, d, "chats", "id", "user_id"), asks)
 
 
 @query(f"SELECT c.id, greatest(c.last_message_at, max(m.created_at)) AS last_message_at FROM {CHATS} c LEFT JOIN {MESSAGES} m ON m.chat_id = c.id GROUP BY c.id, c.last_message_at")
 def touch_chats(spark, d):
-    return chat.touch_chats(current(spark, d, "chats"), current(spark, d, "messages")).select("id", "last_message_at")
+    return chat.touch_chats(current(spark, d, "chats", "id", "last_message_at"), current(spark, d, "messages", "id", "chat_id", "created_at")).select("id", "last_message_at")
 
 
 @query(f"SELECT id FROM {MESSAGES} WHERE length(content) BETWEEN 1 AND 2000")
 def valid_messages(spark, d):
-    return chat.valid_messages(current(spark, d, "messages")).select("id")
+    return chat.valid_messages(current(spark, d, "messages", "id", "content")).select("id")
 
 
 # ---------------------------------------------------------------- cache and streams

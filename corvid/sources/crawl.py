@@ -47,10 +47,9 @@ def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, content string")
 
 
-def latest_pages(pages: DataFrame, key: str = "page_id", at: str = "fetched_at") -> DataFrame:
-    """Each page once, in its latest fetch (ties by content)."""
-    rest = [c for c in pages.columns if c not in (key, at)]
+def latest_pages(pages: DataFrame, *columns: str, key: str = "page_id", at: str = "fetched_at") -> DataFrame:
+    """Each page once, in its latest fetch, ties by the columns in order; null keys are dropped. Only the key, the time and the
+    named ``columns`` (all, without any) are read and shuffled, so name no content where none is needed."""
+    rest = [c for c in columns or pages.columns if c not in (key, at)]
     x = pages.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(at, *rest)).alias("x"))
-    return x.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in pages.columns])
-
-
+    return x.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in columns or pages.columns])

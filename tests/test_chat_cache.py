@@ -29,6 +29,20 @@ def test_current(messages):
     assert messages.count() == 26 and messages.where("id = 'm00'").first()["content"] == "newer"
 
 
+def test_current_ids_and_columns(spark):
+    rows = [("A", at(1), "C1", "x"), ("a", at(2), "c1", "y"), ("b", None, "C2", "z"), ("b", at(0), None, "w")]
+    m = spark.createDataFrame(rows, "id string, updated_at timestamp_ntz, chat_id string, content string")
+    c = chat.current(m, "id", "chat_id")
+    assert sorted(map(tuple, c.collect())) == [("a", "c1"), ("b", None)] and c.columns == ["id", "chat_id"]
+    assert "content" not in c._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_title_of_any_user_role(spark):
+    m = spark.createDataFrame([("m1", at(0), "c1", "hello", " Human", at(0)), ("m2", at(0), "c1", "hi", "assistant", at(1))], MSG)
+    c = spark.createDataFrame([("c1", at(0), "u1", "", at(5), False)], "id string, updated_at timestamp_ntz, user_id string, title string, last_message_at timestamp_ntz, is_archived boolean")
+    assert chat.history(c, m).first()["title"] == "hello"
+
+
 def test_recent(messages):
     got = chat.recent_messages(messages, 3).orderBy("seq").collect()
     assert [r["id"] for r in got] == ["m23", "m22", "m24"] and [r["seq"] for r in got] == [0, 1, 2]
@@ -37,7 +51,11 @@ def test_recent(messages):
 def test_search_counts(messages, chats, rows):
     assert chat.search_messages(messages, "TEXT 1").count() == 11
     assert rows(chat.message_counts(chats, messages)) == [("c1", 25), ("c2", 0), ("c3", 0)]
-    assert [len(r["messages"]) for r in chat.with_messages(chats, messages, 5).orderBy("chat_id").collect()] == [5, 0, 0]
+    assert [len(r["messages"]) for r in chat.latest_lists(chats, messages, 5).orderBy("chat_id").collect()] == [5, 0, 0]
+    whole = chat.with_messages(chats, messages)
+    assert [(r["pos"], r["id"]) for r in whole.where("chat_id = 'c1'").orderBy("pos").limit(3).collect()] == [(0, "m24"), (1, "m22"), (2, "m23")]
+    assert whole.where("chat_id = 'c1'").count() == 25 and rows(whole.where("chat_id > 'c1'").select("chat_id", "id")) == [("c2", None), ("c3", None)]
+    assert chat.with_messages(chats, messages.limit(0)).count() == 3
 
 
 def test_history(messages, chats, rows):
@@ -54,13 +72,15 @@ def test_updates(spark, messages, chats, rows):
     pairs = spark.createDataFrame([("u1", "u2")], "from_id string, to_id string")
     u, c = chat.merge_users(users, chats, pairs)
     assert rows(u) == [("u1", False), ("u2", True)] and c.where("user_id = 'u2'").count() == 3
-    assert chat.deactivate(users, ["u2"]).where("is_active").count() == 1
+    assert chat.deactivate(users, spark.createDataFrame([("u2",), ("no",)], "id string")).where("is_active").count() == 1
     asks = spark.createDataFrame([("c1", "u1"), ("c1", "u2"), ("no", "u1")], "chat_id string, user_id string")
     assert rows(chat.owned(chats, asks)) == [("c1", "u1", True), ("c1", "u2", False), ("no", "u1", False)]
     assert chat.touch_chats(chats, messages).where("id = 'c1'").first()["last_message_at"] == at(12)
     assert chat.not_unique(chats, "user_id").first()["n"] == 2
     assert chat.point(chats, "user_id", "u1").count() == 2
-    assert chat.insert(chats, chats.limit(1)).count() == 4
+    new = spark.createDataFrame([("c1", "n1"), ("c9", "named"), ("c8", "t"), ("c7", "t"), ("c6", None), ("c6", None)], "id string, title string")
+    full, rejected = chat.insert(chats, new, ["id", "title"])
+    assert full.count() == 5 and rows(rejected) == [("c1", "n1"), ("c6", None), ("c8", "t"), ("c9", "named")]
 
 
 def test_cache(spark, rows):
@@ -70,6 +90,9 @@ def test_cache(spark, rows):
     with pytest.raises(ValueError):
         cache.bounded(e, "key", ["ts"], 2, "middle")
     assert rows(cache.segments(e.where("key IS NOT NULL"), "key", "ts", ["item"]).groupBy("segment").count()) == [(0, 5), (1, 1)]
+    assert cache.segments(e.limit(0), "key", "ts", ["item"]).count() == 0
+    many = spark.range(3000).selectExpr("'h' AS key", "id AS item", "timestamp_ntz '2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60 + 4000 * (id div 1000)) AS ts")
+    assert rows(cache.segments(many, "key", "ts", ["item"]).groupBy("segment").count()) == [(0, 1000), (1, 1000), (2, 1000)]
     assert cache.live(e, "ts", at(9000)).count() == 1
     assert cache.bounded(e.limit(0), "key", ["ts"]).count() == 0
     a = spark.createDataFrame([("a", 1)], "key string, item int")
