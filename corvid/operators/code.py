@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvid.functions import html as H
 from corvid.functions.text import col
@@ -106,12 +107,13 @@ def code_blocks(df: DataFrame, key: str, html: str, min_code: int = MIN_CODE) ->
     return raw.select(key, "code_id", "idx", "length", lang.alias("language"), "code")
 
 
-def html_pages(df: DataFrame, key: str, html: str, selector: str | None = None, skip_missing: bool = True, min_code: int = MIN_CODE, legacy: bool = False) -> DataFrame:
+def html_pages(df: DataFrame, key: str, html: str, selector: str | None = None, skip_missing: bool = True, min_code: int = MIN_CODE, legacy: bool = False, keep: bool = False, when: str | None = None) -> DataFrame:
     """(key, content, n_codes): page text with long code behind placeholders.
 
     With a selector only its first region counts; where it is missing the content is empty (``skip_missing``) or the
     whole page. The row stays in any case, code is extracted before the region is chosen. ``legacy`` gives plain text
-    lines without placeholders instead of markdown. Null pages give ''."""
+    lines without placeholders instead of markdown. Null pages give ''. With ``keep`` the other columns go along and the text
+    takes the place of the page; rows whose boolean column ``when`` is not true keep their text as it is."""
     prepare(df.sparkSession)
 
     def one(i, page):
@@ -124,12 +126,17 @@ def html_pages(df: DataFrame, key: str, html: str, selector: str | None = None,
         H.drop(region, H.HIDDEN if legacy else H.HIDDEN | {"nav", "footer", "header", "aside"})
         return (H.text_of(region, "\n") if legacy else H.markdown_of(region)), len(blocks)
 
+    others = [c for c in df.columns if c not in (key, html, "content", "n_codes", when)] if keep else []
+    src = df.select(F.col(key), F.col(html).alias("content"), F.coalesce(when, F.lit(False)).alias("_when") if when else F.lit(True).alias("_when"), *others)
+    out = StructType([*[f for f in src.schema if f.name != "_when"], StructField("n_codes", IntegerType())])
+
     def run(batches):
         for b in batches:
-            got = [one(i, p) for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], [key, "content", "n_codes"])
+            got = [one(i, p) if w else (p, 0) for i, p, w in zip(*(b.column(k).to_pylist() for k in range(3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), *b.columns[3:], pa.array([g[1] for g in got], pa.int32())], out.names)
 
-    return df.select(key, html).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, content string, n_codes int")
+    full = src.mapInArrow(run, out)
+    return full if keep else full.select(key, "content", "n_codes")
 
 
 def code_positions(df: DataFrame, key: str, html: str, preview: int = 50) -> DataFrame:

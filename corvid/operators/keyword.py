@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.text import tokens
-from corvid.session import stage
+from corvid.functions.text import strip, tokens
+from corvid.session import sent, stage
 
 K1, B = 1.2, 0.75
-#: A postings side is broadcast only if its terms are at most this many; otherwise the join shuffles on the term.
-BROADCAST_TERMS = 200_000
-MAX_FUZZY_TOKENS, MAX_EXPANSIONS = 8, 50
-HIGHLIGHT_MAX_K, FRAGMENTS, FRAGMENT_CHARS = 20, 3, 150
 #: A character that with its like makes one token.
 WORD = r"[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]"
 
 
+@dataclass(frozen=True)
+class Search:
+    """Settings of a keyword search: fuzzy terms for queries of at most ``max_fuzzy_tokens`` words, with the same first ``prefix``
+    characters and at most ``max_expansions`` matches a term; weight of the text against the path; highlights for k of at most
+    ``highlight_max_k``, as ``fragments`` windows of ``chars`` characters."""
+
+    fuzziness: bool = True
+    max_fuzzy_tokens: int = 8
+    prefix: int = 1
+    max_expansions: int = 50
+    text_boost: float = 2.0
+    highlight: bool = True
+    highlight_max_k: int = 20
+    fragments: int = 3
+    chars: int = 150
+
+
+EXACT = Search(fuzziness=False, text_boost=1.0)
+
+
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
     """(query_id, term): the distinct terms of each query; blank and null queries have none."""
     return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(query))).alias("term"))
@@ -27,36 +45,42 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int = 10, boost: float = 1.0) -> DataFrame:
+def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query: str, k: int = 10, search: Search = EXACT, path: str | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score): the ``k`` best documents of each query by BM25, ties by doc_id, scores at six places.
 
-    Only the terms of the queries leave the scan: tokens are matched there, counted per document, then joined. The
-    document statistics are one small aggregate. Null and empty texts count as documents without terms.
+    With ``search.fuzziness`` similar terms of the documents count too, weighted by their likeness. With a ``path`` column a query
+    that is the whole path scores its idf there, and the better of both fields counts (the text times its boost). Texts are read
+    once (twice with fuzzy terms): only the queries' terms and one row of statistics a document leave the scan. Terms are
+    broadcast by their measured bytes. Null and empty texts count as documents without terms.
     """
-    terms = query_terms(queries, query_id, query)
-    wanted = terms.select("term").distinct()
+    terms = query_terms(queries, query_id, query).withColumn("weight", F.lit(1.0))
+    if search.fuzziness:
+        terms = fuzzy_query_terms(queries, query_id, query, docs.select(F.explode(tokens(text)).alias("term")), search)
+    terms = stage(terms, "terms")
+    # '' is no token: as a term it carries each document's length through the same pass.
+    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
-    side = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
     tf = (
-        toks.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-        .join(side, "term")
-        .groupBy("term", "doc_id")
+        toks.select("doc_id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+        .join(sent(wanted), "term")
+        .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     )
-    # Written once: only the queries' terms are left, and two branches below read them.
     tf = stage(tf, "tf")
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avglen"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    scored = (
-        tf.join(df_, "term")
-        .join(F.broadcast(stats))
-        .select("term", "doc_id", part.alias("s"))
-        .join(terms, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("s") * boost, 6).alias("score"))
-    )
+    hits = tf.where("term <> ''")
+    stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avglen"))
+    weights = terms.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(F.broadcast(stats))
+    idf = lambda df: F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    weights = stage(weights.select("query_id", "term", (idf(F.col("df")) * F.col("weight")).alias("idf"), "avglen"), "idf")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
+    scored = hits.join(sent(weights), "term").groupBy("query_id", "doc_id").agg((F.sum(part) * search.text_boost).alias("score"))
+    if path:
+        whole = queries.select(F.col(query_id).alias("query_id"), strip(query).alias("path")).where("path <> ''")
+        at = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path")).join(sent(whole.select("path").distinct()), "path"), "paths")
+        per = at.groupBy("path").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("path", idf(F.col("df")).alias("score"))
+        named = whole.join(per, "path").join(at, "path").select("query_id", "doc_id", "score")
+        scored = scored.unionByName(named).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    scored = scored.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
 
@@ -67,31 +91,40 @@ def allowed_edits(c):
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1, max_expansions: int = 50) -> DataFrame:
     """(term, match, distance): the nearest vocabulary terms of each term, within its allowed edits and with the same first
-    ``prefix`` characters; at most ``max_expansions``, nearest first, ties by match. An equi-join on prefix and length."""
+    ``prefix`` characters; at most ``max_expansions``, nearest first, ties by match. An equi-join on prefix and length, which
+    drops the rest of the vocabulary before it is shuffled; null and empty terms match nothing."""
     t = terms.select("term").where("term <> ''").distinct().withColumn("edits", allowed_edits(F.col("term")))
     t = t.withColumn("n", F.explode(F.sequence(F.greatest(F.length("term") - F.col("edits"), F.lit(1)), F.length("term") + F.col("edits"))))
-    v = vocabulary.select(F.col("term").alias("match")).distinct().withColumn("n", F.length("match"))
-    pairs = t.withColumn("p", F.substring("term", 1, prefix)).join(v.withColumn("p", F.substring("match", 1, prefix)), ["p", "n"])
-    d = pairs.withColumn("distance", F.levenshtein("term", "match")).where("distance <= edits")
+    t = stage(t.withColumn("p", F.substring("term", 1, prefix)), "shapes")
+    v = vocabulary.select(F.col("term").alias("match"), F.length("term").alias("n"), F.substring("term", 1, prefix).alias("p"))
+    v = v.join(sent(t.select("p", "n").distinct()), ["p", "n"], "left_semi").distinct()
+    d = v.join(sent(t), ["p", "n"]).withColumn("distance", F.levenshtein("term", "match")).where("distance <= edits")
     w = Window.partitionBy("term").orderBy("distance", "match")
     return d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_expansions).select("term", "match", "distance")
 
 
-def fuzzy_query_terms(queries: DataFrame, query_id: str, query: str, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, term): query terms with their fuzzy matches added for queries of at most eight words."""
+def fuzzy_query_terms(queries: DataFrame, query_id: str, query: str, vocabulary: DataFrame, search: Search = Search()) -> DataFrame:  # noqa: B008
+    """(query_id, term, weight): query terms at weight 1, and for queries of few words their fuzzy matches, at one minus the
+    distance over the shorter length; a match of several terms counts with its best weight."""
     exact = query_terms(queries, query_id, query)
-    short = queries.where(F.size(F.split(F.trim(query), r"\s+")) <= MAX_FUZZY_TOKENS).select(F.col(query_id).alias("query_id"))
-    more = exact.join(short, "query_id").join(fuzzy_terms(exact, vocabulary), "term").select("query_id", F.col("match").alias("term"))
-    return exact.unionByName(more).distinct()
+    words = F.filter(F.split(strip(query), r"(?U)\s+"), lambda x: x != "")
+    short = queries.where(F.size(words) <= search.max_fuzzy_tokens).select(F.col(query_id).alias("query_id"))
+    asked = stage(exact.join(short.distinct(), "query_id"), "asked")
+    near = fuzzy_terms(asked, vocabulary, search.prefix, search.max_expansions).where("distance > 0")
+    weight = 1 - F.col("distance") / F.least(F.length("term"), F.length("match"))
+    more = asked.join(near, "term").select("query_id", F.col("match").alias("term"), weight.alias("weight"))
+    both = exact.withColumn("weight", F.lit(1.0)).unionByName(more)
+    return both.groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 
-def highlights(hits: DataFrame, text: str, query: str, k: int, fragments: int = FRAGMENTS, chars: int = FRAGMENT_CHARS) -> DataFrame:
+def highlights(hits: DataFrame, text: str, query: str, k: int, search: Search = EXACT) -> DataFrame:
     """``hits`` with ``highlights``: up to ``fragments`` windows of ``chars`` characters around term occurrences, terms wrapped in
     <em>. Windows end between tokens, so no occurrence is split; a token longer than ``chars`` is a window of its own. For k over
-    20 the array is empty, as it is for null texts."""
-    if k > HIGHLIGHT_MAX_K:
+    ``highlight_max_k`` the array is empty, as it is for null texts."""
+    fragments, chars = search.fragments, search.chars
+    if k > search.highlight_max_k or not search.highlight:
         return hits.withColumn("highlights", F.array().cast("array<string>"))
     t = F.coalesce(F.col(text), F.lit(""))
     windows = F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{chars}}}(?!(?<={WORD}){WORD})|{WORD}+"), F.lit(0))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from corvid.functions.vectors import distance_score, l2_normalize, norm
 from corvid.session import prepare, stage
@@ -30,20 +31,33 @@ class HashingEncoder:
 
     def __init__(self, dim: int = 64, max_tokens: int | None = None):
         self.dim, self.max_tokens = dim, max_tokens
+        self.places: dict[str, int] = {}
+
+    def place(self, w: str) -> int:
+        """Twice the token's dimension, plus one for a positive sign."""
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        return h % self.dim * 2 + (h >> 63)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        if len(self.places) > 1 << 20:
+            self.places.clear()
+        known, rows, at = self.places, [], []
         for row, t in enumerate(texts):
-            for w in re.findall(r"[一-鿿]|\w+", (t or "").lower())[: self.max_tokens]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[row, h % self.dim] += 1.0 if h >> 63 else -1.0
+            own = re.findall(r"[一-鿿]|\w+", (t or "").lower())[: self.max_tokens]
+            for w in set(own) - known.keys():
+                known[w] = self.place(w)
+            at.extend(map(known.__getitem__, own))
+            rows.append(len(own))
+        place = np.array(at, np.int64)
+        cell = np.repeat(np.arange(len(texts)), rows) * self.dim + place // 2
+        out = np.bincount(cell, weights=place % 2 * 2 - 1, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(np.float32)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.where(n > 0, out / np.maximum(n, 1e-12), out)
 
 
-def embed(df: DataFrame, key: str, text: str, make_encoder: Callable = HashingEncoder, batch: int = 32) -> DataFrame:
+def embed(df: DataFrame, key: str, text: str, make_encoder: Callable = HashingEncoder, batch: int = 32, keep: bool = False) -> DataFrame:
     """(key, embedding, error): vectors of the texts in batches. A batch that fails gives null vectors and its error;
-    null texts are encoded as ''. The encoder is made once per task."""
+    null texts are encoded as ''. The encoder is made once per task. With ``keep`` all other columns go along in the same pass."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +74,19 @@ def embed(df: DataFrame, key: str, text: str, make_encoder: Callable = HashingEn
                 except Exception as e:  # noqa: BLE001
                     vecs.extend([None] * len(part))
                     errors.extend([str(e)] * len(part))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vecs, pa.list_(pa.float32())), pa.array(errors, pa.string())], [key, "embedding", "error"])
+            yield pa.RecordBatch.from_arrays([*(b.column(out.names.index(c) if keep else 0) for c in out.names[:-2]), pa.array(vecs, pa.list_(pa.float32())), pa.array(errors, pa.string())], out.names)
+
+    src = df.select(key, text, *[c for c in df.columns if c not in (key, text, "embedding", "error")]) if keep else df.select(key, text)
+    out = StructType([*(src.schema if keep else src.schema[:1]), StructField("embedding", ArrayType(FloatType())), StructField("error", StringType())])
+    return src.mapInArrow(run, out)
+
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, embedding array<float>, error string")
+def shaped_hits(hits: DataFrame, store: DataFrame, id_col: str) -> DataFrame:
+    """Hits (query_id, id, rank, score) as the service hands them out: id, doc_id and file_path 'unknown' where the store lacks them,
+    content '', no chunk_index, and a distance that is always null; hits without a stored row stay."""
+    s = store.select(F.col(id_col).alias("id"), "doc_id", "file_path", "content").groupBy("id").agg(F.min(F.struct("doc_id", "file_path", "content")).alias("s"))
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    return hits.join(s, "id", "left").select("query_id", "rank", unknown(F.col("id").cast("string")).alias("id"), unknown(F.col("s.doc_id")).alias("doc_id"), unknown(F.col("s.file_path")).alias("file_path"), F.coalesce("s.content", F.lit("")).alias("content"), "score", F.lit(None).cast("double").alias("distance"))
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

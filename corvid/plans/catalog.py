@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -438,13 +437,60 @@ def bm25_topk(spark, d):
     return keyword.bm25(table(spark, d, "documents"), "doc_id", "text", _queries(spark, d), "query_id", "query")
 
 
-# DuckDB counts edits in bytes, so this one is tested against brute force instead.
-@query()
+def sql_edits(a: str, b: str) -> str:
+    """Edit distance in characters; DuckDB's own counts bytes, so it serves where both are ASCII only."""
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda y: [y]), lambda acc, j: list_append(acc, least(acc[j[1]] + 1, prev[j[1] + 1] + 1, prev[j[1]] + (substr({a}, i[1], 1) <> substr({b}, j[1], 1))::BIGINT)), [i[1]])"
+    wide = f"list_reduce(list_transform(range(1, length({a}) + 1), lambda x: [x]), lambda prev, i: {row}, range(0, length({b}) + 1))[length({b}) + 1]"
+    return f"CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE {wide} END"
+
+
+NEAR = f"""voc AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS match FROM documents), ask AS (SELECT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS edits FROM asked),
+    near AS (SELECT term, match, distance FROM (SELECT term, match, edits, ({sql_edits('term', 'match')})::INT AS distance FROM ask JOIN voc ON substr(term, 1, 1) = substr(match, 1, 1) AND abs(length(term) - length(match)) <= edits)
+    WHERE distance <= edits QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, match) <= 50)"""
+
+
+@query(f"WITH asked AS (SELECT DISTINCT unnest({sql_tokens('query')}) AS term FROM ({QUERY_SQL})), {NEAR} SELECT * FROM near")
 def fuzzy_terms(spark, d):
     vocabulary = table(spark, d, "documents").select(F.explode(T.tokens("text")).alias("term"))
     return keyword.fuzzy_terms(keyword.query_terms(_queries(spark, d), "query_id", "query"), vocabulary)
 
 
+def bm25_sql(terms: str, queries: str = QUERY_SQL, boost: float = 1.0) -> str:
+    """BM25 by its published form over the CTE qt (query_id, term, weight) that ``terms`` defines."""
+    return f"""WITH tok AS (SELECT doc_id, {sql_tokens("coalesce(text, '')")} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avglen FROM tok), q AS ({queries}), {terms},
+    tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    s AS (SELECT query_id, doc_id, {boost} * sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY query_id, doc_id)"""
+
+
+FUZZY_TERMS = rf"""ex AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS term FROM q), few AS (SELECT query_id FROM q WHERE len(regexp_extract_all(query, '[^\s\v\p{{Z}}\x{{85}}]+')) <= 8),
+    asked AS (SELECT DISTINCT term FROM ex WHERE query_id IN (SELECT query_id FROM few)), {NEAR},
+    qt AS (SELECT query_id, term, max(weight) AS weight FROM (SELECT query_id, term, 1.0::DOUBLE AS weight FROM ex UNION ALL
+    SELECT query_id, match, 1 - distance / least(length(term), length(match)) FROM ex JOIN near USING (term) WHERE distance > 0 AND query_id IN (SELECT query_id FROM few)) GROUP BY query_id, term)"""
+
+
+@query(f"{bm25_sql(FUZZY_TERMS, boost=2.0)} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10")
+def bm25_fuzzy(spark, d):
+    return keyword.bm25(table(spark, d, "documents"), "doc_id", "text", _queries(spark, d), "query_id", "query", search=keyword.Search())
+
+
+# Every second query is a whole path, so both fields decide hits.
+FIELD_QUERIES = "SELECT doc_id AS query_id, CASE WHEN doc_id % 200 = 0 THEN file_path ELSE coalesce(title, substr(text, 1, 60)) END AS query FROM documents WHERE doc_id % 100 = 0"
+
+
+@query(
+    f"""{bm25_sql(f"qt AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS term, 1.0 AS weight FROM q WHERE query IS NOT NULL)", FIELD_QUERIES, 2.0)},
+    p AS (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS df FROM q JOIN documents d ON d.file_path = {sql_strip('q.query')} WHERE q.query <> ''),
+    b AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM (SELECT query_id, doc_id, score FROM s UNION ALL SELECT query_id, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) FROM p, st) GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, score FROM b QUALIFY rank <= 10"""
+)
+def bm25_fields(spark, d):
+    docs = table(spark, d, "documents")
+    name = F.when(F.col("doc_id") % 200 == 0, F.col("file_path")).otherwise(F.coalesce("title", F.substring("text", 1, 60)))
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), name.alias("query"))
+    return keyword.bm25(docs, "doc_id", "text", q, "query_id", "query", search=keyword.Search(fuzziness=False), path="file_path")
+
+
 @query()
 def highlights(spark, d):
     hits = bm25_topk(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(_queries(spark, d), "query_id")
@@ -827,8 +873,7 @@ def sse_parse(spark, d):
 def stream_last_seen(spark, d):
     schema = table(spark, d, "events").schema
     s = state.read_stream(spark, f"{d}/events.parquet*", schema)
-    name = "corvid_last_seen"
-    return state.run_once(state.last_seen(s, "user_id", "ts"), name, tempfile.mkdtemp(), "complete").select("user_id", F.col("last").cast("timestamp_ntz").alias("last"))
+    return state.run_once(state.last_seen(s, "user_id", "ts"), "last_seen", "complete").select("user_id", F.col("last").cast("timestamp_ntz").alias("last"))
 
 
 # ---------------------------------------------------------------- ingest
@@ -837,5 +882,5 @@ def stream_last_seen(spark, d):
 @query()
 def ingest_chunks(spark, d):
     s = pipeline.Settings(backend="text", selector=None)
-    docs = pages_of(spark, d).where("relative_path IS NOT NULL").dropDuplicates(["relative_path"])
+    docs = files.unique_paths(pages_of(spark, d, "page_id", "relative_path", "file_type", "content"), "relative_path", "page_id")
     return pipeline.REGISTRY["text"](s)(docs.select("relative_path", "file_type", "content")).select("doc_id", "chunk_index", F.md5("content").alias("hash"))

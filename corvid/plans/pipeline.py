@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import clean_text
 from corvid.operators import chunking, code, vectors
+from corvid.session import stage
 from corvid.sources import files, sinks
 
 Step = Callable[[DataFrame], DataFrame]
@@ -28,8 +29,9 @@ class Settings:
     min_chunk: int = chunking.MIN_LENGTH
     selector: str | None = "div.td-content"
     skip_missing: bool = True
-    dim: int = 64
+    dim: int | None = 64
     batch: int = 32
+    model: str = "small"
     overwrite: bool = True
     dry_run: bool = False
 
@@ -37,10 +39,24 @@ class Settings:
         chunking.check(self.chunk_size, self.chunk_overlap)
         if self.backend not in sinks.BACKENDS:
             raise ValueError(f"unknown backend: {self.backend}")
-        if self.batch < 1 or self.dim < 1:
+        if self.batch < 1 or self.dim is not None and self.dim < 1:
             raise ValueError("batch and dim must be positive")
         return self
 
+    def encoder(self) -> Callable:
+        dim = self.inferred().dim
+        return lambda: vectors.HashingEncoder(dim)
+
+    def inferred(self, probe: Callable | None = None) -> Settings:
+        """With ``dim`` filled in where it is None: the width of a probe text's vector, else the model's listed one, else 512."""
+        if self.dim is not None:
+            return self
+        try:
+            dim = len(probe().encode(["probe"])[0]) if probe else vectors.MODEL_DIMS[self.model]
+        except Exception:  # noqa: BLE001
+            dim = 512
+        return self.merged(dim=dim)
+
     def merged(self, **changes) -> Settings:
         unknown = set(changes) - set(self.__dataclass_fields__)
         if unknown:
@@ -95,13 +111,12 @@ class Pipeline:
 
 
 def clean_html_step(s: Settings) -> Step:
-    """HTML rows become text of the selected region, other rows only cleaned."""
+    """HTML rows become text of the selected region, other rows only cleaned; all columns go along in one pass."""
 
     def run(df: DataFrame) -> DataFrame:
         is_html = F.lower(F.coalesce("file_type", F.lit(""))).isin(".html", ".htm", "html", "htm")
-        pages = code.html_pages(df.where(is_html), "relative_path", "content", s.selector, s.skip_missing)
-        html = df.where(is_html).drop("content").join(pages.select("relative_path", "content"), "relative_path")
-        return html.unionByName(df.where(~is_html)).withColumn("content", clean_text("content"))
+        rows = code.html_pages(df.withColumn("_html", is_html), "relative_path", "content", s.selector, s.skip_missing, keep=True, when="_html")
+        return rows.drop("n_codes").withColumn("content", clean_text("content"))
 
     return run
 
@@ -116,9 +131,7 @@ def chunk_step(s: Settings) -> Step:
 
 def embed_step(s: Settings) -> Step:
     def run(df: DataFrame) -> DataFrame:
-        dim = s.dim
-        e = vectors.embed(df, "doc_id", "content", lambda: vectors.HashingEncoder(dim), s.batch)
-        return df.join(e, "doc_id")
+        return vectors.embed(df, "doc_id", "content", s.encoder(), s.batch, keep=True)
 
     return run
 
@@ -143,14 +156,41 @@ class IngestResult:
 
 
 def ingest(spark: SparkSession, settings: Settings, documents: DataFrame | None = None) -> IngestResult:
-    """Run the ingest of the settings' backend; a dry run does everything but store."""
+    """Run the ingest of the settings' backend; a dry run does everything but store. The pipeline runs once: its chunks are
+    staged, counted and stored from there; paths name one document each (``files.unique_paths`` makes them so)."""
     s = settings.check()
     docs = documents if documents is not None else files.read_documents(spark, s.root)
     backend = sinks.create_backend(s.backend, spark, s.target, overwrite=s.overwrite)
-    chunks = REGISTRY[s.backend](s)(docs)
+    chunks = stage(REGISTRY[s.backend](s)(docs), "ingest")
     rows = sinks.prepared(chunks, docs, backend.requires_embedding)
-    n_docs, n_chunks = docs.count(), rows.count()
+    n_docs, n_chunks = docs.select("relative_path").count(), rows.count()
     if s.dry_run:
         return IngestResult(True, n_docs, n_chunks, 0)
-    r = backend.store(rows)
+    r = backend.store(rows, staged=True)
     return IngestResult(r.success, n_docs, n_chunks, r.stored_count, r.errors)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m corvid.plans.pipeline ROOT TARGET``: ingest a folder; 0 if all was stored."""
+    import argparse
+
+    from corvid.session import local_session
+
+    p = argparse.ArgumentParser(description="Ingest a folder of documents.")
+    p.add_argument("root")
+    p.add_argument("target")
+    p.add_argument("--backend", choices=sorted(sinks.BACKENDS), default="vector")
+    p.add_argument("--selector", default=None)
+    p.add_argument("--chunk-size", type=int, default=chunking.SIZE)
+    p.add_argument("--chunk-overlap", type=int, default=chunking.OVERLAP)
+    p.add_argument("--append", action="store_true")
+    p.add_argument("--dry-run", action="store_true")
+    a = p.parse_args(argv)
+    s = Settings(root=a.root, target=a.target, backend=a.backend, selector=a.selector, chunk_size=a.chunk_size, chunk_overlap=a.chunk_overlap, overwrite=not a.append, dry_run=a.dry_run)
+    r = ingest(SparkSession.getActiveSession() or local_session(), s)
+    print(f"{r.documents} documents, {r.chunks} chunks, {r.stored} stored", *r.errors, sep="\n")
+    return 0 if r.success else 1
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions.text import excluded_path
+from corvid.operators.vectors import embed
+from corvid.session import prepare
 
 EXTENSIONS = [".html", ".md", ".txt"]
 EXCLUDED = ["_print"]
@@ -36,15 +40,60 @@ def kept_paths(df: DataFrame, extensions: list[str] = EXTENSIONS, exclude: list[
     return df.where(end & ~excluded_path(on, exclude) & ~hidden)
 
 
+def _uri(root: str) -> str:
+    return root if "://" in root else "file://" + root
+
+
 def read_documents(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, exclude: list[str] = EXCLUDED, recursive: bool = True, any_case: bool = False, on: str = "relative_path") -> DataFrame:
-    """Documents below a folder, one row a file, UTF-8. Unreadable bytes become the replacement character;
-    files of no bytes give no row."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    raw = reader.load(root)
+    """Documents below a folder, one row a file, UTF-8. Unreadable bytes become the replacement character. Files that
+    Spark does not list (of no bytes, or with a name or folder that begins with '_') are read beside the others.
+
+    Names are tested before any byte is read: extensions by the reader's glob, excluded substrings by a filter on the file's
+    path that prunes the list of files."""
+    glob = "*{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if any_case and c.isalpha() else c for c in e) for e in extensions) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
+    base = _uri(root).rstrip("/") + "/"
+    at = F.col("_metadata.file_path")
+    for e in exclude:
+        # The metadata's path is URL-encoded: only plain names are tested there, all of them again below.
+        if all(c.isalnum() or c in "._-/" for c in e):
+            raw = raw.where(~at.startswith(base) | ~F.contains(F.substr(at, F.lit(1 if on == "file_path" else len(base) + 1)), F.lit(e)))
+    full = raw.select("path", F.col("content").cast("string").alias("content"))
+    missed = _unlisted(spark, root, recursive, extensions, any_case, exclude if on == "relative_path" else [])
+    if missed:
+        full = full.unionByName(_read_each(spark.createDataFrame([(p,) for p in missed], "path string")))
     path = F.regexp_replace("path", "^file:/+", "/")
-    # Filter on the path before the content is touched.
-    named = described(raw.select("path", F.col("content").cast("string").alias("content")), path, root.removeprefix("file://"))
-    return kept_paths(named, extensions, exclude, on, any_case)
+    return kept_paths(described(full, path, root.removeprefix("file://")), extensions, exclude, on, any_case)
+
+
+def _unlisted(spark: SparkSession, root: str, recursive: bool, extensions: list[str], any_case: bool, exclude: list[str]) -> list[str]:
+    """Paths of the files that Spark's reader leaves out; the driver lists the folder, as that reader does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    it = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recursive)
+    base, out = root.split("://")[-1].rstrip("/") + "/", []
+    while it.hasNext():
+        f = it.next()
+        rel = f.getPath().toUri().getPath().removeprefix(base)
+        hidden = any(x.startswith("_") and "=" not in x for x in rel.split("/"))
+        if (hidden or not f.getLen()) and (rel.lower() if any_case else rel).endswith(tuple(extensions)) and not any(e in rel for e in exclude):
+            out.append(f.getPath().toString())
+    return out
+
+
+def _read_each(paths: DataFrame) -> DataFrame:
+    """(path, content) of files by name, read by the tasks."""
+    prepare(paths.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for p in b.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
+                with fs.open_input_stream(at) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["path", "content"])
+
+    return paths.mapInArrow(run, "path string, content string")
 
 
 def read_legacy(spark: SparkSession, root: str) -> DataFrame:
@@ -67,6 +116,23 @@ def uploads(spark: SparkSession, root: str) -> DataFrame:
     return read_documents(spark, root, UPLOADS, [], any_case=True)
 
 
+def upload_vectors(docs: DataFrame, path: str = "relative_path", text: str = "content", **encoder) -> DataFrame:
+    """``docs`` of an allowed type with one vector for each whole file: the columns, embedding and error."""
+    ok = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(UPLOADS)
+    return embed(docs.where(ok), path, text, keep=True, **encoder)
+
+
+def unique_paths(docs: DataFrame, path: str, key: str) -> DataFrame:
+    """``docs`` with paths that name one row each, so none is lost: of rows with equal paths the one of the smallest key keeps it,
+    the others become 'path@key'; null and empty paths become 'page_key'."""
+    named = docs.where(F.coalesce(F.col(path) != "", F.lit(False)))
+    shared = named.groupBy(path).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first")).where("_n > 1").select(path, "_first")
+    k = F.col(key).cast("string")
+    full = docs.join(shared, path, "left")
+    name = F.when(F.coalesce(F.col(path) == "", F.lit(True)), F.concat(F.lit("page_"), k)).when(F.col("_first") != F.col(key), F.concat(path, F.lit("@"), k)).otherwise(F.col(path))
+    return full.withColumn(path, name).select(*docs.columns)
+
+
 def tree(df: DataFrame, path: str) -> DataFrame:
     """(path, parent, label, depth, is_file): all folders and .html files of a list of relative paths, each once.
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions.text import strip
-from corvid.session import stage
+from corvid.operators.keyword import postings
+from corvid.session import prepare, stage
 
 CONTENT_LIMIT = 65_000
 MIN_CHUNK = 10
+#: Bytes of JSON the older insert flushes at.
+BULK_BYTES = 2 << 20
+INDEXED = "text string, file_path string, chunk_index int, source string"
 
 
 @dataclass
@@ -56,20 +65,24 @@ def write(rows: DataFrame, at: str, mode: str = "overwrite", partition_by: list[
 
 
 class VectorStore:
-    """A collection of embedded chunks. ``overwrite`` (the default) replaces it, else rows are added."""
+    """A collection of embedded chunks. ``overwrite`` (the default) replaces it, else rows are added. ``sparse`` also keeps the
+    postings of the texts beside it, at ``at`` + '-sparse'."""
 
     requires_embedding = True
 
-    def __init__(self, spark: SparkSession, at: str, overwrite: bool = True):
-        self.spark, self.at, self.overwrite = spark, at, overwrite
+    def __init__(self, spark: SparkSession, at: str, overwrite: bool = True, sparse: bool = False):
+        self.spark, self.at, self.overwrite, self.sparse = spark, at, overwrite, sparse
 
-    def store(self, rows: DataFrame) -> StorageResult:
-        rows = stage(rows, "store")
+    def store(self, rows: DataFrame, staged: bool = False) -> StorageResult:
+        """Writes the complete rows and counts the others; ``staged`` says that reading ``rows`` again is cheap."""
+        rows = rows if staged else stage(rows, "store")
         good, bad = vector_rows(rows)
-        n_bad = bad.count()
-        write(good, self.at, "overwrite" if self.overwrite else "append")
-        n = rows.count() - n_bad
-        return StorageResult(n_bad == 0, n, n_bad, [f"{n_bad} rows lack id, content or embedding"] if n_bad else [])
+        mode = "overwrite" if self.overwrite else "append"
+        write(good, self.at, mode)
+        if self.sparse:
+            write(postings(good, "doc_id", "content"), self.at + "-sparse", mode)
+        n, n_bad = rows.count(), bad.count()
+        return StorageResult(n_bad == 0, n - n_bad, n_bad, [f"{n_bad} rows lack id, content or embedding"] if n_bad else [])
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.at)
@@ -85,50 +98,152 @@ class VectorStore:
 
 
 class TextIndex:
-    """Chunk texts keyed by doc_id; storing again replaces the same ids. With vectors if any row has one: then rows without
-    count as errors."""
+    """Chunk texts keyed by doc_id, in ``parts`` partitions by the id's hash; storing again replaces the same ids and rewrites only
+    the partitions that new rows fall into. With vectors if any row has one: then rows without count as errors."""
 
     requires_embedding = False
 
-    def __init__(self, spark: SparkSession, at: str, overwrite: bool = False):
-        self.spark, self.at, self.overwrite = spark, at, overwrite
+    def __init__(self, spark: SparkSession, at: str, overwrite: bool = False, parts: int = 64):
+        self.spark, self.at, self.overwrite, self.parts = spark, at, overwrite, parts
 
-    def _exists(self) -> bool:
+    def exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def store(self, rows: DataFrame) -> StorageResult:
-        cols = ["doc_id", "text", "file_path", "chunk_index", "source"]
+    def ensure(self) -> bool:
+        """Make the empty index if there is none; True if it was made."""
+        if self.exists():
+            return False
+        write(self.spark.createDataFrame([], f"doc_id string, {INDEXED}"), self.at)
+        return True
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
+    def store(self, rows: DataFrame, staged: bool = False) -> StorageResult:
         rows = rows.withColumnRenamed("content", "text") if "text" not in rows.columns else rows
-        for c, kind in (("file_path", "string"), ("chunk_index", "int"), ("source", "string")):
+        for c, kind in (x.split() for x in INDEXED.split(", ")):
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast(kind))
         rows = rows.withColumn("source", F.coalesce("source", F.lit("")))
+        rows = rows.select("doc_id", *[x.split()[0] for x in INDEXED.split(", ")], *(["embedding"] if "embedding" in rows.columns else []))
+        rows = rows if staged else stage(rows, "index")
         vectors = "embedding" in rows.columns and not rows.where("embedding IS NOT NULL").isEmpty()
-        rows = stage(rows.select(*cols, *(["embedding"] if vectors else [])), "index")
+        rows = rows if vectors or "embedding" not in rows.columns else rows.drop("embedding")
         good = rows.where("doc_id IS NOT NULL" + (" AND embedding IS NOT NULL" if vectors else ""))
         n, n_good = rows.count(), good.count()
-        all_rows = good.withColumn("_new", F.lit(1))
-        if self._exists() and not self.overwrite:
-            all_rows = self.read().withColumn("_new", F.lit(0)).unionByName(all_rows, allowMissingColumns=True)
-        write(stage(upsert_rows(all_rows, "doc_id", ["_new"]).drop("_new"), "upsert"), self.at)
+        new = good.withColumn("part", self._part()).withColumn("_new", F.lit(1))
+        old = self.spark.read.parquet(self.at) if self.exists() and not self.overwrite else None
+        if old is not None and "part" in old.columns:
+            touched = [r["part"] for r in new.select("part").distinct().collect()]
+            new = old.where(F.col("part").isin(touched)).withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+        full = stage(upsert_rows(new, "doc_id", ["_new"]).drop("_new"), "upsert")
+        dynamic = "dynamic" if old is not None and "part" in old.columns else "static"
+        full.write.mode("overwrite").option("partitionOverwriteMode", dynamic).partitionBy("part").parquet(self.at)
         return StorageResult(n == n_good, n_good, n - n_good, [f"{n - n_good} rows rejected"] if n > n_good else [])
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.at)
+        return self.spark.read.parquet(self.at).drop("part")
 
     def stats(self) -> DataFrame:
         return self.read().agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-def append_rows(rows: DataFrame, at: str, required: list[str]) -> int:
-    """The older insert: incomplete rows are skipped without a word, the rest is appended; a re-run duplicates."""
+class UnitOfWork:
+    """Tables that change together: ``write`` stages new versions, ``commit`` makes all of them current by replacing one manifest,
+    ``rollback`` (and leaving a ``with`` block by an exception) forgets them. Readers see the last committed manifest only."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.pending = spark, root.rstrip("/"), {}
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _manifest(self) -> dict[str, str]:
+        at = self._path("_current/manifest")
+        return json.loads(self.spark.read.text(f"{self.root}/_current/manifest", wholetext=True).first()[0]) if self.fs.exists(at) else {}
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        at = f"{name}-{uuid.uuid4().hex}"
+        write(rows, f"{self.root}/{at}")
+        self.pending[name] = at
+
+    def read(self, name: str) -> DataFrame:
+        """The table as this unit sees it: its own pending version, else the committed one; KeyError for an unknown name."""
+        return self.spark.read.parquet(f"{self.root}/{(self._manifest() | self.pending)[name]}")
+
+    def commit(self) -> None:
+        text = json.dumps(self._manifest() | self.pending)
+        new = f"_new-{uuid.uuid4().hex}"
+        out = self.fs.create(self._path(f"{new}/manifest"))
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        old = self._path(f"_old-{uuid.uuid4().hex}")
+        if self.fs.exists(self._path("_current")):
+            self.fs.rename(self._path("_current"), old)
+        if not self.fs.rename(self._path(new), self._path("_current")):
+            raise RuntimeError("the manifest could not be replaced")
+        self.fs.delete(old, True)
+        self.pending = {}
+
+    def rollback(self) -> None:
+        for at in self.pending.values():
+            self.fs.delete(self._path(at), True)
+        self.pending = {}
+
+    def __enter__(self) -> UnitOfWork:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.rollback() if kind else self.commit()
+
+
+def write_tree(df: DataFrame, path: str, text: str, root: str, suffix: str | None = None) -> DataFrame:
+    """(path, error): each text as a file of its own below ``root``, at its relative path (with ``suffix`` in place of the last one);
+    error is null where it was written. Files are written by the tasks and moved into place, so a repeated task does no harm.
+    Null texts are written empty, null paths and those that lead out of ``root`` are errors. Runs when the result is read."""
+    prepare(df.sparkSession)
+    base = root if "://" in root else "file://" + root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(base)
+        for b in batches:
+            errors = []
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    if not p or p.startswith("/") or ".." in p.split("/"):
+                        raise ValueError("not a path below the root")
+                    name = (p.rsplit(".", 1)[0] if "." in p.rsplit("/", 1)[-1] else p) + suffix if suffix else p
+                    at = f"{top}/{name}"
+                    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    held = f"{at.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(held) as out:
+                        out.write((t or "").encode("utf-8", "replace"))
+                    fs.move(held, at)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string())], ["path", "error"])
+
+    return df.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text")).mapInArrow(run, "path string, error string")
+
+
+def write_code(blocks: DataFrame, root: str) -> DataFrame:
+    """(code_id) of the blocks written, one .txt file each: those that could not be written are not to be replaced."""
+    return write_tree(blocks.groupBy("code_id").agg(F.min("code").alias("code")).withColumn("_path", F.concat("code_id", F.lit(".txt"))), "_path", "code", root).where("error IS NULL").select(F.regexp_replace("path", r"\.txt$", "").alias("code_id"))
+
+
+def append_rows(rows: DataFrame, at: str, required: list[str], max_bytes: int = BULK_BYTES) -> int:
+    """The older bulk insert: incomplete rows are skipped without a word, the rest is appended in files of about ``max_bytes`` of
+    JSON at most; a re-run duplicates."""
     ok: Column = F.lit(True)
     for c in required:
         ok = ok & F.col(c).isNotNull()
-    good = rows.where(ok)
-    write(good, at, "append")
-    return good.count()
+    good = stage(rows.where(ok), "bulk")
+    n, size = good.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length(F.to_json(F.struct(*good.columns)))), F.lit(1))).first()
+    write(good, at, "append", max_records=max(1, max_bytes // size))
+    return n
 
 
 BACKENDS = {"vector": VectorStore, "text": TextIndex}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvid.operators.cache import MAX_MESSAGES, TTL_SECONDS
+from corvid.session import shared_dir
 
 
 def read_stream(spark: SparkSession, folder: str, schema, max_files: int | None = None) -> DataFrame:
@@ -56,17 +58,28 @@ def bounded_lists(stream: DataFrame, key: str, item: str, ts: str, n: int = MAX_
     )
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Process what is there and return the memory table; for tests and small runs."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """Process what is there and return the result: in mode complete the last batch's, else the rows of all batches. Checkpoint
+    and batches lie in the shared folder, a batch that is run again replaces its own."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/corvid-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{at}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def ingest_stream(stream: DataFrame, pipeline, at: str, checkpoint: str):
-    """New documents through a batch pipeline, micro-batch by micro-batch, appended to a table. Returns the query."""
+    """New documents through a batch pipeline, micro-batch by micro-batch, each into its own partition ``batch``: one that is run
+    again after a failure replaces what it wrote. Returns the query."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        pipeline(batch).write.mode("append").parquet(at)
+    def write(batch: DataFrame, number: int) -> None:
+        pipeline(batch).write.mode("overwrite").parquet(f"{at}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
