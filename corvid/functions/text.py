@@ -194,3 +194,20 @@ def sse_events(c: str | Column) -> Column:
         )
 
     return F.transform(blocks, one)
+
+
+def sse_consumed(c: str | Column) -> Column:
+    """What a reader of a server-sent stream takes: struct(events, status, message). Events end before the first 'done' or 'error';
+    status is 'done', 'error' (with its message) or 'open' for a stream that ends without either."""
+    e = sse_events(c)
+    stop = F.array_position(F.transform(e, lambda x: x["event"].isin("done", "error")), True)
+    last = F.when(stop > 0, F.get(e, (stop - 1).cast("int")))
+    status = F.coalesce(last["event"], F.lit("open"))
+    upto = F.when(stop > 0, F.slice(e, F.lit(1), (stop - 1).cast("int"))).otherwise(e)
+    return F.struct(upto.alias("events"), status.alias("status"), F.when(status == "error", F.get_json_object(last["data"], "$.message")).alias("message"))
+
+
+def sse_strict(c: str | Column) -> Column:
+    """The events of ``sse_consumed``; a stream with an error event fails the query when it is read."""
+    x = sse_consumed(c)
+    return F.when(x["status"] == "error", F.raise_error(F.coalesce(x["message"], F.lit("stream error")))).otherwise(x["events"])

@@ -63,6 +63,13 @@ def cache_aside(cached: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return cached.withColumn("origin", F.lit("cache")).unionByName(stored.join(have, key, "left_anti").withColumn("origin", F.lit("store")), allowMissingColumns=True)
 
 
+def filled(cached: DataFrame, stored: DataFrame, key: str, order: list[str], n: int = MAX_MESSAGES) -> DataFrame:
+    """The cache after such reads: its own lists, and for keys it lacked those of the store, bounded to the newest ``n`` by
+    ``order``; ``pos`` from 0, oldest first."""
+    both = cache_aside(cached.drop("pos") if "pos" in cached.columns else cached, stored, key)
+    return bounded(both, key, order, n)
+
+
 def invalidate(cached: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return cached.join(keys.select(key).distinct(), key, "left_anti")
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.functions.text import canonical_role
+
+#: Messages before the question that go into its prompt.
+HISTORY = 10
 MAX_DOCS, MAX_DOC_CHARS, MAX_CHARS = 10, 2000, 20_000
 # The words of the context's text.
 DOC_CUT, TOTAL_CUT, NO_DOCS = "\n...[内容已截断]", "\n...[上下文已截断]", "没有找到相关的文档内容。"
@@ -44,10 +48,29 @@ def prompt(system: str, history, context_text, question):
     return F.concat(one("system", F.lit(system)), history, one("user", user))
 
 
+def histories(messages: DataFrame, n: int = HISTORY) -> DataFrame:
+    """(chat_id, question, history): of each chat the newest user message and up to ``n`` messages before it, oldest first, as
+    (role, content) in canonical roles. Messages of unknown role or without content are no part of a prompt; chats without a user
+    message have no row. Only the newest messages of a chat are gathered: its list is bounded."""
+    m = messages.select("chat_id", "id", "created_at", canonical_role("role").alias("role"), "content").where("chat_id IS NOT NULL AND role IN ('user', 'assistant') AND content IS NOT NULL")
+    order = [F.col("created_at").desc_nulls_last(), F.col("id")]
+    asked = m.where("role = 'user'").withColumn("_r", F.row_number().over(Window.partitionBy("chat_id").orderBy(*order))).where("_r = 1")
+    asked = asked.select("chat_id", F.col("created_at").alias("_at"), F.col("id").alias("_id"), F.col("content").alias("question"))
+    older = F.coalesce(F.col("created_at") < F.col("_at"), F.col("created_at").isNull() & F.col("_at").isNotNull()) | (F.col("created_at").eqNullSafe(F.col("_at")) & (F.col("id") > F.col("_id")))
+    before = m.join(asked.drop("question"), "chat_id").where(older)
+    before = before.withColumn("_r", F.row_number().over(Window.partitionBy("chat_id").orderBy(*order))).where(F.col("_r") <= n)
+    g = before.groupBy("chat_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_r", "role", "content")))).alias("h"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    history = F.coalesce(F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))), none)
+    return asked.select("chat_id", "question").join(g, "chat_id", "left").select("chat_id", "question", history.alias("history"))
+
+
 def source_list(docs: DataFrame) -> DataFrame:
-    """(query_id, sources): JSON list of title, id, content, score of each query's documents in rank order."""
-    item = F.struct("rank", F.col("file_path").alias("title"), F.col("key").alias("id"), "content", "score")
-    return docs.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["title"], x["id"], x["content"], x["score"]))).alias("sources"))
+    """(query_id, sources): JSON list of title, id, content, url, score of each query's documents in rank order; url is left out
+    where there is none."""
+    url = F.col("url") if "url" in docs.columns else F.lit(None).cast("string")
+    item = F.struct("rank", F.col("file_path").alias("title"), F.col("key").alias("id"), "content", url.alias("url"), "score")
+    return docs.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["title"], x["id"], x["content"], x["url"], x["score"]))).alias("sources"))
 
 
 def stream_events(answers: DataFrame, piece: int = 20) -> DataFrame:

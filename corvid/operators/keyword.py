@@ -131,8 +131,13 @@ def highlights(hits: DataFrame, text: str, query: str, k: int, search: Search =
     qt = F.array_distinct(tokens(query))
     hit = F.filter(windows, lambda x: F.arrays_overlap(tokens(x), qt))
 
+    # One pattern for all tokens: words between other characters, Chinese characters anywhere.
+    han = F.filter(qt, lambda x: x.rlike(r"^[\x{4E00}-\x{9FFF}]$"))
+    words = F.array_join(F.array_append(F.array_except(qt, han), F.lit("(?!)")), "|")
+    pattern = F.concat(F.lit(rf"(?iu)((?<!{WORD})(?:"), words, F.lit(rf")(?!{WORD})"), F.when(F.size(han) > 0, F.concat(F.lit("|["), F.array_join(han, ""), F.lit("]"))).otherwise(""), F.lit(")"))
+
     def wrap(x):
-        return F.aggregate(qt, x, lambda a, q: F.regexp_replace(a, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}<])("), q, F.lit(r")(?![\p{L}\p{N}>])")), F.lit("<em>$1</em>")))
+        return F.regexp_replace(x, pattern, F.lit("<em>$1</em>"))
 
     return hits.withColumn("highlights", F.transform(F.slice(hit, 1, fragments), wrap))
 

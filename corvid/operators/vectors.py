@@ -35,8 +35,8 @@ class HashingEncoder:
 
     def place(self, w: str) -> int:
         """Twice the token's dimension, plus one for a positive sign."""
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        return h % self.dim * 2 + (h >> 63)
+        h = int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest()[:8], 16)
+        return h % self.dim * 2 + (h >> 31)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         if len(self.places) > 1 << 20:

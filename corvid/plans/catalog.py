@@ -183,10 +183,10 @@ def doc_tree(spark, d):
     """WITH p AS (SELECT string_split(regexp_replace(relative_path, '^/+', ''), '/') AS parts FROM raw_docs WHERE relative_path <> ''),
     q AS (SELECT parts, unnest(range(1, len(parts) + 1)) AS depth FROM p WHERE len(list_filter(parts, lambda x: starts_with(x, '.') OR starts_with(x, '_'))) = 0),
     n AS (SELECT DISTINCT array_to_string(parts[1:depth], '/') AS path, depth FROM q WHERE depth < len(parts) OR ends_with(parts[depth], '.html'))
-    SELECT path, depth::INT AS depth FROM n WHERE EXISTS (SELECT 1 FROM n h WHERE contains(lower(h.path), 'quota') AND (h.path = n.path OR starts_with(h.path, n.path || '/')))"""
+    SELECT path, depth::INT AS depth FROM n WHERE EXISTS (SELECT 1 FROM n h WHERE contains(lower(h.path), 'probe') AND (h.path = n.path OR starts_with(h.path, n.path || '/')))"""
 )
 def doc_tree_search(spark, d):
-    return files.search_tree(files.tree(table(spark, d, "raw_docs"), "relative_path"), "quota").select("path", "depth")
+    return files.search_tree(files.tree(table(spark, d, "raw_docs"), "relative_path"), "probe").select("path", "depth")
 
 
 @query(
@@ -240,15 +240,43 @@ def detect_language_long(spark, d):
     return table(spark, d, "documents").select("doc_id", code.detect_language("text", long_list=True).alias("language"))
 
 
-@query()
+_FAMILIES = code.LANGUAGES | code.MORE_LANGUAGES
+
+
+def _codes_sql(order: list[str]) -> str:
+    """CTE c (page_id, idx, cls, code, language): all code elements of the pages, by patterns."""
+    whens = " ".join(f"WHEN regexp_matches(code, '(?im)(?:{'|'.join(_FAMILIES[n])})') THEN '{n}'" for n in order)
+    body = "replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&gt;', '>'), '&lt;', '<'), '&quot;', '\"'), '&amp;', '&')"
+    return rf"""WITH r AS (SELECT page_id, regexp_replace(content, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS t FROM {PAGES}),
+    e AS (SELECT page_id, unnest(range(1, len(b) + 1)) AS i, a, b FROM (SELECT page_id, regexp_extract_all(t, '(?is)<code([^>]*)>(.*?)</code>', 1) AS a, regexp_extract_all(t, '(?is)<code([^>]*)>(.*?)</code>', 2) AS b FROM r)),
+    g AS (SELECT page_id, (i - 1)::INT AS idx, nullif(regexp_extract(a[i], '(?:language|lang)-([^\s"]*)', 1), '') AS cls, b[i] AS body FROM e),
+    k AS (SELECT page_id, idx, cls, regexp_replace({body}, '^[\s\v\p{{Z}}\x{{85}}]+|[\s\v\p{{Z}}\x{{85}}]+$', '', 'g') AS code FROM g),
+    c AS (SELECT page_id, 'code_block_' || substr(sha256(page_id || '|' || idx), 1, 8) AS code_id, idx, length(code)::INT AS length, coalesce(cls, CASE {whens} ELSE 'text' END) AS language, code FROM k)"""
+
+
+@query(f"{_codes_sql(list(code.LANGUAGES))} SELECT * FROM c WHERE length > 100")
 def code_blocks(spark, d):
-    return code.code_blocks(pages_of(spark, d, "page_id", "content"), "page_id", "content", min_code=100)
+    # The pages' code is short: at the default of 500 characters none would be taken out.
+    return code.code_blocks(pages_of(spark, d, "page_id", "content"), "page_id", "content", 100)
 
 
-@query()
+@query(f"{_codes_sql(list(code.LANGUAGES))} SELECT page_id, code_id, true AS restored FROM c WHERE length > 100")
 def code_restore(spark, d):
+    """Every block behind a placeholder, and whether the restored page holds it in its fence."""
+    p = pages_of(spark, d, "page_id", "content")
+    blocks = stage(code.code_blocks(p, "page_id", "content", 100), "blocks")
+    full = code.restore(code.html_pages(p, "page_id", "content", min_code=100), "page_id", "content", blocks)
+    held = F.contains("content", F.concat(F.lit("\n```"), "code", F.lit("\n```\n")))
+    return blocks.join(full, "page_id").select("page_id", "code_id", (held & ~F.contains("content", F.concat(F.lit("[CODE_BLOCK:"), "code_id"))).alias("restored"))
+
+
+@query(f"{_codes_sql(list(code.LANGUAGES))} SELECT page_id, code_id FROM c WHERE length > 100")
+def code_association(spark, d):
+    """The blocks that the chunks of the pages' text refer to: none is lost by chunking."""
     p = pages_of(spark, d, "page_id", "content")
-    return code.restore(code.html_pages(p, "page_id", "content", min_code=100).select("page_id", "content"), "page_id", "content", code.code_blocks(p, "page_id", "content", 100))
+    chunks = chunking.with_ids(chunking.paragraph_chunks(code.html_pages(p, "page_id", "content", min_code=100), "page_id", "content"), "page_id")
+    a = code.associate(chunks, "doc_id", "content", code.code_blocks(p, "page_id", "content", 100))
+    return a.select(F.substring_index("doc_id", "#", 1).cast("bigint").alias("page_id"), F.explode("code_ids").alias("code_id")).distinct()
 
 
 @query()
@@ -307,6 +335,32 @@ def chunk_sentence(spark, d):
     return _chunks(chunking.sentence_chunks(table(spark, d, "documents"), "doc_id", "text"))
 
 
+# With no overlap the pieces hold all characters in order, but for white space, control characters and the separators cut at.
+def sql_letters(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '[\s\v\p{{Z}}\x{{85}}\x00-\x1F。！？.!?]+', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({sql_letters('text')}) AS hash, unnest(['paragraph', 'paragraph_compat', 'adaptive', 'recursive', 'sentence']) AS method FROM documents WHERE {sql_letters('text')} <> ''")
+def chunk_cover(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cuts = {
+        "paragraph": chunking.paragraph_chunks(docs, "doc_id", "text", overlap=0, min_length=1),
+        "paragraph_compat": chunking.paragraph_chunks(docs.where("length(text) < 8 * 1024"), "doc_id", "text", overlap=0, min_length=1, compat=True).unionByName(
+            chunking.paragraph_chunks(docs.where("length(text) >= 8 * 1024"), "doc_id", "text", overlap=0, min_length=1)
+        ),
+        "adaptive": chunking.adaptive_chunks(docs, "doc_id", "text", overlap=0, min_length=1),
+        "recursive": chunking.recursive_chunks(docs, "doc_id", "text", overlap=0),
+        "sentence": chunking.sentence_chunks(docs, "doc_id", "text", overlap=0),
+    }
+    out = None
+    for method, c in cuts.items():
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "")
+        letters = F.regexp_replace("t", r"(?U)[\s\p{Z}\x00-\x1F\x85。！？.!?]+", "")
+        one = c.groupBy("doc_id").agg(text.alias("t")).select("doc_id", F.md5(letters).alias("hash"), F.lit(method).alias("method"), letters.alias("l")).where("l <> ''").drop("l")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     f"""WITH f AS (SELECT doc_id, {sql_flat('text')} AS t FROM documents), p AS (SELECT doc_id, CASE WHEN length(t) >= 1024 THEN [substr(t, 1, 1024), {sql_strip('right(t, 100)')}] ELSE [t] END AS ps FROM f WHERE t <> '')
     SELECT doc_id, (i - 1)::INT AS chunk_index, md5(ps[i]) AS hash FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)"""
@@ -353,7 +407,7 @@ def vector_score_map(spark, d):
     return vectors.with_scores(_topk(spark, d)).withColumnRenamed("id", "vec_id")
 
 
-@query()
+@query(TOPK)
 def ivf_topk(spark, d):
     e = table(spark, d, "embeddings")
     c = vectors.ivf_train(e, "vec_id", "embedding")
@@ -374,9 +428,20 @@ def cosine_pairs(spark, d):
     return e.join(b, "vec_id").select("vec_id", F.round(V.cosine("embedding", "e2"), 6).alias("cosine"))
 
 
-@query()
+EMBED_TOKENS = r"regexp_extract_all(lower(coalesce(content, '')), '[\x{4E00}-\x{9FFF}]|[\p{L}\p{N}_]+')"
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT id, content FROM chunks), h AS (SELECT id, ('0x' || substr(md5(unnest({EMBED_TOKENS})), 1, 8))::BIGINT AS h FROM c),
+    v AS (SELECT id, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM h GROUP BY id, k)
+    SELECT id, coalesce(string_agg(k || CASE WHEN v > 0 THEN '+' ELSE '-' END, ' ' ORDER BY k) FILTER (v <> 0), '') AS signs, count(*) FILTER (v <> 0) > 0 AS unit, NULL AS error FROM c LEFT JOIN v USING (id) GROUP BY id"""
+)
 def embed_texts(spark, d):
-    return vectors.embed(table(spark, d, "chunks").dropDuplicates(["id"]), "id", "content")
+    """The signs of every chunk's vector by dimension, and whether it has length 1 (0 for texts without tokens)."""
+    c = table(spark, d, "chunks").select("id", "content").distinct()
+    e = vectors.embed(c, "id", "content")
+    signs = F.array_join(F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.when(x > 0, "+").otherwise("-")))), lambda x: x.isNotNull()), " ")
+    return e.select("id", signs.alias("signs"), (F.abs(V.norm("embedding") - 1) < 1e-5).alias("unit"), "error")
 
 
 HOT = "docs/reference/generated/field-catalogue.html"
@@ -491,10 +556,16 @@ def bm25_fields(spark, d):
     return keyword.bm25(docs, "doc_id", "text", q, "query_id", "query", search=keyword.Search(fuzziness=False), path="file_path")
 
 
-@query()
+@query(f"{BM25} SELECT query_id, doc_id, true AS some, true AS inside, true AS marked FROM ({RANKED}) WHERE rank <= 10")
 def highlights(spark, d):
+    """Of every hit, whether it has one to three fragments, all without their marks lie in the text, and all are marked and no longer than
+    150 characters or one token."""
     hits = bm25_topk(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(_queries(spark, d), "query_id")
-    return keyword.highlights(hits, "text", "query", 10).select("query_id", "doc_id", F.posexplode("highlights").alias("fragment_no", "fragment"))
+    plain = lambda x: F.replace(F.replace(x, F.lit("<em>"), F.lit("")), F.lit("</em>"), F.lit(""))
+    h = keyword.highlights(hits, "text", "query", 10)
+    inside = F.forall("highlights", lambda x: F.contains("text", plain(x)))
+    marked = F.forall("highlights", lambda x: F.contains(x, F.lit("<em>")) & ((F.length(plain(x)) <= 150) | (F.size(T.tokens(plain(x))) == 1)))
+    return h.select("query_id", "doc_id", F.size("highlights").between(1, 3).alias("some"), inside.alias("inside"), marked.alias("marked"))
 
 
 # A synthetic pairing, as documents have no vectors: the query's vector is that of the same number, and so are the hits.
@@ -558,12 +629,18 @@ def context_budget(spark, d):
     return context.context_parts(r).select("query_id", "rank", "n_chars_used", "cut")
 
 
-@query()
+@query(
+    f"""{RERANK}, y AS (SELECT query_id, rank, '文档 ' || rank || ': ' || coalesce(file_path, '文档 ' || rank) || chr(10) || '相关度: ' || format('{{:.3f}}', rerank_score) || chr(10) || '内容: '
+    || CASE WHEN length(content) > 2000 THEN substr(content, 1, 2000) || chr(10) || '...[内容已截断]' ELSE content END || chr(10) || repeat('-', 50) AS part FROM x WHERE rank <= 10),
+    z AS (SELECT query_id, rank, part, coalesce(sum(length(part)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM y),
+    c2 AS (SELECT query_id, string_agg(CASE WHEN b + length(part) > 20000 THEN substr(part, 1, 20000 - b) || chr(10) || '...[上下文已截断]' ELSE part END, chr(10) || chr(10) ORDER BY rank) AS c FROM z WHERE b < 20000 GROUP BY query_id)
+    SELECT q.query_id, md5(coalesce(c, '没有找到相关的文档内容。')) AS hash FROM ({QUERY_SQL}) q JOIN embeddings e ON e.vec_id = q.query_id LEFT JOIN c2 ON c2.query_id = q.query_id"""
+)
 def rag_context(spark, d):
     e = table(spark, d, "embeddings")
     q = _queries(spark, d).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
     r = retrieval.retrieve(table(spark, d, "documents"), "doc_id", "text", e, "vec_id", "embedding", q, 10, "file_path")
-    return retrieval.contexts(r, q)
+    return retrieval.contexts(r, q).select("query_id", F.md5("context").alias("hash"))
 
 
 @query(
@@ -592,27 +669,108 @@ def context_unbounded(spark, d):
     return parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(body.cast("bigint")).alias("n_chars"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT chat_id, id, created_at, content, CASE WHEN lower({sql_strip('role')}) IN ('user', 'human', 'customer') THEN 'user' WHEN lower({sql_strip('role')}) IN ('assistant', 'ai', 'bot') THEN 'assistant' END AS role FROM {MESSAGES} WHERE chat_id IS NOT NULL AND content IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC NULLS LAST, id) AS r FROM m WHERE role IS NOT NULL),
+    a AS (SELECT chat_id, min(r) AS r, arg_min(content, r) AS q FROM o WHERE role = 'user' GROUP BY chat_id),
+    h AS (SELECT o.chat_id, o.role, o.content, o.r - a.r AS back FROM o JOIN a USING (chat_id) WHERE o.r > a.r AND o.r <= a.r + 10),
+    n AS (SELECT chat_id, count(*) AS n FROM h GROUP BY chat_id)
+    SELECT chat_id, 0 AS seq, 'system' AS role, md5('Answer from the context.') AS hash FROM a
+    UNION ALL SELECT chat_id, (n - back + 1)::INT, role, md5(content) FROM h JOIN n USING (chat_id)
+    UNION ALL SELECT chat_id, (coalesce(n, 0) + 1)::INT, 'user', md5('Context:' || chr(10) || 'c' || chr(10) || chr(10) || 'Question: ' || q) FROM a LEFT JOIN n USING (chat_id)"""
+)
 def prompt_messages(spark, d):
-    r = _reranked(spark, d).withColumn("score", F.col("rerank_score"))
-    q = _queries(spark, d)
-    none = F.array().cast("array<struct<role:string,content:string>>")
-    p = context.context(r, q).join(q, "query_id").select("query_id", F.posexplode(context.prompt("Answer from the context.", none, F.col("context"), F.col("query"))).alias("seq", "m"))
-    return p.select("query_id", "seq", "m.role", F.md5("m.content").alias("hash"))
+    h = context.histories(current(spark, d, "messages", "id", "chat_id", "content", "role", "created_at"))
+    m = context.prompt("Answer from the context.", F.col("history"), F.lit("c"), F.col("question"))
+    return h.select("chat_id", F.posexplode(m).alias("seq", "m")).select("chat_id", "seq", "m.role", F.md5("m.content").alias("hash"))
 
 
-@query()
+@query(
+    f"""{RERANK}, w AS (SELECT doc_id::VARCHAR AS key, 'https://docs.test/' || file_path AS url FROM documents)
+    SELECT query_id, rank - 1 AS pos, file_path AS title, key AS id, md5(content) AS content, url, rerank_score AS score FROM x JOIN w USING (key) WHERE rank <= 10"""
+)
 def source_lists(spark, d):
-    return context.source_list(_reranked(spark, d).withColumn("score", F.col("rerank_score"))).select("query_id", F.md5("sources").alias("hash"))
+    r = _reranked(spark, d).withColumn("score", F.col("rerank_score")).withColumn("url", F.concat(F.lit("https://docs.test/"), "file_path"))
+    item = "array<struct<title:string,id:string,content:string,url:string,score:double>>"
+    s = context.source_list(r).select("query_id", F.posexplode(F.from_json("sources", item)).alias("pos", "s"))
+    return s.select("query_id", "pos", "s.title", "s.id", F.md5("s.content").alias("content"), "s.url", "s.score")
 
 
-@query()
+STREAMED = "SELECT doc_id AS query_id, coalesce(text, '') AS answer, CASE WHEN doc_id % 7 = 0 THEN 'failed ' || doc_id END AS error FROM documents"
+
+
+def _answers(spark, d):
+    error = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("failed "), F.col("doc_id").cast("string")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), error.alias("error"))
+
+
+@query(
+    f"""SELECT query_id, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS last_event, (CASE WHEN error IS NULL THEN ceil(length(answer) / 200.0) ELSE 0 END)::BIGINT AS deltas,
+    md5(CASE WHEN error IS NULL THEN answer ELSE '' END) AS hash FROM ({STREAMED})"""
+)
 def stream_events(spark, d):
-    a = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("title").alias("answer"), F.lit(None).cast("string").alias("error"))
-    return context.stream_events(a)
+    """The event rows of every document as an answer, put together again: last event, number of deltas and their text."""
+    e = context.stream_events(_answers(spark, d), 200)
+    piece = F.when(F.col("event") == "delta", F.get_json_object("data", "$.content"))
+    g = e.groupBy("query_id").agg(F.max_by("event", "seq").alias("last_event"), F.count(piece).alias("deltas"), F.array_sort(F.collect_list(F.when(piece.isNotNull(), F.struct("seq", piece.alias("c"))))).alias("p"))
+    return g.select("query_id", "last_event", "deltas", F.md5(F.array_join(F.transform("p", lambda x: x["c"]), "")).alias("hash"))
 
 
-@query()
+@query(f"SELECT query_id, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, error AS message, 1 AS n_events FROM ({STREAMED})")
+def sse_consumed(spark, d):
+    """Streams as text, read up to 'done' or 'error'; whatever follows is not taken."""
+    end = F.when(F.col("error").isNotNull(), F.concat(F.lit('event: error\ndata: {"message": "'), "error", F.lit('"}'))).otherwise(F.lit("event: done\ndata: {}"))
+    body = F.concat(F.lit("event: meta\r\ndata: {}\r\n\r\n"), end, F.lit("\n\ndata: late\n\nevent: done\ndata: {}\n\n"))
+    x = _answers(spark, d).select("query_id", T.sse_consumed(body).alias("x"))
+    return x.select("query_id", "x.status", "x.message", F.size("x.events").alias("n_events"))
+
+
+# The stand-in rewriter here keeps the words of more than three letters, so the rewritten search differs from the plain one.
+LONG_WORDS = f"list_distinct(list_filter({sql_tokens('query')}, lambda x: length(x) > 3))"
+
+
+@query(
+    f"""{bm25_sql(f"qt AS (SELECT DISTINCT query_id, unnest(CASE WHEN len({LONG_WORDS}) > 0 THEN {LONG_WORDS} ELSE {sql_tokens('query')} END) AS term, 1.0 AS weight FROM q)")}
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10"""
+)
+def rewritten_keywords(spark, d):
+    def rewriter(q):
+        words = F.filter(F.array_distinct(T.tokens(q)), lambda x: F.length(x) > 3)
+        return F.to_json(F.struct(F.lower(q).alias("semantic_search_query"), words.alias("keyword_list")))
+
+    q = retrieval.rewritten(_queries(spark, d), rewriter)
+    return retrieval.keyword_side(table(spark, d, "documents"), q, 10, "doc_id", "text").select("query_id", "doc_id", "rank", "score")
+
+
+@query(f"""{RERANK.replace("position <= 30", "position <= 20 AND position <= 30")} SELECT query_id, key, rank, rerank_score FROM x WHERE rank <= 10""")
+def rerank_legacy(spark, d):
+    """The older rerank: only the first 2k candidates, those of empty content among them, are scored."""
+    fused = fusion.rrf(*_sides(spark, d)).where(F.col("position") <= fusion.candidate_cap(10))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content"))
+    cand = fused.where("position <= 20").select("query_id", "key", "position").join(docs, "key").join(_queries(spark, d), "query_id")
+    return fusion.rerank(cand, "query", "content", "position", 10).select("query_id", "key", "rank", "rerank_score")
+
+
+@query(
+    f"""{RERANK} SELECT q.query_id, (SELECT count(*) FROM v WHERE v.query_id = q.query_id) AS total_vector, (SELECT count(*) FROM k WHERE k.query_id = q.query_id) AS total_keyword,
+    (SELECT count(*) FROM r WHERE r.query_id = q.query_id) AS total_rrf, (SELECT count(*) FROM x WHERE x.query_id = q.query_id AND rank <= 10) AS final_results FROM ({QUERY_SQL}) q"""
+)
+def retrieval_counts(spark, d):
+    v, k = (stage(x, "side") for x in _sides(spark, d))
+    return retrieval.counts(_queries(spark, d), v, k, fusion.rrf(v, k), _reranked(spark, d))
+
+
+@query(
+    f"""SELECT query_id, rank, vec_id::VARCHAR AS id, coalesce(file_path, 'unknown') AS file_path, coalesce('doc-' || doc_id, 'unknown') AS doc_id, md5(coalesce(text, '')) AS content, cosine AS score, NULL::DOUBLE AS distance
+    FROM ({TOPK}) LEFT JOIN documents ON doc_id = vec_id"""
+)
+def shaped_hits(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"), "file_path", F.col("text").alias("content"))
+    h = vectors.shaped_hits(_topk(spark, d).withColumnRenamed("cosine", "score"), docs, "id")
+    return h.withColumn("content", F.md5("content"))
+
+
+@query(f"{_codes_sql(code.LONG_ORDER)} SELECT page_id, idx, 'pre' AS parent, 0 AS n_siblings, language, CASE WHEN length > 50 THEN substr(code, 1, 50) || '...' ELSE code END AS preview FROM c")
 def code_positions(spark, d):
     return code.code_positions(pages_of(spark, d, "page_id", "content"), "page_id", "content")
 
@@ -845,6 +1003,41 @@ def cache_aside(spark, d):
     return cache.cache_aside(e.where("event_type = 'purchase'").drop("event_type"), e.where("event_type = 'view'").drop("event_type"), "user_id")
 
 
+@query(
+    """WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), b AS (SELECT * FROM c UNION ALL SELECT user_id, event_id, ts FROM events WHERE event_type <> 'purchase' AND user_id NOT IN (SELECT user_id FROM c)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM b) SELECT user_id, event_id, (max(r) OVER (PARTITION BY user_id) - r)::INT AS pos FROM k WHERE r <= 20"""
+)
+def cache_filled(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    f = cache.filled(e.where("event_type = 'purchase'").drop("event_type"), e.where("event_type <> 'purchase'").drop("event_type"), "user_id", ["ts", "event_id"])
+    return f.select("user_id", "event_id", F.col("pos").cast("int").alias("pos"))
+
+
+@query(
+    f"""WITH l AS (SELECT user_id, id, (row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC NULLS LAST, id) - 1)::INT AS pos FROM {CHATS} WHERE user_id IS NOT NULL)
+    SELECT user_id, pos, l.id, title FROM l JOIN (SELECT id, title FROM {CHATS} WHERE title <> '') e ON e.id = l.id WHERE pos < 5"""
+)
+def cached_chats(spark, d):
+    """Lists of chat ids cut to five, then joined to the cached entries: those without an entry fall out."""
+    c = current(spark, d, "chats", "id", "user_id", "title", "last_message_at")
+    ids = chat.user_chats(c, 20, include_archived=True).select("user_id", "id", (F.col("pos") - 1).alias("pos"))
+    return cache.read_entries(ids, c.where("title <> ''").select("id", "title"), "user_id", "id", 5).select("user_id", "pos", "id", "title")
+
+
+@query(
+    f"""WITH p AS {PAIR}, a AS (SELECT user_id, id, last_message_at FROM {CHATS} WHERE user_id IS NOT NULL AND last_message_at IS NOT NULL),
+    l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC, id DESC) <= 5),
+    m AS (SELECT CASE WHEN user_id = from_id THEN to_id ELSE user_id END AS user_id, id, last_message_at FROM l, p),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC, id DESC) AS r FROM m)
+    SELECT user_id, id, (max(r) OVER (PARTITION BY user_id) - r)::INT AS pos FROM k WHERE r <= 5"""
+)
+def merged_lists(spark, d):
+    c = current(spark, d, "chats", "id", "user_id", "last_message_at").where("user_id IS NOT NULL AND last_message_at IS NOT NULL")
+    lists = cache.bounded(c, "user_id", ["last_message_at", "id"], 5)
+    pairs = _pair(current(spark, d, "users", "id", "is_anonymous"))
+    return cache.merge_lists(lists, pairs, "user_id", ["last_message_at", "id"]).select("user_id", "id", F.col("pos").cast("int").alias("pos"))
+
+
 @query("SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE user_id % 7 = 0)")
 def cache_invalidate(spark, d):
     e = table(spark, d, "events")
