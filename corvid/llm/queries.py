@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvid.llm import boilerplate, conversations, leakage, near_duplicates, neighbours, splitting, subjects, tokens
 from corvid.session import table
@@ -52,11 +53,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"), table(spark, d, "eval_items"))
 
 
+def p8_weights(spark: SparkSession, d: str) -> DataFrame:
+    s = subjects.Subjects(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subjects"), table(spark, d, "eval_items"))
+    return s.weights().withColumn("weight", F.round("weight", 4))
+
+
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rebuilt, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rebuilt, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_weights, p8_composition)}
 
 _EDGE = r"^[\s\v\p{Z}\x{85}]+|[\s\v\p{Z}\x{85}]+$"
 _WORDS = r"regexp_extract_all({}, '[\x{{4E00}}-\x{{9FFF}}]|(?:[^\P{{L}}\x{{4E00}}-\x{{9FFF}}]|\p{{N}})+')"

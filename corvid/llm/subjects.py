@@ -1,14 +1,16 @@
 """Subject areas of documents by label propagation.
 
-The similarity graph joins documents over the terms they share; an edge counts only if its term is verified
-as one that concentrates in a subject among the labelled documents. Labels spread from documents to terms
-and back by joins; hand-given labels that the graph confirms stay clamped, others are released, and every
-document and term keeps a weight for each subject. At the end each sentence goes to the subject of its
-terms, and a document has every subject that enough of its sentences treat.
+The graph has documents and terms as nodes; two documents are similar over the terms they share. An edge counts only if its
+term is verified as one that concentrates in a subject among the labelled documents, and weighs less the more documents the
+term stands in. Labels spread from documents to terms and back by joins until they no longer change: hand-given labels that
+the graph confirms stay clamped, others are released, and every node keeps a weight for each subject and may gain one it
+did not begin with. The subjects that a document has weight for are then checked exactly: each sentence goes to the subject
+of its terms, and a document has every subject that enough of its sentences treat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,26 +20,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from corvid.session import prepare, stage
+from corvid.session import prepare, sent, stage
 
 SHARE = 0.25
 #: A subject must also hold this share of all sentences, terms or none, so that a mention in junk is no subject.
 LEAST_OF_ALL = 0.05
-ROUNDS = 2
+#: Rounds end when no term's weight moved by more than TOLERANCE on average, or after so many.
+ROUNDS, TOLERANCE = 12, 0.003
 #: A term is verified if, with 95 % confidence, at least this share of its labelled documents has one subject, and it
 #: stands in at least this share of the labelled documents (which also bounds their number) and in four of them.
 PURITY, TERM_SHARE, TERM_DOCS = 0.3, 0.002, 4
 Z = 1.64
-#: Given labels stay clamped if the graph gives them at least this weight in the document.
-TRUST = 0.1
-#: A term's weight for a subject below this is nothing.
-FAINT = 0.1
-#: A term is as good as a longer one that contains it if it is at most this many times as frequent.
-SAME = 1.15
-#: Tables of labels and terms are broadcast up to this many rows; beyond it their joins shuffle.
-BROADCAST_ROWS = 500_000
+#: A given label is trusted, and clamped, if the graph gives it at least this weight in the document.
+TRUST = 0.2
+#: A document is checked for the subjects that it has at least this weight for.
+CANDIDATE = 0.05
+#: What a term may take over from a document for a subject that it has no weight for itself.
+OPEN = 0.02
+#: The part of a term's weights that its documents give; the rest stays that of the labelled documents it was verified by.
+TAKEN = 0.5
 GRAM = (2, 4)
+#: Shorter pieces, in characters, are no sentences; the second is for those with Chinese characters.
 MIN_LATIN, MIN_CHINESE = 40, 12
 
 _WORD = re.compile(r"[一-鿿]+|(?<![\w\-/`])[^\W\d_一-鿿]+(?![\w\-/`])")
@@ -84,183 +89,269 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def verified_terms(docs: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """(term, n, p0, p1, ...): verified terms with their count and the share of each subject among their labelled documents."""
+    """(term, n, p0, p1, ...): verified terms with their count and the share of each subject among their labelled documents.
+    As each stands in a share of TERM_SHARE of the labelled documents, there are at most 1 / TERM_SHARE times as many as a
+    document has terms on average, however many documents there are."""
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    lab = labels.groupBy("doc_id").agg(F.collect_set(index[F.col("subject")]).alias("s"))
-    n = lab.limit(BROADCAST_ROWS + 1).count()
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(lab) if n <= BROADCAST_ROWS else lab, "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush():
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())],
-                ["term", "s", "n"],
-            )
+    lab = stage(labels.groupBy("doc_id").agg(F.collect_set(index[F.col("subject")]).alias("s")), "labelled")
+    n = lab.count()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(sent(lab), "doc_id")
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[set[str], list[int]]]:
         for b in batches:
             for text, ss in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for t in terms_of(text):
-                    for s in ss:
-                        held[t, s] += 1
-            if len(held) > 400_000:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
+                yield terms_of(text), ss
+
+    counts = texts.mapInArrow(lambda batches: counted(pairs(batches)), COUNTED)
+    return verified(counts, len(names), F.lit(float(n)), PURITY)
+
+
+COUNTED = "term string, s int, n bigint"
 
-    counts = texts.mapInArrow(count, "term string, s int, n bigint")
-    wide = counts.groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(names))])
-    total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(len(names))])
-    best = F.greatest(*[F.col(f"c{i}") for i in range(len(names))])
-    wide = wide.withColumn("n", total).where(F.col("n") >= F.greatest(F.lit(float(TERM_DOCS)), F.lit(TERM_SHARE * n)))
-    p, m = best / F.col("n"), F.col("n")
+
+def counted(pairs: Iterator[tuple[set[str], list[int]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of COUNTED from (terms, subjects) of documents, summed as far as a task's memory allows."""
+    held: Counter = Counter()
+
+    def flush():
+        keys = list(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], ["term", "s", "n"]
+        )
+
+    for terms, ss in pairs:
+        for s in ss:
+            held.update((t, s) for t in terms)
+        if len(held) > 400_000:
+            yield flush()
+            held.clear()
+    if held:
+        yield flush()
+
+
+def verified(counts: DataFrame, count: int, docs, purity: float) -> DataFrame:
+    """(term, n, p0, p1, ...) of the COUNTED terms that stand in enough of the ``docs`` and concentrate in a subject."""
+    wide = counts.groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(count)])
+    cs = [F.col(f"c{i}") for i in range(count)]
+    n = reduce(lambda a, b: a + b, cs)
+    wide = wide.withColumn("n", n).where(F.col("n") >= F.greatest(F.lit(float(TERM_DOCS)), TERM_SHARE * docs))
+    p, m = (F.greatest(*cs) if count > 1 else cs[0]) / F.col("n"), F.col("n")
     low = (p + Z * Z / (2 * m) - Z * F.sqrt(p * (1 - p) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
-    return wide.where(low >= PURITY).select("term", "n", *[(F.col(f"c{i}") / F.col("n")).alias(f"p{i}") for i in range(len(names))])
+    return wide.where(low >= purity).select("term", "n", *[(c / F.col("n")).alias(f"p{i}") for i, c in enumerate(cs)])
 
 
-def term_hits(docs: DataFrame, terms: list[str], skip: set[str]) -> DataFrame:
-    """(doc_id, n, at, term, only, tf): per document the number of sentences, each hit's sentence and term number, and the distinct
-    terms with their counts. Sentences in ``skip`` do not count. Terms are found by one automaton over each sentence."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((terms, skip))
-    cache: dict = {}
+class Finder:
+    """Finds verified terms in sentences by one automaton, made once a process."""
+
+    def __init__(self, shared):
+        self.shared, self.made = shared, None
+
+    def __getstate__(self):
+        return {"shared": self.shared, "made": None}
 
-    def automaton(held=cache):
-        if "a" not in held:
+    def automaton(self):
+        if self.made is None:
             import ahocorasick
 
-            words, skipped = shared.value
             a = ahocorasick.Automaton()
-            for i, w in enumerate(words):
+            for i, w in enumerate(self.shared.value[0]):
                 a.add_word(w, (i, len(w), not "一" <= w[0] <= "鿿"))
             a.make_automaton()
-            held["a"] = a if words else None, skipped
-        return held["a"]
+            self.made = a
+        return self.made
+
+    def hits(self, sentences: list[str]) -> tuple[list[int], list[int]]:
+        """(sentence, term) numbers of all hits."""
+        at, term = [], []
+        if not self.shared.value[0]:
+            return at, term
+        a = self.automaton()
+        for k, s in enumerate(sentences):
+            size = len(s)
+            for e, (i, m, latin) in a.iter(s):
+                if latin:
+                    f = e - m
+                    if f >= 0 and (s[f].isalnum() or s[f] in "-/`") or e + 1 < size and (s[e + 1].isalnum() or s[e + 1] in "-/`"):
+                        continue
+                at.append(k)
+                term.append(i)
+        return at, term
+
+
+def sentence_hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def sentence_hashes(texts: DataFrame) -> DataFrame:
+    """(hash): the hashes of all sentences of a table of texts, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sentence_hash(s) for t in b.column(0).to_pylist() for s in sentences_of(t)], pa.int64())], ["hash"])
+
+    prepare(texts.sparkSession)
+    return texts.where("text IS NOT NULL").select("text").mapInArrow(run, "hash bigint").distinct()
+
+
+HITS = "doc_id bigint, n int, hashes array<bigint>, at array<int>, term array<int>, only array<int>, tf array<int>"
+
+
+def term_hits(docs: DataFrame, terms: list[str], hashes: bool = False) -> DataFrame:
+    """(doc_id, n, hashes, at, term, only, tf): per document the number of sentences and (if asked for) their hashes, each hit's
+    sentence and term number, and the distinct terms with their counts. Terms are found by one automaton over each sentence."""
+    spark = docs.sparkSession
+    finder = Finder(spark.sparkContext.broadcast((terms,)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, skipped = automaton()
         for b in batches:
-            n, at, term, only, tf = [], [], [], [], []
+            n, hs, at, term, only, tf = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
-                ss = [s for s in sentences_of(text or "") if s not in skipped]
-                at_, term_ = [], []
-                for k, s in enumerate(ss if a else ()):
-                    size = len(s)
-                    for e, (i, m, latin) in a.iter(s):
-                        if latin:
-                            f = e - m
-                            if f >= 0 and (s[f].isalnum() or s[f] in "-/`") or e + 1 < size and (s[e + 1].isalnum() or s[e + 1] in "-/`"):
-                                continue
-                        at_.append(k)
-                        term_.append(i)
+                ss = sentences_of(text or "")
+                at_, term_ = finder.hits(ss)
                 c = Counter(term_)
                 n.append(len(ss))
+                hs.append([sentence_hash(s) for s in ss] if hashes else [])
                 at.append(at_)
                 term.append(term_)
                 only.append(list(c))
                 tf.append(list(c.values()))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), *[pa.array(x, ints) for x in (at, term, only, tf)]], ["doc_id", "n", "at", "term", "only", "tf"]
+                [b.column(0), pa.array(n, pa.int32()), pa.array(hs, pa.list_(pa.int64())), *[pa.array(x, ints) for x in (at, term, only, tf)]],
+                ["doc_id", "n", "hashes", "at", "term", "only", "tf"],
             )
 
     prepare(spark)
-    out = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(find, "doc_id bigint, n int, at array<int>, term array<int>, only array<int>, tf array<int>")
-    return out.where("n > 0")
-
-
-def closed(rows: list[tuple[str, int]]) -> list[bool]:
-    """For terms with their counts, whether each is kept: a term falls out if a longer one that contains it (a word of a pair, a
-    run of a longer Chinese run) is nearly as frequent, as both would say the same twice."""
-    counts = dict(rows)
-    gone: set[str] = set()
-    for term, n in rows:
-        if " " in term:
-            parts = term.split(" ")
-        elif "一" <= term[0] <= "鿿":
-            parts = [term[a:b] for a in range(len(term)) for b in range(a + GRAM[0], len(term) + 1) if b - a < len(term)]
-        else:
-            continue
-        gone.update(q for q in parts if counts.get(q, 1 << 60) <= SAME * n)
-    return [t not in gone for t, _ in rows]
-
-
-def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, rounds: int = ROUNDS) -> DataFrame:
-    """(term, p): term weights, one for each subject, after ``rounds`` of propagation.
-
-    ``hits`` (doc_id, only, tf) holds the edges of each document, ``start`` (term, p array<double>) the first weights, ``seeds``
-    (doc_id, given array<double>) the given labels. A round gives each document the normalised weights of its terms; seeds
-    that the graph confirms are clamped. Each edge then carries the subjects that document and term agree on back to the
-    term. All sums are made before the shuffle as far as the rows of a task allow.
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(find, HITS).where("n > 0")
+
+
+def without(hits: DataFrame, skip: DataFrame) -> DataFrame:
+    """``hits`` without the sentences whose hash is in ``skip`` (hash): they have no terms and do not count, in ``live``."""
+    held = hits.select("doc_id", F.posexplode("hashes").alias("k", "hash")).join(sent(skip), "hash")
+    held = stage(held.groupBy("doc_id").agg(F.collect_set("k").alias("ks")), "skipped")
+    full = hits.join(sent(held), "doc_id", "left")
+    keep = F.filter(F.arrays_zip("at", "term"), lambda x: ~F.array_contains("ks", x["at"]))
+    some = F.col("ks").isNotNull()
+    full = full.withColumn("kept", F.when(some, keep))
+    terms = F.transform("kept", lambda x: x["term"])
+    return full.withColumns(
+        {
+            "live": F.when(some, F.col("n") - F.size("ks")).otherwise(F.col("n")),
+            "at": F.when(some, F.transform("kept", lambda x: x["at"])).otherwise(F.col("at")),
+            "term": F.when(some, terms).otherwise(F.col("term")),
+            "only": F.when(some, F.array_distinct(terms)).otherwise(F.col("only")),
+            "tf": F.when(some, F.transform(F.array_distinct(terms), lambda t: F.size(F.filter(terms, lambda x: x == t)))).otherwise(F.col("tf")),
+        }
+    ).drop("ks", "kept", "hashes").where("live > 0")
+
+
+def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(documents, terms) after propagation: documents (doc_id, d0, d1, ..., given, trusted) and terms (term, p0, p1, ...), weights
+    that sum to 1 over the subjects.
+
+    ``hits`` (doc_id, only, tf) holds the edges of each document, ``start`` (term, p0, ...) the first weights, ``seeds`` (doc_id,
+    given array<double>) the given labels. A round sends each document the weights of its terms, each times its count and
+    its rarity; given labels that this confirms are clamped. Each edge then carries the document's weights back, the more
+    the term agrees, and a little (OPEN) in any case, so that a term may gain a subject. With no rounds the documents have
+    the weights of the terms as they start. All sums are made before the shuffle as far as the rows of a task allow.
     """
-    wide = lambda v: F.array(*[F.coalesce(F.sum(F.when(F.col("s") == i, F.col(v))), F.lit(0.0)) for i in range(count)])
-    part = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda u, v: u + v))
+    k = range(count)
+    p, d = [f"p{i}" for i in k], [f"d{i}" for i in k]
+    total = lambda cs: reduce(lambda a, b: a + b, cs)
+    shares = lambda cs, names: [(c / total(cs)).alias(n) for c, n in zip(cs, names)]
     edges = hits.select("doc_id", F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
-    send = F.broadcast if start.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    terms = start
-    for r in range(rounds):
-        long = terms.select("term", F.posexplode("p").alias("s", "p")).where("p > 0")
-        docs = edges.join(send(long), "term").groupBy("doc_id", "s").agg(F.sum(F.col("tf") * F.col("p")).alias("w")).groupBy("doc_id").agg(wide("w").alias("d"))
-        docs = docs.select("doc_id", part(F.col("d")).alias("d")).join(seeds, "doc_id", "left")
-        ok = F.zip_with("given", "d", lambda g, x: F.when((g > 0) & (x >= TRUST), 1.0).otherwise(0.0))
-        docs = docs.withColumn("ok", ok).select("doc_id", F.when(F.exists("ok", lambda x: x > 0), part(F.col("ok"))).otherwise(F.col("d")).alias("d"))
-        # A term of one subject hears nothing new: whatever its documents say, all of it agrees on that subject.
-        several = F.size(F.filter("p", lambda x: x > 0)) > 1
-        back = edges.join(send(terms.where(several)), "term").join(docs, "doc_id")
-        back = back.select("term", "tf", F.zip_with("p", "d", lambda a, b: a * b).alias("y")).where(F.exists("y", lambda x: x > 0))
-        back = back.select("term", F.posexplode(F.transform(part(F.col("y")), lambda x: x * F.col("tf"))).alias("s", "q")).where("q > 0")
-        got = back.groupBy("term", "s").agg(F.sum("q").alias("q")).groupBy("term").agg(wide("q").alias("q"))
-        got = got.select("term", F.transform(part(F.col("q")), lambda x: F.when(x >= FAINT, x).otherwise(0.0)).alias("p"))
-        sure = terms.where(~several).select("term", F.transform("p", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("p"))
-        terms = stage(got.unionByName(sure), f"terms{r}")
-    return terms
-
-
-def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_texts: DataFrame | None = None, share: float = SHARE) -> DataFrame:
-    """(doc_id, subject): every subject that at least ``share`` of a document's sentences treat.
+    df = edges.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = F.log(1 + F.col("docs") / F.col("df"))
+    terms = stage(start.join(df, "term").join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("docs")))).select("term", *p, *[F.col(c).alias(f"start_{c}") for c in p], rare.alias("rare")), "terms")
+
+    def to_documents(terms: DataFrame) -> DataFrame:
+        w = F.col("tf") * F.col("rare")
+        got = edges.join(sent(terms), "term").groupBy("doc_id").agg(*[F.sum(w * F.col(c)).alias(c) for c in p])
+        got = got.where(total([F.col(c) for c in p]) > 0).select("doc_id", *shares([F.col(c) for c in p], d)).join(seeds, "doc_id", "left")
+        ok = [F.when((F.col("given")[i] > 0) & (F.col(d[i]) >= TRUST), 1.0).otherwise(0.0) for i in k]
+        got = got.withColumn("trusted", F.array(*ok))
+        n = F.aggregate("trusted", F.lit(0.0), lambda a, x: a + x)
+        return got.select("doc_id", *[F.when(n > 0, F.col("trusted")[i] / n).otherwise(F.col(d[i])).alias(d[i]) for i in k], "trusted")
 
-    Sentences without a verified term are taken to continue their neighbours and do not count. Null, empty and meaningless
-    texts have no subject, nor has any document if nothing is labelled. ``skip_texts`` (text): sentences of these do not
-    count. The list of subjects is small and collected; repeated doc_ids give their subjects once.
+    for r in range(rounds):
+        both = hits.select("doc_id", "only", "tf").join(to_documents(terms), "doc_id")
+        both = both.select(*d, F.explode(F.arrays_zip("only", "tf")).alias("e")).select(*d, F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
+        y = [(F.col(a) + OPEN) * F.col(b) for a, b in zip(p, d)]
+        back = both.join(sent(terms), "term").select("term", "tf", *[x.alias(c) for x, c in zip(y, p)])
+        back = back.select("term", *[(F.col("tf") * s).alias(c) for s, c in zip(shares([F.col(c) for c in p], p), p)])
+        new = back.groupBy("term").agg(*[F.sum(c).alias(c) for c in p]).select("term", *shares([F.col(c) for c in p], p))
+        # A term whose documents have no weights keeps its own.
+        starts = [f"start_{c}" for c in p]
+        old = terms.select("term", "rare", *starts, *[F.col(c).alias(f"o{c}") for c in p]).join(new, "term", "left")
+        old = old.select("term", "rare", *starts, *[F.coalesce((1 - TAKEN) * F.col(f"start_{c}") + TAKEN * F.col(c), f"o{c}").alias(c) for c in p], *[f"o{c}" for c in p])
+        moved = total([F.abs(F.col(c) - F.col(f"o{c}")) for c in p])
+        terms = stage(old.select("term", "rare", *starts, *p, moved.alias("moved")), f"terms{r}")
+        if (terms.agg(F.avg("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return stage(to_documents(terms), "documents"), terms
+
+
+class Subjects:
+    """The propagated graph of a corpus: ``weights`` of all documents, and the exact check of ``found``.
+
+    ``docs`` (doc_id, text), ``labels`` (doc_id, subject), ``subjects`` (subject); ``skip_texts`` (text): sentences of these do not
+    count. The list of subjects is small and collected, so are the verified terms, whose number has a bound (``verified_terms``).
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    names = [r["subject"] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]
-    seeds = stage(clean_labels(labels, subjects), "labels")
-    verified = stage(verified_terms(docs, seeds, names).orderBy("term"), "verified")
-    # At most (terms of a text) / TERM_SHARE rows: a list for the automaton.
-    rows = verified.orderBy("term").collect()
-    rows = [r for r, keep in zip(rows, closed([(r["term"], r["n"]) for r in rows])) if keep]
-    terms = [r["term"] for r in rows]
-    skip = set()
-    if skip_texts is not None:
-        for r in skip_texts.where("text IS NOT NULL").select("text").toLocalIterator():
-            skip.update(sentences_of(r["text"]))
-    hits = stage(term_hits(docs, terms, skip), "hits")
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_texts: DataFrame | None = None, rounds: int = ROUNDS):
+        spark = docs.sparkSession
+        prepare(spark)
+        self.names = [r["subject"] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]
+        count = len(self.names)
+        seeds = stage(clean_labels(labels, subjects), "labels")
+        p = [f"p{i}" for i in range(count)]
+        rows = verified_terms(docs, seeds, self.names).orderBy("term").collect()
+        self.terms = [r["term"] for r in rows]
+        hits = stage(term_hits(docs, self.terms, skip_texts is not None), "hits")
+        if skip_texts is not None:
+            hits = without(hits, stage(sentence_hashes(skip_texts), "skip"))
+        else:
+            hits = hits.withColumn("live", F.col("n")).drop("hashes")
+        self.hits = hits
+        kind = StructType([StructField("term", IntegerType()), *[StructField(c, DoubleType()) for c in p]])
+        start = spark.createDataFrame([(i, *[float(r[c]) for c in p]) for i, r in enumerate(rows)], kind)
+        given = seeds.groupBy("doc_id").agg(F.array(*[F.max(F.when(F.col("subject") == n, 1.0).otherwise(0.0)) for n in self.names]).alias("given"))
+        self.documents, self.weights_of_terms = propagate(hits, start, given, count, rounds)
+
+    def weights(self, least: float = CANDIDATE) -> DataFrame:
+        """(doc_id, subject, weight, trusted): the propagated subjects of every document with a weight of ``least`` or more."""
+        each = F.array(*[F.struct(F.lit(n).alias("subject"), F.col(f"d{i}").alias("weight"), (F.col("trusted")[i] > 0).alias("trusted")) for i, n in enumerate(self.names)])
+        return self.documents.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").where(F.col("weight") >= least)
+
+    def found(self, share: float = SHARE) -> DataFrame:
+        """(doc_id, subject): trusted given labels, and those propagated ones that at least ``share`` of the sentences treat."""
+        w = self.weights(0.0)
+        treated = treats(self.hits, self.weights_of_terms, [len(t) for t in self.terms], self.names, share)
+        checked = treated.join(w.where(F.col("weight") >= CANDIDATE), ["doc_id", "subject"], "left_semi")
+        return checked.unionByName(w.where("trusted").select("doc_id", "subject")).distinct()
+
+
+def treats(hits: DataFrame, terms: DataFrame, lengths: list[int], names: list[str], share: float) -> DataFrame:
+    """(doc_id, subject): by the subject of each term, what at least ``share`` of a document's treated sentences treat."""
     count = len(names)
-    start = spark.createDataFrame([(i, [p if p >= FAINT else 0.0 for p in (float(r[f"p{k}"]) for k in range(count))]) for i, r in enumerate(rows)], "term int, p array<double>")
-    given = seeds.groupBy("doc_id").agg(F.array(*[F.max(F.when(F.col("subject") == n, 1.0).otherwise(0.0)) for n in names]).alias("given"))
-    final = propagate(hits, start, given, count).collect()
-    best = np.full(len(terms), -1, np.int32)
-    for r in final:
-        k = int(np.argmax(r["p"]))
-        if r["p"][k] >= 0.5:
+    best = np.full(len(lengths), -1, np.int32)
+    for r in terms.select("term", *[f"p{i}" for i in range(count)]).collect():
+        p = [r[f"p{i}"] for i in range(count)]
+        k = int(np.argmax(p))
+        if p[k] >= 0.5:
             best[r["term"]] = k
-    weight = np.array([len(t) for t in terms], np.float64)
+    weight = np.array(lengths, np.float64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            n = b.column(1).to_numpy().astype(np.int64)
+            n, live = (b.column(i).to_numpy().astype(np.int64) for i in (1, 2))
             first = np.cumsum(n) - n
-            lists = b.column(3)
+            lists = b.column(4)
             off = lists.offsets.to_numpy().astype(np.int64)
             flat = lambda c: c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()]
-            at, term = flat(b.column(2)).astype(np.int64), flat(lists).astype(np.int64)
+            at, term = flat(b.column(3)).astype(np.int64), flat(lists).astype(np.int64)
             row = np.repeat(np.arange(b.num_rows), np.diff(off))
             s = best[term].astype(np.int64)
             ok = s >= 0
@@ -274,10 +365,21 @@ def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_te
             top = (score + tie[owner]).argmax(axis=1)
             got = np.bincount(owner[treated] * count + top[treated], minlength=b.num_rows * count).reshape(-1, count)
             of = got.sum(axis=1, keepdims=True)
-            r, k = np.nonzero((got > 0) & (got >= share * of) & (got >= LEAST_OF_ALL * n[:, None]))
+            r, k = np.nonzero((got > 0) & (got >= share * of) & (got >= LEAST_OF_ALL * live[:, None]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array([names[x] for x in k], pa.string())], ["doc_id", "subject"])
 
-    return hits.select("doc_id", "n", "at", "term").mapInArrow(judge, "doc_id bigint, subject string").distinct()
+    return hits.select("doc_id", "n", "live", "at", "term").mapInArrow(judge, "doc_id bigint, subject string").distinct()
+
+
+def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, skip_texts: DataFrame | None = None, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, subject): every subject that at least ``share`` of a document's sentences treat, and trusted given labels.
+
+    Sentences without a verified term are taken to continue their neighbours and do not count. Null, empty and meaningless
+    texts have no subject, nor has any document if nothing is labelled; repeated doc_ids give their subjects once.
+    """
+    if subjects.where("subject IS NOT NULL").isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, subject string")
+    return Subjects(docs, labels, subjects, skip_texts, rounds).found(share)
 
 
 def composition(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -63,5 +63,38 @@ def test_nothing_labelled_or_empty(spark):
     assert run(spark, [], [(1, "alpha")]) == {}
 
 
-def test_closed_terms():
-    assert S.closed([("signing", 40), ("signing key", 40), ("key", 90), ("控制", 20), ("控制平面", 19), ("平面", 60)]) == [False, True, True, False, True, True]
+def test_weights_and_clamped_seeds(spark):
+    docs, truth, terms, sentence = corpus()
+    labels = [(d, s) for d in range(0, 300, 3) for s in truth[d]] + [(300, "beta")]
+    # One sentence in five is too little to be treated, but a trusted label stays.
+    docs.append((300, "\n".join([sentence("alpha")] * 4 + [sentence("beta")])))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    s = S.Subjects(d, spark.createDataFrame(labels, "doc_id bigint, subject string"), spark.createDataFrame([(n,) for n in NAMES], "subject string"))
+    w = {}
+    for r in s.weights(0.0).collect():
+        w.setdefault(r["doc_id"], {})[r["subject"]] = r["weight"], r["trusted"]
+    assert all(abs(sum(x for x, _ in v.values()) - 1) < 1e-9 for v in w.values())
+    right = sum(set(sorted(v, key=lambda k: -v[k][0])[: len(truth[i])]) == truth[i] for i, v in w.items() if i < 300 and i % 3)
+    assert right >= 0.95 * sum(i % 3 > 0 for i in range(300))
+    found = {(r["doc_id"], r["subject"]) for r in s.found().collect()}
+    assert all((i, k) in found for i, v in w.items() for k, (_, trusted) in v.items() if trusted)
+    assert {i for i, v in w.items() if any(t for _, t in v.values())} <= {i for i, _ in labels}
+
+
+def test_propagation_gains_and_ends(spark):
+    # Term 2 starts with subject 0 alone but stands in documents of subject 1 only: it takes that subject over.
+    hits = spark.createDataFrame([(i, [1, 2], [3, 1]) for i in range(9)] + [(10 + i, [0], [1]) for i in range(9)], "doc_id bigint, only array<int>, tf array<int>")
+    start = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 1.0, 0.0)], "term int, p0 double, p1 double")
+    seeds = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 1.0])], "doc_id bigint, given array<double>")
+    d, t = S.propagate(hits, start, seeds, 2)
+    p = {r["term"]: r["p1"] for r in t.collect()}
+    assert p[0] < 0.05 and p[1] > 0.9 and 0.3 < p[2] < 0.6
+    assert t.agg({"moved": "avg"}).first()[0] <= S.TOLERANCE
+    at = {r["doc_id"]: r for r in d.collect()}
+    assert at[0]["d1"] == 1.0 and at[5]["d1"] > 0.75 and at[12]["d0"] > 0.95
+
+
+def test_skip_changes_counts(spark):
+    hits = spark.createDataFrame([(1, 2, [5, 6], [0, 0, 1], [7, 8, 7], [7, 8], [2, 1]), (2, 1, [6], [0], [7], [7], [1])], S.HITS)
+    left = S.without(hits, spark.createDataFrame([(6,)], "hash bigint")).collect()
+    assert [(r["doc_id"], r["live"], r["at"], r["term"], r["only"], r["tf"]) for r in left] == [(1, 1, [0, 0], [7, 8], [7, 8], [1, 1])]
