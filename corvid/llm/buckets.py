@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvid.session import sent, stage
+
 #: Rows of one bucket, or of one block of a hot bucket, that a task compares at once.
 CAP = 4096
-#: A list of hot buckets is broadcast only up to this many; beyond it the join shuffles.
-BROADCAST_KEYS = 50_000
-ROWS_A_TASK = 50_000
+ROWS_A_TASK = 25_000
 
 
 def keyed(rows: DataFrame, key: str, rid: str, cap: int = CAP, copies: int | None = None) -> DataFrame:
@@ -27,10 +27,9 @@ def keyed(rows: DataFrame, key: str, rid: str, cap: int = CAP, copies: int | Non
     that pairs its block with another or with itself.
     """
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(key, F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-        rows = rows.join(side, key, "left")
+    hot = stage(hot, "hot")
+    if not hot.isEmpty():
+        rows = rows.join(sent(hot), key, "left")
         blk = F.pmod(F.xxhash64(rid), F.coalesce("blocks", F.lit(1))).cast("int")
         rows = rows.withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         rows = rows.withColumn("p", F.least("blk", "o")).withColumn("q", F.greatest("blk", "o")).drop("o", "blocks")

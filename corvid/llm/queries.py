@@ -33,6 +33,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "chunks"))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks")
+    # Ids are no numbers here: a query is an id whose last eight hex digits spell a number divisible by 100.
+    asked = c.where(F.conv(F.right("id", F.lit(8)), 16, 10).cast("bigint") % 100 == 0)
+    return neighbours.nearest_of(c, asked).withColumn("cosine", F.round("cosine", 6))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_pairs(table(spark, d, "chunks"))
 
@@ -62,7 +69,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(p8_found(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rebuilt, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_weights, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_rebuilt, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_weights, p8_composition)}
 
 _EDGE = r"^[\s\v\p{Z}\x{85}]+|[\s\v\p{Z}\x{85}]+$"
 _WORDS = r"regexp_extract_all({}, '[\x{{4E00}}-\x{{9FFF}}]|(?:[^\P{{L}}\x{{4E00}}-\x{{9FFF}}]|\p{{N}})+')"
@@ -79,5 +86,9 @@ SQL: dict[str, str] = {
     u AS (SELECT lower(id) AS c FROM chats WHERE id IS NOT NULL)
     SELECT c AS chat_id FROM (SELECT c FROM u UNION SELECT c FROM m) WHERE c NOT IN (SELECT u.c FROM u JOIN b ON b.c = u.c AND NOT bad JOIN o ON o.c = u.c)""",
     "p3_found": f"SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND length(regexp_replace(content, '{_EDGE}', '', 'g')) > 1024",
+    "p4_neighbours": """WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM chunks WHERE id IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0), u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v)
+        SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.id)::INT AS rank, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS cosine
+        FROM u a JOIN u b ON a.id <> b.id WHERE ('0x' || right(a.id, 8))::BIGINT % 100 = 0 QUALIFY rank <= 10""",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format('doc_id', _WORDS.format('text'), 'documents')} JOIN {_GRAMS.format('item_id', _WORDS.format('text'), 'eval_items')} USING (g)",
 }

@@ -57,13 +57,13 @@ def test_further_bits_keep_the_chance_to_meet(spark):
     a, g = N.unit(rng.normal(size=(2000, 96))), rng.normal(size=(2000, 96))
     b = 0.75 * a + np.sqrt(1 - 0.75**2) * N.unit(g - (g * a).sum(axis=1, keepdims=True) * a)
     met = {}
-    for n in (200_000, 400_000, 3_000_000, 12_000_000, 60_000_000):
+    for n in (200_000, 400_000, 3_000_000, 12_000_000, 60_000_000, 500_000_000):
         tables, probes, bits = N.plan(n)
-        m = N.rotations(96, 2 * tables)
+        m = N.rotations(96, N.rotations_of(tables, bits, 96))
         x, y = N.bucket_keys(a, m, tables, probes, bits), N.bucket_keys(b, m, tables, probes, bits)
         assert x.shape[1] == probes
         met[bits] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean()
-    assert len(met) == 5 and min(met) == 0 and max(met) >= 7 and min(met.values()) >= met[0] - 0.015
+    assert len(met) == 6 and min(met) == 0 and max(met) >= 10 and min(met.values()) >= met[0] - 0.015
     # pairs of about the least cosine, buckets as of millions of rows
     x = np.stack([a[:600], b[:600] + 1e-3 * a[:600]], axis=1).reshape(-1, 96).astype(np.float32)
     ids = [f"id{i:05}" for i in range(len(x))]
@@ -89,6 +89,27 @@ def test_copies_and_hot_buckets(spark, monkeypatch):
     assert again == got
 
 
+def test_nearest_of_is_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(500, 96)), clustered(120, per=12)]).astype(np.float32)
+    x[40:60] = x[40]
+    ids = [f"id{i:05}" for i in range(len(x))]
+    df = frame(spark, ids, x, [(ids[3], [float(v) for v in x[3]]), ("none", None)])
+    asked = df.where("id IN ('id00003', 'id00045', 'id00200', 'id00510', 'none') OR id < 'id00002'")
+    got = {}
+    for r in N.nearest_of(df, asked).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    u = N.unit(x)
+    s = u @ u.T
+    for i in (0, 1, 3, 45, 200, 510):
+        assert got.pop(ids[i]) == [ids[j] for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-round(s[i, j], 12), ids[j]))[:10]]
+    assert not got
+    base = N.numbered(df, "id", "embedding", 96, 10)
+    lists = N.exact_lists(base, base.select("rid", "vec").limit(7), 96, 3, block=2).collect()
+    assert len(lists) == 7 and all(len(r["near"]) == 3 for r in lists)
+    assert N.nearest_of(df, df.limit(0)).count() == 0
+
+
 def test_odd_tables(spark):
     x = clustered(12)
     ids = [f"i{k}" for k in range(12)]
