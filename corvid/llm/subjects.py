@@ -28,7 +28,7 @@ SHARE = 0.25
 #: A subject must also hold this share of all sentences, terms or none, so that a mention in junk is no subject.
 LEAST_OF_ALL = 0.05
 #: Rounds end when no term's weight moved by more than TOLERANCE on average, or after so many.
-ROUNDS, TOLERANCE = 12, 0.003
+ROUNDS, TOLERANCE = 12, 0.01
 #: A term is verified if, with 95 % confidence, at least this share of its labelled documents has one subject, and it
 #: stands in at least this share of the labelled documents (which also bounds their number) and in four of them.
 PURITY, TERM_SHARE, TERM_DOCS = 0.3, 0.002, 4
@@ -37,6 +37,8 @@ Z = 1.64
 TRUST = 0.2
 #: A document is checked for the subjects that it has at least this weight for.
 CANDIDATE = 0.05
+#: A term that a longer one contains follows that one if it is at most this many times as frequent.
+SAME = 1.15
 #: What a term may take over from a document for a subject that it has no weight for itself.
 OPEN = 0.02
 #: The part of a term's weights that its documents give; the rest stays that of the labelled documents it was verified by.
@@ -178,6 +180,27 @@ class Finder:
         return at, term
 
 
+def followed(rows: list[tuple[str, int]]) -> np.ndarray:
+    """For terms with their counts, in order, the place of the term that each follows: a longer one that contains it (a pair with
+    the word, a Chinese run with the shorter run) and is nearly as frequent, as both would say the same twice; else its own."""
+    place = {t: i for i, (t, _) in enumerate(rows)}
+    best = np.arange(len(rows))
+    for i, (term, n) in enumerate(rows):
+        if " " in term:
+            parts = term.split(" ")
+        elif "一" <= term[0] <= "鿿":
+            parts = [term[a:b] for a in range(len(term)) for b in range(a + GRAM[0], len(term) + 1) if b - a < len(term)]
+        else:
+            continue
+        for q in parts:
+            k = place.get(q)
+            if k is not None and rows[k][1] <= SAME * n and (best[k] == k or rows[best[k]][1] < n):
+                best[k] = i
+    while (best[best] != best).any():
+        best = best[best]
+    return best
+
+
 def sentence_hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -196,19 +219,21 @@ def sentence_hashes(texts: DataFrame) -> DataFrame:
 HITS = "doc_id bigint, n int, hashes array<bigint>, at array<int>, term array<int>, only array<int>, tf array<int>"
 
 
-def term_hits(docs: DataFrame, terms: list[str], hashes: bool = False) -> DataFrame:
+def term_hits(docs: DataFrame, terms: list[str], follows: np.ndarray, hashes: bool = False) -> DataFrame:
     """(doc_id, n, hashes, at, term, only, tf): per document the number of sentences and (if asked for) their hashes, each hit's
-    sentence and term number, and the distinct terms with their counts. Terms are found by one automaton over each sentence."""
+    sentence and term number, and its edges: the distinct terms that follow no other, with their counts. Terms are found by
+    one automaton over each sentence."""
     spark = docs.sparkSession
-    finder = Finder(spark.sparkContext.broadcast((terms,)))
+    finder = Finder(spark.sparkContext.broadcast((terms, (follows == np.arange(len(terms))).tolist())))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = finder.shared.value[1]
         for b in batches:
             n, hs, at, term, only, tf = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 ss = sentences_of(text or "")
                 at_, term_ = finder.hits(ss)
-                c = Counter(term_)
+                c = {t: k for t, k in Counter(term_).items() if own[t]}
                 n.append(len(ss))
                 hs.append([sentence_hash(s) for s in ss] if hashes else [])
                 at.append(at_)
@@ -239,8 +264,8 @@ def without(hits: DataFrame, skip: DataFrame) -> DataFrame:
             "live": F.when(some, F.col("n") - F.size("ks")).otherwise(F.col("n")),
             "at": F.when(some, F.transform("kept", lambda x: x["at"])).otherwise(F.col("at")),
             "term": F.when(some, terms).otherwise(F.col("term")),
-            "only": F.when(some, F.array_distinct(terms)).otherwise(F.col("only")),
-            "tf": F.when(some, F.transform(F.array_distinct(terms), lambda t: F.size(F.filter(terms, lambda x: x == t)))).otherwise(F.col("tf")),
+            "only": F.when(some, F.array_intersect("only", terms)).otherwise(F.col("only")),
+            "tf": F.when(some, F.transform(F.array_intersect("only", terms), lambda t: F.size(F.filter(terms, lambda x: x == t)))).otherwise(F.col("tf")),
         }
     ).drop("ks", "kept", "hashes").where("live > 0")
 
@@ -259,14 +284,16 @@ def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, r
     p, d = [f"p{i}" for i in k], [f"d{i}" for i in k]
     total = lambda cs: reduce(lambda a, b: a + b, cs)
     shares = lambda cs, names: [(c / total(cs)).alias(n) for c, n in zip(cs, names)]
-    edges = hits.select("doc_id", F.explode(F.arrays_zip("only", "tf")).alias("e")).select("doc_id", F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
+    # The terms' number has a bound (``verified_terms``), so their table is broadcast.
+    each = lambda df, *cols: df.select(*cols, "tf", F.posexplode("only").alias("_i", "term")).select(*cols, "term", F.col("tf")[F.col("_i")].alias("tf"))
+    edges = each(hits, "doc_id")
     df = edges.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rare = F.log(1 + F.col("docs") / F.col("df"))
     terms = stage(start.join(df, "term").join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("docs")))).select("term", *p, *[F.col(c).alias(f"start_{c}") for c in p], rare.alias("rare")), "terms")
 
     def to_documents(terms: DataFrame) -> DataFrame:
         w = F.col("tf") * F.col("rare")
-        got = edges.join(sent(terms), "term").groupBy("doc_id").agg(*[F.sum(w * F.col(c)).alias(c) for c in p])
+        got = edges.join(F.broadcast(terms.select("term", "rare", *p)), "term").groupBy("doc_id").agg(*[F.sum(w * F.col(c)).alias(c) for c in p])
         got = got.where(total([F.col(c) for c in p]) > 0).select("doc_id", *shares([F.col(c) for c in p], d)).join(seeds, "doc_id", "left")
         ok = [F.when((F.col("given")[i] > 0) & (F.col(d[i]) >= TRUST), 1.0).otherwise(0.0) for i in k]
         got = got.withColumn("trusted", F.array(*ok))
@@ -275,9 +302,9 @@ def propagate(hits: DataFrame, start: DataFrame, seeds: DataFrame, count: int, r
 
     for r in range(rounds):
         both = hits.select("doc_id", "only", "tf").join(to_documents(terms), "doc_id")
-        both = both.select(*d, F.explode(F.arrays_zip("only", "tf")).alias("e")).select(*d, F.col("e.only").alias("term"), F.col("e.tf").alias("tf"))
+        both = each(both, *d)
         y = [(F.col(a) + OPEN) * F.col(b) for a, b in zip(p, d)]
-        back = both.join(sent(terms), "term").select("term", "tf", *[x.alias(c) for x, c in zip(y, p)])
+        back = both.join(F.broadcast(terms.select("term", *p)), "term").select("term", "tf", *[x.alias(c) for x, c in zip(y, p)])
         back = back.select("term", *[(F.col("tf") * s).alias(c) for s, c in zip(shares([F.col(c) for c in p], p), p)])
         new = back.groupBy("term").agg(*[F.sum(c).alias(c) for c in p]).select("term", *shares([F.col(c) for c in p], p))
         # A term whose documents have no weights keeps its own.
@@ -307,14 +334,16 @@ class Subjects:
         p = [f"p{i}" for i in range(count)]
         rows = verified_terms(docs, seeds, self.names).orderBy("term").collect()
         self.terms = [r["term"] for r in rows]
-        hits = stage(term_hits(docs, self.terms, skip_texts is not None), "hits")
+        self.follows = followed([(r["term"], r["n"]) for r in rows])
+        hits = stage(term_hits(docs, self.terms, self.follows, skip_texts is not None), "hits")
         if skip_texts is not None:
             hits = without(hits, stage(sentence_hashes(skip_texts), "skip"))
         else:
             hits = hits.withColumn("live", F.col("n")).drop("hashes")
         self.hits = hits
         kind = StructType([StructField("term", IntegerType()), *[StructField(c, DoubleType()) for c in p]])
-        start = spark.createDataFrame([(i, *[float(r[c]) for c in p]) for i, r in enumerate(rows)], kind)
+        self.starts = np.array([[r[c] for c in p] for r in rows], np.float64).reshape(len(rows), count)
+        start = spark.createDataFrame([(i, *w) for i, w in enumerate(self.starts.tolist())], kind)
         given = seeds.groupBy("doc_id").agg(F.array(*[F.max(F.when(F.col("subject") == n, 1.0).otherwise(0.0)) for n in self.names]).alias("given"))
         self.documents, self.weights_of_terms = propagate(hits, start, given, count, rounds)
 
@@ -326,20 +355,18 @@ class Subjects:
     def found(self, share: float = SHARE) -> DataFrame:
         """(doc_id, subject): trusted given labels, and those propagated ones that at least ``share`` of the sentences treat."""
         w = self.weights(0.0)
-        treated = treats(self.hits, self.weights_of_terms, [len(t) for t in self.terms], self.names, share)
+        treated = treats(self.hits, self.weights_of_terms, [len(t) for t in self.terms], self.starts, self.names, share)
         checked = treated.join(w.where(F.col("weight") >= CANDIDATE), ["doc_id", "subject"], "left_semi")
         return checked.unionByName(w.where("trusted").select("doc_id", "subject")).distinct()
 
 
-def treats(hits: DataFrame, terms: DataFrame, lengths: list[int], names: list[str], share: float) -> DataFrame:
-    """(doc_id, subject): by the subject of each term, what at least ``share`` of a document's treated sentences treat."""
+def treats(hits: DataFrame, terms: DataFrame, lengths: list[int], starts: np.ndarray, names: list[str], share: float) -> DataFrame:
+    """(doc_id, subject): by the subject of each term (``terms``, or ``starts`` for those without edges), what at least ``share`` of a document's treated sentences treat."""
     count = len(names)
-    best = np.full(len(lengths), -1, np.int32)
+    p = starts.copy()
     for r in terms.select("term", *[f"p{i}" for i in range(count)]).collect():
-        p = [r[f"p{i}"] for i in range(count)]
-        k = int(np.argmax(p))
-        if p[k] >= 0.5:
-            best[r["term"]] = k
+        p[r["term"]] = r[1:]
+    best = np.where(p.max(axis=1, initial=0.0) >= 0.5, p.argmax(axis=1), -1) if len(p) else np.zeros(0, np.int64)
     weight = np.array(lengths, np.float64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,8 @@ def test_skip_changes_counts(spark):
     hits = spark.createDataFrame([(1, 2, [5, 6], [0, 0, 1], [7, 8, 7], [7, 8], [2, 1]), (2, 1, [6], [0], [7], [7], [1])], S.HITS)
     left = S.without(hits, spark.createDataFrame([(6,)], "hash bigint")).collect()
     assert [(r["doc_id"], r["live"], r["at"], r["term"], r["only"], r["tf"]) for r in left] == [(1, 1, [0, 0], [7, 8], [7, 8], [1, 1])]
+
+
+def test_followed_terms():
+    rows = [("signing", 40), ("signing key", 40), ("key", 90), ("控制", 20), ("控制平面", 19), ("平面", 60)]
+    assert S.followed(rows).tolist() == [1, 1, 2, 4, 4, 5]
