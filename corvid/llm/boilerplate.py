@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.session import prepare, stage
+from corvid.session import BROADCAST_BYTES, bytes_of, prepare, sent, stage
 
 #: Pages of the classifier's training sample at most: those of the smallest hash of page_id among the labelled ones.
 TRAIN_PAGES = 3000
 #: A line is frequent if it stands on at least this many pages and on this share of its site's, or of all, pages.
 FREQUENT, SITE_SHARE, ALL_SHARE = 3, 0.04, 0.01
-#: The table of frequent lines is broadcast only up to this many rows; beyond it the join shuffles.
-BROADCAST_LINES = 400_000
+#: Where the table of frequent lines is too large to broadcast, a line of a site is spread over so many tasks.
+SALTS = 32
 #: Smoothness between neighbouring lines, across box borders, and between a line and its box.
 W_NEXT, W_CROSS, W_BOX = 0.25, 0.08, 0.08
 PRICE_CAP = 6.0
@@ -486,20 +486,20 @@ def with_counts(parsed: DataFrame) -> DataFrame:
     total = by_site.groupBy("h").agg(F.sum("n").alias("pages")).where(F.col("pages") >= FREQUENT)
     freq = (
         by_site.join(total, "h")
-        .join(sites, "site")
+        .join(sent(sites), "site")
         .join(F.broadcast(everything))
         .select("site", "h", (F.col("pages") / F.col("all_pages")).cast("float").alias("rate"), (F.col("n") / F.col("site_pages")).cast("float").alias("share"))
         .where((F.col("share") >= SITE_SHARE) | (F.col("rate") >= ALL_SHARE))
     )
     freq = stage(freq, "lines")
-    n = freq.limit(BROADCAST_LINES + 1).count()
-    side = F.broadcast(freq) if n <= BROADCAST_LINES else freq
-    per = (
-        parsed.select("page_id", "site", F.posexplode("h").alias("k", "h"))
-        .join(side, ["site", "h"])
-        .groupBy("page_id")
-        .agg(F.collect_list(F.struct("k", "rate", "share")).alias("seen"))
-    )
+    shown = parsed.select("page_id", "site", F.posexplode("h").alias("k", "h"))
+    if bytes_of(freq) <= BROADCAST_BYTES:
+        met = shown.join(F.broadcast(freq), ["site", "h"])
+    else:
+        # A line may stand on every page of a site that holds a third of all pages.
+        wide = freq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = shown.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(wide, ["site", "h", "salt"])
+    per = met.groupBy("page_id").agg(F.collect_list(F.struct("k", "rate", "share")).alias("seen"))
     return parsed.join(per, "page_id", "left")
 
 
@@ -584,3 +584,13 @@ def main_lines(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
 
     cols = ["page_id", "no", "h", "len", "flags", "box", "parents", "body", "seen"]
     return counted.select(*cols).mapInArrow(label, "page_id bigint, line_no int")
+
+
+def main_bodies(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
+    """(page_id, body): the lines of ``main_lines`` of every page, in order and as they are written; pages without a body have ''.
+    Repeated page_ids count once, in the fetch that was parsed."""
+    at = F.concat_ws("|", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.md5("content"))
+    text = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page_id"), at.alias("at"), "content").groupBy("page_id").agg(F.max_by("content", "at").alias("content"))
+    lines = main_lines(pages, sample).groupBy("page_id").agg(F.collect_set("line_no").alias("nos"))
+    kept = F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x, i: F.array_contains("nos", i + 1))
+    return text.join(lines, "page_id", "left").select("page_id", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("body"))

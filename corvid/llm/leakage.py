@@ -9,17 +9,22 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from corvid.session import prepare
 
 RUN = 12
 #: Test items are compiled in groups of at most this many characters, so a broadcast stays under some 100 MB.
 GROUP_CHARS = 4_000_000
+#: Groups that one scan of the documents searches for.
+GROUPS = 4
 HASH_BITS = 20
 # Fixed value: a word is a run of letters and digits, or one Chinese character.
 WORDS = r"[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+|[\x{4E00}-\x{9FFF}]"
@@ -86,7 +91,7 @@ class Patterns:
 
 
 def groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """Test items with their words, in groups of bounded size; the driver holds one group at a time."""
+    """Test items with their words, in groups of bounded size; the driver holds the groups of one scan at a time."""
     rows, size = [], 0
     for r in items.select(F.col(id_col).alias("i"), words(F.col(text_col)).alias("w")).where("i IS NOT NULL AND w IS NOT NULL").toLocalIterator():
         rows.append((r["i"], r["w"]))
@@ -98,49 +103,59 @@ def groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
         yield rows
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", run: int = RUN) -> DataFrame:
+def compiled(group: list[tuple[int, list[str]]], run: int, least: int | None) -> list[Patterns]:
+    """The patterns of a group: windows of ``run`` words, and items of ``least`` to ``run`` - 1 words as a whole, length by length."""
+    out = [Patterns([x for x in group if len(x[1]) >= run], run)]
+    for n in range(max(2, least), run) if least else ():
+        short = [x for x in group if len(x[1]) == n]
+        if short:
+            out.append(Patterns(short, n))
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", run: int = RUN, least: int | None = None) -> DataFrame:
     """(doc_id, item_id): every document that holds ``run`` consecutive words of an item's text, with that item.
 
-    Documents are scanned whole, once per group of items, without a shuffle. Null and empty texts match
-    nothing, items shorter than ``run`` words cannot leak, copies of a text each give their rows, repeated
-    (doc, item) pairs of repeated ids are dropped. Other columns are ignored.
+    Documents are scanned whole, once per GROUPS groups of items, without a shuffle. Null and empty texts match
+    nothing. Items shorter than ``run`` words cannot leak, unless ``least`` (two or more) is given: then those of at least so
+    many words leak where they stand as a whole. Copies of a text each give their rows, repeated (doc, item) pairs of
+    repeated ids are dropped. Other columns are ignored, ids may be of any type.
     """
     spark = docs.sparkSession
     prepare(spark)
-    kinds = dict(docs.dtypes)[doc_col], dict(items.dtypes)[item_col]
+    schema = StructType([StructField("doc_id", docs.schema[doc_col].dataType), StructField("item_id", items.schema[item_col].dataType)])
+    kind = to_arrow_type(schema["item_id"].dataType)
+    shortest = min(run, max(2, least)) if least else run
+    text = docs.select(F.col(doc_col).alias("doc_id"), words(F.col(text_col)).alias("w")).where(F.size("w") >= shortest)
     out = None
-    for group in groups(items, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(Patterns(group, run))
+    waiting = groups(items, item_col, item_text_col)
+    while held := list(islice(waiting, GROUPS)):
+        shared = [spark.sparkContext.broadcast(compiled(g, run, least)) for g in held]
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pats = shared.value
+            patterns = [p for s in shared for p in s.value]
             for batch in batches:
                 lists = batch.column(1)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
                 coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
                 offsets = offsets - offsets[0]
-                known = np.fromiter((pats.vocab.get(w, 0) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
                 if not len(coded):
                     continue
-                ids = known[coded.indices.to_numpy(zero_copy_only=False)]
-                jumps = pats.jumps(ids).tolist()
-                ids = ids.tolist()
+                distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
                 at, hits = [], []
-                for row in range(batch.num_rows):
-                    a, b = offsets[row], offsets[row + 1]
-                    if b - a >= run and (found := pats.search(ids[a:b], jumps[a:b])):
-                        at.extend([row] * len(found))
-                        hits.extend(sorted(found))
+                for pats in patterns:
+                    known = np.fromiter((pats.vocab.get(w, 0) for w in distinct), np.int64, len(distinct))
+                    ids = known[place]
+                    jumps = pats.jumps(ids).tolist()
+                    ids = ids.tolist()
+                    for row in range(batch.num_rows):
+                        a, b = offsets[row], offsets[row + 1]
+                        if b - a >= pats.run and (found := pats.search(ids[a:b], jumps[a:b])):
+                            at.extend([row] * len(found))
+                            hits.extend(found)
                 if at:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hits, batch_type)], ["doc_id", "item_id"])
-
-        batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
-        part = (
-            docs.select(F.col(doc_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-            .where(F.size("w") >= run)
-            .mapInArrow(scan, f"doc_id {kinds[0]}, item_id {kinds[1]}")
-        )
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hits, kind)], ["doc_id", "item_id"])
+
+        part = text.mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}")
-    return out.distinct()
+    return spark.createDataFrame([], schema) if out is None else out.distinct()

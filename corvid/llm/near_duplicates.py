@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.buckets import grouped, keyed, near_pairs, spans
 from corvid.llm.conversations import connected_components
-from corvid.session import prepare, stage
+from corvid.session import prepare, sent, stage
 
 SHINGLE = 5
 LEAST = 0.7
@@ -25,6 +25,8 @@ MIN_CHARS = 300
 #: Samples of a text (bins), rows of a band and bands. At similarity s a pair meets with 1 - (1 - s^rows)^bands.
 BINS, ROWS, BANDS = 128, 5, 22
 SKETCH_BITS = 256
+#: Copies of a text that one task pairs with all others of the class.
+CLASS_BLOCK = 1000
 #: Standard deviations of the sketch's popcount that a candidate may lie beyond the threshold.
 SLACK = 4.0
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,10 +116,8 @@ def shingles(text: str, n: int = SHINGLE) -> set[str]:
     return {text[i : i + n] for i in range(len(text) - n + 1)}
 
 
-def class_pairs(texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): classes (rid, h1, h2) of distinct texts, and pairs (a, b, similarity) of class numbers, a < b,
-    whose shingle sets reach ``least``. The similarity is exact; candidates are missed as the bands allow."""
-    limit = sketch_limit(least)
+def signed_classes(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(rid, h1, h2, keys, s0, s1, s2, s3): the distinct texts with their band keys and odd sketches, written once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,28 +134,57 @@ def class_pairs(texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE)
 
     signed = texts.select("h1", "h2", "text").mapInArrow(sign, "h1 bigint, h2 bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     base = signed.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("keys", "s0", "s1", "s2", "s3")])
-    base = stage(base.withColumn("rid", F.monotonically_increasing_id()), "signed")
-    n = base.count()
-    copies = base.select("rid", "s0", "s1", "s2", "s3", F.explode("keys").alias("key"))
+    return stage(base.withColumn("rid", F.monotonically_increasing_id()), "signed")
+
+
+def leader_pairs(starts: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) within buckets: each bucket's first row with all that are close to it, the first of the others with all
+    of those that are close to it, and so on: every row is in one pair at most as the second."""
+    out_i, out_j = [], []
+    for a, b in zip(starts[:-1], starts[1:]):
+        rest = np.arange(a, b)
+        while len(rest) > 1:
+            hit = test(np.full(len(rest) - 1, rest[0]), rest[1:])
+            out_i.append(np.full(int(hit.sum()), rest[0]))
+            out_j.append(rest[1:][hit])
+            rest = rest[1:][~hit]
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def candidates_of(base: DataFrame, least: float, leaders: bool = False) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that share a band and whose sketches may reach ``least``. With ``leaders`` only those of
+    ``leader_pairs``, as many as rows at most; if ``base`` has a column ``part``, only pairs of different parts."""
+    limit = sketch_limit(least)
+    apart = "part" in base.columns
+    if apart:
+        copies = base.select("rid", "s0", "s1", "s2", "s3", "part", F.explode("keys").alias("key"))
+        # Buckets within one part have no such pair: they are dropped before any row meets another.
+        mixed_ = copies.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+        copies = copies.join(sent(stage(mixed_, "mixed")), "key", "left_semi")
+    else:
+        copies = base.select("rid", "s0", "s1", "s2", "s3", F.lit(0).cast("bigint").alias("part"), F.explode("keys").alias("key"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "key"):
             at = spans(t, "key")
-            rid, p, q, blk = (t.column(c).to_numpy() for c in ("rid", "p", "q", "blk"))
+            rid, p, q, blk, part = (t.column(c).to_numpy() for c in ("rid", "p", "q", "blk", "part"))
             words = [t.column(f"s{k}").to_numpy().view(np.uint64) for k in range(4)]
 
-            def close(i, j, words=words):
-                return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= limit
+            def close(i, j, words=words, part=part):
+                ok = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= limit
+                return ok & (part[i] != part[j]) if apart else ok
 
-            i, j = near_pairs(at, p, q, blk, close)
+            i, j = leader_pairs(at, close) if leaders else near_pairs(at, p, q, blk, close)
             if len(i):
                 a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    found = keyed(copies, "key", "rid", copies=n * BANDS).mapInArrow(verify, "a bigint, b bigint").where("a <> b")
-    candidates = stage(found.distinct(), "candidates")
+    found = keyed(copies, "key", "rid", copies=base.count() * BANDS).mapInArrow(verify, "a bigint, b bigint").where("a <> b")
+    return stage(found.distinct(), "candidates")
 
-    ids = base.select("rid", "h1", "h2")
+
+def verified_pairs(texts: DataFrame, ids: DataFrame, candidates: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b, similarity) of the candidates whose shingle sets reach ``least``, exactly."""
     involved = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(ids, "rid")
     held = stage(
         texts.select("h1", "h2", "text").join(involved, ["h1", "h2"]).groupBy("rid").agg(F.first("text").alias("text")), "texts"
@@ -178,8 +207,15 @@ def class_pairs(texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE)
         .join(held.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
     )
-    pairs = both.mapInArrow(exact, "a bigint, b bigint, similarity double")
-    return ids, pairs
+    return both.mapInArrow(exact, "a bigint, b bigint, similarity double")
+
+
+def class_pairs(texts: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): classes (rid, h1, h2) of distinct texts, and pairs (a, b, similarity) of class numbers, a < b,
+    whose shingle sets reach ``least``. The similarity is exact; candidates are missed as the bands allow."""
+    base = signed_classes(texts, shingle)
+    ids = base.select("rid", "h1", "h2")
+    return ids, verified_pairs(texts, ids, candidates_of(base, least), least, shingle)
 
 
 def members(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -190,10 +226,11 @@ def members(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content", least: float = LEAST, shingle: int = SHINGLE, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of different ids whose texts reach the similarity, equal texts included.
 
-    Texts are normalised first; null ids, null and short texts have no pairs; repeated ids count once.
+    Texts are normalised first; null ids, null and short texts have no pairs; repeated ids count once. The result grows with
+    the square of a group of copies; ``duplicate_groups`` does not.
     """
     prepare(df.sparkSession)
-    texts = texts_of(df, id_col, text_col, min_chars)
+    texts = stage(texts_of(df, id_col, text_col, min_chars), "normalised")
     ids, pairs = class_pairs(texts, least, shingle)
     m = stage(members(texts, ids), "members")
     across = (
@@ -202,26 +239,33 @@ def duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "content"
         .join(m.withColumnsRenamed({"rid": "b", "id": "y"}), "b")
         .select("x", "y")
     )
-    copied = m.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid")
+    # Copies of one text are paired block by block, so a class of many is no single key.
+    copied = m.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid", F.ceil(F.col("n") / CLASS_BLOCK).cast("int").alias("blocks"))
     own = m.join(copied, "rid")
-    inside = own.withColumnRenamed("id", "x").join(own.withColumnRenamed("id", "y"), "rid").where("x < y").select("x", "y")
+    left = own.select("rid", F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    right = own.select("rid", F.col("id").alias("y"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"))
+    inside = left.join(right, ["rid", "blk"]).where("x < y").select("x", "y")
     return across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "content", least: float = LEAST, shingle: int = SHINGLE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, group, links): every id that counts, the smallest id of its group (texts connected by similarity, directly
-    or over others) and the number of other classes its text is similar to. One row per id; copies are not paired."""
+    """(id, group): every id that counts and the smallest id of its group: texts connected by similarity, directly or over others.
+
+    One row per id, and no pairs within a large group: first each text is compared with the leaders of its buckets only, then
+    those pairs that lie across the groups found so far; all others would join what is joined already. The groups are
+    those of all verified pairs. A repeated id with differing texts belongs to the group of the smallest id.
+    """
     prepare(df.sparkSession)
-    texts = texts_of(df, id_col, text_col, min_chars)
-    ids, pairs = class_pairs(texts, least, shingle)
-    pairs = stage(pairs.select("a", "b"), "pairs")
-    m = stage(members(texts, ids), "members")
-    part = connected_components(pairs).withColumnsRenamed({"node": "rid"})
-    links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
-    rows = (
-        m.join(part, "rid", "left")
-        .join(links, "rid", "left")
-        .select("id", F.coalesce("component", "rid").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    first = rows.groupBy("component").agg(F.min("id").alias("group"))
-    return rows.join(first, "component").groupBy("id").agg(F.min("group").alias("group"), F.max("links").alias("links"))
+    texts = stage(texts_of(df, id_col, text_col, min_chars), "normalised")
+    base = signed_classes(texts, shingle)
+    ids = base.select("rid", "h1", "h2")
+    first = stage(verified_pairs(texts, ids, candidates_of(base, least, leaders=True), least, shingle).select("a", "b"), "links")
+    part = connected_components(first).withColumnsRenamed({"node": "rid", "component": "part"})
+    parts = stage(base.join(part, "rid", "left").withColumn("part", F.coalesce("part", "rid")), "parts")
+    rest = verified_pairs(texts, ids, candidates_of(parts, least), least, shingle).select("a", "b")
+    named = parts.select("rid", "part")
+    over = rest.join(named.withColumnsRenamed({"rid": "a", "part": "x"}), "a").join(named.withColumnsRenamed({"rid": "b", "part": "y"}), "b")
+    joined = connected_components(over.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnsRenamed({"node": "part"})
+    rows = members(texts, ids).join(named, "rid").join(joined, "part", "left").select("id", F.coalesce("component", "part").alias("component"))
+    low = rows.groupBy("component").agg(F.min("id").alias("group"))
+    return rows.join(low, "component").groupBy("id").agg(F.min("group").alias("group"))

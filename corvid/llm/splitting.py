@@ -57,6 +57,9 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: re.Pattern
         return [(0, len(text))]
     up = (lambda p: p) if at is None else (lambda p: bisect_left(at, p))
     bounds = [[m.end() for m in k.finditer(text)] for k in KINDS]
+    if at is not None:
+        # A boundary within a unit counts at its end: no unit is cut.
+        bounds = [[at[bisect_left(at, p)] for p in b] for b in bounds]
 
     def begin(low: int, end: int) -> int:
         """Where a piece begins that may reach back to ``low`` from ``end``."""
@@ -99,13 +102,14 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: re.Pattern
         start = index(begin(pos(max(back, start + 1)), end) if overlap else end)
 
 
-def pieces(df: DataFrame, id_col: str = "id", text_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_index, start, content): every oversized item cut into pieces within ``limit`` characters.
+def pieces(df: DataFrame, id_col: str = "id", text_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP, unit: str | None = None) -> DataFrame:
+    """(id, chunk_index, start, content): every oversized item cut into pieces within ``limit`` characters, or within so many tokens
+    where ``unit`` is their pattern (whatever lies behind a token belongs to it or to the next).
 
     An item is oversized if its text without white space at both ends is longer than ``limit``; offsets
-    count in that stripped text. Items within the limit, null, empty and blank ones give no rows, repeated
+    count the characters of that stripped text. Items within the limit, null, empty and blank ones give no rows, repeated
     ids count once (the smallest text of differing ones), null ids are dropped, other columns are ignored.
-    The length test runs in the JVM; only oversized texts reach Python.
+    The length test runs in the JVM; only texts longer than ``limit`` characters reach Python.
     """
     prepare(df.sparkSession)
     big = (
@@ -115,11 +119,14 @@ def pieces(df: DataFrame, id_col: str = "id", text_col: str = "content", limit:
         .agg(F.min("content").alias("content"))
     )
 
+    token = re.compile(unit) if unit else None
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, index, starts, parts = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, (a, b) in enumerate(cuts(text, limit, overlap)):
+                parts_of = cuts(text, limit, overlap, token)
+                for k, (a, b) in enumerate(parts_of if len(parts_of) > 1 else ()):
                     ids.append(i)
                     index.append(k)
                     starts.append(a)

@@ -10,7 +10,6 @@ of its terms, and a document has every subject that enough of its sentences trea
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -43,6 +43,8 @@ SAME = 1.15
 OPEN = 0.02
 #: The part of a term's weights that its documents give; the rest stays that of the labelled documents it was verified by.
 TAKEN = 0.5
+#: Bits of a term's number beside a sentence's; there are fewer than 500 times a document's distinct terms.
+BITS = 22
 GRAM = (2, 4)
 #: Shorter pieces, in characters, are no sentences; the second is for those with Chinese characters.
 MIN_LATIN, MIN_CHINESE = 40, 12
@@ -157,27 +159,25 @@ class Finder:
 
             a = ahocorasick.Automaton()
             for i, w in enumerate(self.shared.value[0]):
-                a.add_word(w, (i, len(w), not "一" <= w[0] <= "鿿"))
+                # Chinese runs may stand anywhere, words only between other signs: their length says where they begin.
+                a.add_word(w, (i, 0 if "一" <= w[0] <= "鿿" else len(w)))
             a.make_automaton()
             self.made = a
         return self.made
 
-    def hits(self, sentences: list[str]) -> tuple[list[int], list[int]]:
-        """(sentence, term) numbers of all hits."""
-        at, term = [], []
+    def hits(self, sentences: list[str], out: list[int]) -> None:
+        """Adds sentence << BITS | term for every hit."""
         if not self.shared.value[0]:
-            return at, term
-        a = self.automaton()
+            return
+        find, add = self.automaton().iter, out.append
         for k, s in enumerate(sentences):
-            size = len(s)
-            for e, (i, m, latin) in a.iter(s):
-                if latin:
+            base, size = k << BITS, len(s)
+            for e, (i, m) in find(s):
+                if m:
                     f = e - m
                     if f >= 0 and (s[f].isalnum() or s[f] in "-/`") or e + 1 < size and (s[e + 1].isalnum() or s[e + 1] in "-/`"):
                         continue
-                at.append(k)
-                term.append(i)
-        return at, term
+                add(base | i)
 
 
 def followed(rows: list[tuple[str, int]]) -> np.ndarray:
@@ -201,8 +201,8 @@ def followed(rows: list[tuple[str, int]]) -> np.ndarray:
     return best
 
 
-def sentence_hash(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def hashes_of(sentences: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) for s in sentences], np.uint64).view(np.int64)
 
 
 def sentence_hashes(texts: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def sentence_hashes(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sentence_hash(s) for t in b.column(0).to_pylist() for s in sentences_of(t)], pa.int64())], ["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of([s for t in b.column(0).to_pylist() for s in sentences_of(t)]))], ["hash"])
 
     prepare(texts.sparkSession)
     return texts.where("text IS NOT NULL").select("text").mapInArrow(run, "hash bigint").distinct()
@@ -224,25 +224,33 @@ def term_hits(docs: DataFrame, terms: list[str], follows: np.ndarray, hashes: bo
     sentence and term number, and its edges: the distinct terms that follow no other, with their counts. Terms are found by
     one automaton over each sentence."""
     spark = docs.sparkSession
-    finder = Finder(spark.sparkContext.broadcast((terms, (follows == np.arange(len(terms))).tolist())))
+    finder = Finder(spark.sparkContext.broadcast((terms, follows == np.arange(len(terms)))))
+    low = (1 << BITS) - 1
+
+    def lists(offsets: np.ndarray, values: np.ndarray, kind=np.int32) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = finder.shared.value[1]
         for b in batches:
-            n, hs, at, term, only, tf = [], [], [], [], [], []
+            codes: list[int] = []
+            n, ends, sentences = [], [0], []
             for text in b.column(1).to_pylist():
                 ss = sentences_of(text or "")
-                at_, term_ = finder.hits(ss)
-                c = {t: k for t, k in Counter(term_).items() if own[t]}
+                finder.hits(ss, codes)
                 n.append(len(ss))
-                hs.append([sentence_hash(s) for s in ss] if hashes else [])
-                at.append(at_)
-                term.append(term_)
-                only.append(list(c))
-                tf.append(list(c.values()))
-            ints = pa.list_(pa.int32())
+                ends.append(len(codes))
+                sentences.extend(ss)
+            ends, flat = np.array(ends), np.array(codes, np.int64)
+            term = flat & low
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            edge = own[term] if len(term) else np.zeros(0, bool)
+            edges, tf = np.unique(row[edge] << BITS | term[edge], return_counts=True)
+            at = np.searchsorted(edges, np.arange(b.num_rows + 1) << BITS)
+            size = np.array(n, np.int64) if hashes else np.zeros(b.num_rows, np.int64)
+            hs = hashes_of(sentences) if hashes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(hs, pa.list_(pa.int64())), *[pa.array(x, ints) for x in (at, term, only, tf)]],
+                [b.column(0), pa.array(n, pa.int32()), lists(np.concatenate([[0], np.cumsum(size)]), hs, np.int64), lists(ends, flat >> BITS), lists(ends, term), lists(at, edges & low), lists(at, tf)],
                 ["doc_id", "n", "hashes", "at", "term", "only", "tf"],
             )
 

@@ -156,3 +156,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 yield pa.RecordBatch.from_arrays([batch.column(0), enc.encode_lists(batch.column(1))], [id_col, "ids"])
 
     return df.select(F.col(id_col), words.alias("w")).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, ids array<int>")
+
+
+def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(id, text): the texts of lists of token ids, by the inverse mapping; bytes that are no UTF-8 become the replacement character.
+    Null and empty lists give ''; ids outside the vocabulary fail."""
+    spark = df.sparkSession
+    prepare(spark)
+    model = load_model(spark, vocabulary, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(model.value)
+        for b in batches:
+            texts = [enc.decode(x or []).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
+
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")

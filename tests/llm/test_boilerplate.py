@@ -103,3 +103,13 @@ def test_without_headings_or_rows(spark):
     df = spark.createDataFrame([(1, None, None, "Plain words without any heading, long enough to be a sentence of its own.", None)], RAW)
     assert B.main_lines(df).count() == 1
     assert B.main_lines(df.limit(0)).count() == 0
+
+
+def test_bodies_and_shuffled_lines(spark, rows, monkeypatch):
+    data, want = site(spark)
+    df = spark.createDataFrame(data + [(900, None, None, None, None)], RAW)
+    bodies = {r["page_id"]: r["body"] for r in B.main_bodies(df).collect()}
+    lines = set(rows(B.main_lines(df)))
+    assert bodies[900] == "" and bodies[3] == "\n".join(x for k, x in enumerate(data[3][3].split("\n"), 1) if (3, k) in lines)
+    monkeypatch.setattr(B, "BROADCAST_BYTES", 0)
+    assert set(rows(B.main_lines(df))) == lines

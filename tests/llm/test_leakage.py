@@ -41,3 +41,10 @@ def test_groups_of_items(spark, rows, monkeypatch):
     got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert rows(got) == [(i, i) for i in range(5)]
     assert L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_short_items_and_other_ids(spark, rows):
+    items = [("a", "one two three"), ("b", "one two"), ("c", "x"), ("d", " ".join(f"w{i}" for i in range(12)))]
+    docs = [(1.5, "say one two three again"), (2.5, "one two, end"), (3.5, " ".join(f"w{i}" for i in range(12)))]
+    got = L.leaks(spark.createDataFrame(docs, "doc_id double, text string"), spark.createDataFrame(items, "item_id string, text string"), least=2)
+    assert rows(got) == [(1.5, "a"), (1.5, "b"), (2.5, "b"), (3.5, "d")]

@@ -35,7 +35,13 @@ def test_pairs_and_groups(spark, rows):
     assert got <= want and len(got) >= 0.98 * len(want) and ("copy1", "copy2") in got
     groups = {r["id"]: r for r in D.duplicate_groups(df).collect()}
     assert set(groups) == {i for i, t in data if t and len(" ".join(t.split())) >= 300}
-    assert groups["g00b"]["group"] == groups["copy2"]["group"] == "copy1" and groups["long"]["links"] == 0
+    assert groups["g00b"]["group"] == groups["copy2"]["group"] == "copy1" and groups["long"]["group"] == "long"
+    # Groups are the components of all pairs.
+    name = {i: i for i in groups}
+    for _ in range(10):
+        for a, b in got:
+            name[a] = name[b] = min(name[a], name[b])
+    assert {i: r["group"] for i, r in groups.items()} == name
     assert D.duplicate_pairs(df.limit(0)).count() == 0 and D.duplicate_groups(df.limit(0)).count() == 0
 
 
@@ -49,6 +55,25 @@ def test_hot_bucket(spark, rows, monkeypatch):
     assert set(rows(D.duplicate_pairs(df))) == brute(data)
 
 
+def test_groups_pair_no_cluster_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    data = [(f"h{i:03}", " ".join(base[:-1] + [f"end{i}"])) for i in range(150)] + [(f"o{i}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))) for i in range(20)]
+    seen = []
+    real = D.verified_pairs
+    monkeypatch.setattr(D, "verified_pairs", lambda t, i, c, *a: seen.append(c.count()) or real(t, i, c, *a))
+    groups = {r["id"]: r["group"] for r in D.duplicate_groups(spark.createDataFrame(data, "id string, content string")).collect()}
+    assert groups == {i: "h000" if i[0] == "h" else i for i, _ in data}
+    assert sum(seen) <= 150 * 22
+
+
+def test_copies_are_paired_block_by_block(spark, rows, monkeypatch):
+    monkeypatch.setattr(D, "CLASS_BLOCK", 3)
+    data = [(f"c{i}", "same text " * 40) for i in range(10)]
+    got = rows(D.duplicate_pairs(spark.createDataFrame(data, "id string, content string")))
+    assert got == [(f"c{i}", f"c{j}") for i in range(10) for j in range(i + 1, 10)]
+
+
 def test_sketches_estimate():
     rng = random.Random(3)
     a = "".join(rng.choice("abcdefgh ") for _ in range(3000))

@@ -69,3 +69,10 @@ def test_pieces(spark, rows):
         whole = whole[: r["start"]] + r["content"]
     assert whole == "y" * 75_000
     assert S.pieces(df.limit(0)).count() == 0
+
+
+def test_pieces_by_tokens(spark):
+    df = spark.createDataFrame([("a", "one two three. four five six seven"), ("b", "one two"), ("c", "x" * 90)], "id string, content string")
+    got = S.pieces(df, limit=4, overlap=0, unit=r"\S+\s*").orderBy("chunk_index").collect()
+    assert {r["id"] for r in got} == {"a"} and "".join(r["content"] for r in got) == "one two three. four five six seven"
+    assert all(len(r["content"].split()) <= 4 for r in got)

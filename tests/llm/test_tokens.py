@@ -48,3 +48,10 @@ def test_small_cache(monkeypatch):
 def test_vocabulary_must_be_whole():
     with pytest.raises(ValueError):
         K.serialise([b"a"])
+
+
+def test_decode_inverts(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in K.decode(K.encode(df)).collect()}
+    assert got == {i: (t or "").encode("utf-8", "replace").decode() for i, t in enumerate(TEXTS)}
+    assert K.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")).first()["text"] == ""
