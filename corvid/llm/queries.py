@@ -142,6 +142,21 @@ _VERSIONS = rf"""v AS (SELECT *, lower(chat_id) AS c, lower(regexp_replace(role,
 _OVERSIZED = f"(SELECT id, min(regexp_replace(content, '{_EDGE}', '', 'g')) AS c FROM chunks WHERE id IS NOT NULL GROUP BY id)"
 _SHORT = "(SELECT {0}, w, unnest(list_transform(range(1, greatest(len(w) - {2}, 1)), lambda i: lower(array_to_string(w[i:i+{3}], ' ')))) AS g FROM (SELECT {0}, {1} AS w FROM {4}))"
 
+# All pairs exactly, by the rarest of each text's shingles.
+_NEAR = r"""WITH RECURSIVE n AS (SELECT DISTINCT id, trim(regexp_replace(lower(content), '[\s\v\p{Z}\x{85}]+', ' ', 'g'), ' ') AS t FROM chunks WHERE id IS NOT NULL),
+    x AS (SELECT id, t FROM n WHERE length(t) >= 300), u AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM x)),
+    g AS MATERIALIZED (SELECT DISTINCT k, unnest(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM u),
+    f AS (SELECT g, count(*) AS df FROM g GROUP BY g),
+    r AS MATERIALIZED (SELECT k, g, row_number() OVER (PARTITION BY k ORDER BY df, g) AS r, count(*) OVER (PARTITION BY k) AS c FROM g JOIN f USING (g)),
+    p AS (SELECT k, g, c FROM r WHERE r <= c - ceil(0.7 * c) + 1),
+    cand AS (SELECT DISTINCT a.k AS a, b.k AS b, a.c AS ca, b.c AS cb FROM p a JOIN p b ON a.g = b.g AND a.k < b.k AND a.c >= 0.7 * b.c AND b.c >= 0.7 * a.c),
+    s AS MATERIALIZED (SELECT a, b FROM cand JOIN g x ON x.k = a JOIN g y ON y.k = b AND y.g = x.g GROUP BY a, b, ca, cb HAVING count(*) / (ca + cb - count(*)) >= 0.7),"""
+_NEAR_PAIRS = _NEAR + """ m AS (SELECT id, k FROM x JOIN u USING (t)) SELECT DISTINCT least(i.id, j.id) AS id_a, greatest(i.id, j.id) AS id_b FROM
+    (SELECT a, b FROM s UNION ALL SELECT k, k FROM u) JOIN m i ON i.k = a JOIN m j ON j.k = b WHERE i.id <> j.id"""
+_NEAR_GROUPS = _NEAR + """ e AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), reach(k, root) AS (SELECT k, k FROM u UNION SELECT e.b, root FROM reach JOIN e ON e.a = reach.k),
+    c AS (SELECT k, min(root) AS c FROM reach GROUP BY k), m AS (SELECT id, c FROM x JOIN u USING (t) JOIN c USING (k)), low AS (SELECT c, min(id) AS low FROM m GROUP BY c)
+    SELECT id, min(low) AS "group" FROM m JOIN low USING (c) GROUP BY id"""
+
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_VERSIONS} SELECT c AS chat_id FROM (SELECT c FROM u UNION SELECT c FROM m) WHERE c NOT IN (SELECT u.c FROM u JOIN b ON b.c = u.c AND NOT bad JOIN o ON o.c = u.c)",
     "p2_rebuilt": f"""WITH {_VERSIONS}, good AS (SELECT u.c FROM u JOIN b ON b.c = u.c AND NOT bad JOIN o ON o.c = u.c)
@@ -155,6 +170,8 @@ SQL: dict[str, str] = {
     "p3_found": f"SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND length(regexp_replace(content, '{_EDGE}', '', 'g')) > 1024",
     "p3_cover": f"SELECT id, md5(c) AS hash, true AS linked, true AS within FROM {_OVERSIZED} WHERE length(c) > 1024",
     "p3_tokens": f"SELECT id, md5(c) AS hash, true AS within FROM {_OVERSIZED} WHERE len(regexp_extract_all(c, '{UNIT}')) > 256",
+    "p5_found": _NEAR_PAIRS,
+    "p5_groups": _NEAR_GROUPS,
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents",
     "p7_short": f"""SELECT DISTINCT doc_id, item_id FROM {_SHORT.format('doc_id', _WORDS.format('text'), 4, 5, 'documents')} JOIN {_SHORT.format('item_id', _WORDS.format('text'), 4, 5, 'eval_items')} USING (g)
         UNION SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || lower(array_to_string(w, ' ')) || ' ' AS d FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))

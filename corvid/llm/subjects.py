@@ -27,8 +27,8 @@ from corvid.session import prepare, sent, stage
 SHARE = 0.25
 #: A subject must also hold this share of all sentences, terms or none, so that a mention in junk is no subject.
 LEAST_OF_ALL = 0.05
-#: Rounds end when no term's weight moved by more than TOLERANCE on average, or after so many.
-ROUNDS, TOLERANCE = 12, 0.01
+#: Rounds end when the terms' weights, summed over the subjects, moved by TOLERANCE or less on average, or after so many.
+ROUNDS, TOLERANCE = 12, 0.05
 #: A term is verified if, with 95 % confidence, at least this share of its labelled documents has one subject, and it
 #: stands in at least this share of the labelled documents (which also bounds their number) and in four of them.
 PURITY, TERM_SHARE, TERM_DOCS = 0.3, 0.002, 4
@@ -50,7 +50,8 @@ GRAM = (2, 4)
 MIN_LATIN, MIN_CHINESE = 40, 12
 
 _WORD = re.compile(r"[一-鿿]+|(?<![\w\-/`])[^\W\d_一-鿿]+(?![\w\-/`])")
-_CUT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
+_END = re.compile(r"([.!?])\s+")
+_CHINESE = re.compile(r"[一-鿿]")
 
 
 def terms_of(text: str) -> set[str]:
@@ -74,9 +75,10 @@ def terms_of(text: str) -> set[str]:
 
 def sentences_of(text: str) -> list[str]:
     """The sentences of a text in lower case: cut behind end marks and at line ends; short pieces are no sentences."""
-    return [
-        s for s in _CUT.split(text.lower()) if s and (len(s) >= MIN_LATIN or len(s) >= MIN_CHINESE and any("一" <= c <= "鿿" for c in s))
-    ]
+    text = _END.sub("\\1\n", text.lower()).replace("\r", "\n")
+    for mark in "。！？":
+        text = text.replace(mark, mark + "\n")
+    return [s for s in text.split("\n") if len(s) >= MIN_LATIN or len(s) >= MIN_CHINESE and _CHINESE.search(s)]
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
