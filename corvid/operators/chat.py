@@ -183,6 +183,24 @@ def owned(chats: DataFrame, asks: DataFrame) -> DataFrame:
     return asks.join(c, "chat_id", "left").select("chat_id", "user_id", F.coalesce(F.col("owner") == F.col("user_id"), F.lit(False)).alias("owned"))
 
 
+def apply_owned(chats: DataFrame, messages: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chats, messages, refused) after the asks (chat_id, user_id, action, title) of users to give a chat a ``title``, to ``archive``
+    or to ``delete`` it, with its messages. Asks for unknown chats, by others than the owner or of any other action are refused.
+    Of several titles for a chat the smallest counts; a deletion goes before all else. What a cache holds of the chats that
+    were asked for has to go (``cache.invalidate``)."""
+    own = owned(chats, asks.select("chat_id", "user_id").distinct()).where("owned").select("chat_id", "user_id")
+    known = F.col("action").isin("title", "archive", "delete")
+    good = asks.where(known).join(own, ["chat_id", "user_id"], "left_semi")
+    refused = asks.where(~F.coalesce(known, F.lit(False))).unionByName(asks.where(known).join(own, ["chat_id", "user_id"], "left_anti"))
+    per = good.groupBy(F.col("chat_id").alias("id")).agg(
+        F.min(F.when(F.col("action") == "title", F.col("title"))).alias("_title"), F.max(F.col("action") == "archive").alias("_archive"), F.max(F.col("action") == "delete").alias("_gone")
+    )
+    new = chats.join(per, "id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    new = new.withColumns({"title": F.coalesce("_title", "title"), "is_archived": F.col("is_archived") | F.coalesce("_archive", F.lit(False))}).select(*chats.columns)
+    gone = per.where("_gone").select(F.col("id").alias("chat_id"))
+    return new, messages.join(gone, "chat_id", "left_anti"), refused.select(*asks.columns)
+
+
 def touch_chats(chats: DataFrame, messages: DataFrame) -> DataFrame:
     """Chats with last_message_at brought up to their latest message."""
     last = messages.groupBy(F.col("chat_id").alias("id")).agg(F.max("created_at").alias("_last"))

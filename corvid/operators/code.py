@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvid.functions import html as H
-from corvid.functions.text import col
+from corvid.functions.text import clean_metadata, clean_text_flat, col, valid_text
 from corvid.session import prepare
 
 MIN_CODE = 500
@@ -188,3 +188,11 @@ def restore(chunks: DataFrame, key: str, text: str, blocks: DataFrame) -> DataFr
         lambda t, x: F.replace(F.replace(t, F.concat(F.lit("[CODE_BLOCK:"), x["code_id"], F.lit("]")), fence(x)), F.concat(F.lit("[CODE_BLOCK: "), x["code_id"], F.lit("]")), fence(x)),
     )
     return chunks.select(key, text).join(codes, key, "left").select(key, full.alias(text))
+
+
+def clean_nodes(nodes: DataFrame, key: str, text: str, metadata: str, blocks: DataFrame) -> DataFrame:
+    """(key, text, metadata, code_ids): the older cleaning of nodes: text flat, metadata (a string map) with clean keys and values,
+    the known blocks the text refers to ([] without any); nodes whose clean text is not valid fall out."""
+    clean = nodes.select(key, clean_text_flat(text).alias(text), clean_metadata(metadata).alias(metadata)).where(valid_text(text))
+    none = F.array().cast("array<string>")
+    return clean.join(associate(clean, key, text, blocks), key, "left").withColumn("code_ids", F.coalesce("code_ids", none))

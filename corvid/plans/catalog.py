@@ -279,6 +279,17 @@ def code_association(spark, d):
     return a.select(F.substring_index("doc_id", "#", 1).cast("bigint").alias("page_id"), F.explode("code_ids").alias("code_id")).distinct()
 
 
+@query(
+    rf"""WITH c AS (SELECT id, md5(t) AS hash, CASE WHEN metadata IS NOT NULL AND json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN len(json_keys(metadata)) END AS n_keys
+    FROM (SELECT DISTINCT id, metadata, {sql_flat('content')} AS t FROM chunks) WHERE length(t) >= 10 AND regexp_matches(t, '[a-zA-Z0-9\x{{4E00}}-\x{{9FFF}}]')) SELECT id, hash, n_keys::INT AS n_keys, 0 AS n_codes FROM c"""
+)
+def clean_nodes(spark, d):
+    c = table(spark, d, "chunks").select("id", "content", "metadata").distinct().withColumn("metadata", T.json_map("metadata"))
+    none = spark.createDataFrame([], "code_id string")
+    n = F.when(F.col("metadata").isNotNull(), F.size("metadata"))
+    return code.clean_nodes(c, "id", "content", "metadata", none).select("id", F.md5("content").alias("hash"), n.alias("n_keys"), F.size("code_ids").alias("n_codes"))
+
+
 @query()
 def html_pages(spark, d):
     return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", "article")
@@ -969,6 +980,30 @@ def ownership(spark, d):
     return chat.owned(current(spark, d, "chats", "id", "user_id"), asks)
 
 
+# Asks made of the store itself: every user asks for something of a chat, some for one that is not theirs.
+ASKS = f"""(SELECT c.id AS chat_id, CASE WHEN c.id < '4' THEN (SELECT min(id) FROM {USERS}) ELSE c.user_id END AS user_id, CASE WHEN c.id < '8' THEN 'title' WHEN c.id < 'a' THEN 'archive' WHEN c.id < 'c' THEN 'delete' ELSE 'rename' END AS action,
+    'new ' || left(c.id, 4) AS title FROM {CHATS} c)"""
+
+
+@query(
+    f"""WITH a AS {ASKS}, g AS (SELECT a.* FROM a JOIN {CHATS} c ON c.id = a.chat_id AND c.user_id = a.user_id WHERE action <> 'rename'), n AS (SELECT count(*) AS n, chat_id AS id FROM {MESSAGES} WHERE chat_id IS NOT NULL GROUP BY chat_id)
+    SELECT c.id, coalesce(g.title, c.title) AS title, c.is_archived, coalesce(n, 0) AS n FROM {CHATS} c LEFT JOIN g ON g.chat_id = c.id AND g.action = 'title' LEFT JOIN n ON n.id = c.id WHERE c.id < '8' OR c.id >= 'c'
+    UNION ALL SELECT c.id, c.title, c.is_archived OR g.chat_id IS NOT NULL, coalesce(n, 0) FROM {CHATS} c LEFT JOIN g ON g.chat_id = c.id LEFT JOIN n ON n.id = c.id WHERE c.id >= '8' AND c.id < 'a'
+    UNION ALL SELECT c.id, c.title, c.is_archived, coalesce(n, 0) FROM {CHATS} c LEFT JOIN n ON n.id = c.id WHERE c.id >= 'a' AND c.id < 'c' AND c.id NOT IN (SELECT chat_id FROM g)
+    UNION ALL SELECT 'refused', action, NULL, count(*) FROM a WHERE (chat_id, action) NOT IN (SELECT (chat_id, action) FROM g) GROUP BY action"""
+)
+def owner_services(spark, d):
+    """Chats with the number of their messages after every ask, and the refused asks by action."""
+    c = current(spark, d, "chats", "id", "user_id", "title", "is_archived")
+    first = current(spark, d, "users", "id").agg(F.min("id").alias("first"))
+    action = F.when(F.col("id") < "8", "title").when(F.col("id") < "a", "archive").when(F.col("id") < "c", "delete").otherwise("rename")
+    asks = c.join(F.broadcast(first)).select(F.col("id").alias("chat_id"), F.when(F.col("id") < "4", F.col("first")).otherwise(F.col("user_id")).alias("user_id"), action.alias("action"), F.concat(F.lit("new "), F.left("id", F.lit(4))).alias("title"))
+    new, m, refused = chat.apply_owned(c, current(spark, d, "messages", "id", "chat_id"), asks)
+    n = chat.message_counts(new, m).withColumnRenamed("chat_id", "id")
+    kept = new.join(n, "id").select("id", "title", "is_archived", "n")
+    return kept.unionByName(refused.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(F.lit("refused").alias("id"), F.col("action").alias("title"), F.lit(None).cast("boolean").alias("is_archived"), "n"))
+
+
 @query(f"SELECT c.id, greatest(c.last_message_at, max(m.created_at)) AS last_message_at FROM {CHATS} c LEFT JOIN {MESSAGES} m ON m.chat_id = c.id GROUP BY c.id, c.last_message_at")
 def touch_chats(spark, d):
     return chat.touch_chats(current(spark, d, "chats", "id", "last_message_at"), current(spark, d, "messages", "id", "chat_id", "created_at")).select("id", "last_message_at")

@@ -104,3 +104,21 @@ def test_cache(spark, rows):
     assert rows(merged.select("key", "item", "pos")) == [("z", 4, 0), ("z", 9, 1)]
     lines = spark.createDataFrame([('{"a": 1}',), ("oops",), (None,)], "line string")
     assert rows(cache.rehydrate(lines, "line", "a int")) == [(1,)]
+
+
+def test_apply_owned(spark, chats, messages, rows):
+    asks = [("c1", "u1", "title", "b"), ("c1", "u1", "title", "a"), ("c2", "u1", "delete", None), ("c3", "u1", "archive", None), ("no", "u1", "title", "x"), ("c3", "u2", "sell", None), ("c3", "u2", None, None)]
+    c, m, refused = chat.apply_owned(chats, messages, spark.createDataFrame(asks, "chat_id string, user_id string, action string, title string"))
+    assert rows(c.select("id", "title", "is_archived")) == [("c1", "a", False), ("c3", "named", False)]
+    assert refused.count() == 4 and m.count() == messages.count()
+    _, m, _ = chat.apply_owned(chats, messages, spark.createDataFrame([("c1", "u1", "delete", None)], "chat_id string, user_id string, action string, title string"))
+    assert m.count() == 1
+
+
+def test_cache_fill_and_reads(spark, rows):
+    a = spark.createDataFrame([("a", 1)], "key string, item int")
+    b = spark.createDataFrame([("a", 2), ("b", 3), ("b", 4), ("b", 5), (None, 9)], "key string, item int")
+    assert rows(cache.filled(a, b, "key", ["item"], 2).select("key", "item", "pos")) == [("a", 1, 0), ("b", 4, 0), ("b", 5, 1)]
+    ids = spark.createDataFrame([("u", "x", 0), ("u", "y", 1), ("u", "z", 2)], "key string, id string, pos int")
+    entries = spark.createDataFrame([("x", 1), ("z", 3)], "id string, v int")
+    assert rows(cache.read_entries(ids, entries, "key", "id", 2).select("id", "v")) == [("x", 1)] and cache.read(ids, "key", 1).count() == 1

@@ -168,3 +168,45 @@ def test_fuzzy_against_brute_force(spark, rows):
         near = sorted((edits(a, b), b) for b in words if b[0] == a[0] and edits(a, b) <= allowed)[:50]
         want += [(a, b, e) for e, b in near]
     assert rows(keyword.fuzzy_terms(t, v)) == sorted(want, key=str)
+
+
+def test_bm25_fuzzy_and_path(spark, rows):
+    d = spark.createDataFrame([(1, "pods and nodes", "a/b.md"), (2, "node pool", "c.md"), (3, "other words", "pods")], "doc_id int, text string, path string")
+    q = spark.createDataFrame([(7, "node"), (8, "pods"), (9, "a b c d e f g h node"), (10, " ")], "query_id int, query string")
+    exact = {(r["query_id"], r["doc_id"]) for r in keyword.bm25(d, "doc_id", "text", q, "query_id", "query").collect()}
+    assert exact == {(7, 2), (8, 1), (9, 2)}
+    fuzzy = keyword.bm25(d, "doc_id", "text", q, "query_id", "query", search=keyword.Search(), path="path").orderBy("query_id", "rank").collect()
+    got = [(r["query_id"], r["doc_id"]) for r in fuzzy]
+    # Words within their edits, for short queries only; a query that is the whole path finds its document.
+    assert got[:2] == [(7, 2), (7, 1)] and (8, 3) in got and [x for x in got if x[0] == 9] == [(9, 2)]
+    assert keyword.bm25(d.limit(0), "doc_id", "text", q, "query_id", "query", search=keyword.Search()).count() == 0
+
+
+def test_chinese_tokens_are_marked(spark):
+    h = spark.createDataFrame([("使用配额 quota配额", "额 quota")], "text string, query string")
+    assert keyword.highlights(h, "text", "query", 5).first()["highlights"] == ["使用配<em>额</em> <em>quota</em>配<em>额</em>"]
+
+
+def test_rewritten_and_encoded(spark):
+    q = spark.createDataFrame([(1, "Pod pod Node"), (2, " ")], "query_id int, query string")
+    r = {x["query_id"]: x for x in retrieval.rewritten(q).collect()}
+    assert r[1]["keywords"] == "pod node" and r[1]["semantic_query"] == "Pod pod Node" and r[2]["keywords"] == " "
+    d = spark.createDataFrame([(1, "pod one"), (2, "node two"), (3, "other")], "id int, text string")
+    v = vectors.embed(d, "id", "text", keep=True).drop("error")
+    got = retrieval.retrieve(d, "id", "text", v, "id", "embedding", q, 2, rewriter=retrieval.stand_in_rewrite, make_encoder=vectors.HashingEncoder, cut=4)
+    assert {x["key"] for x in got.where("query_id = 1").collect()} == {"1", "2"}
+
+
+def test_histories(spark):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    m = [("c", f"m{i:02}", t(i), ("user", "AI", "?")[i % 3], f"x{i}") for i in range(20)] + [("d", "n", t(1), "assistant", "only"), ("e", "o", t(1), " Human", "ask"), (None, "p", t(1), "user", "lost")]
+    got = {r["chat_id"]: r for r in context.histories(spark.createDataFrame(m, "chat_id string, id string, created_at timestamp_ntz, role string, content string"), 3).collect()}
+    assert set(got) == {"c", "e"} and got["c"]["question"] == "x18" and [tuple(x) for x in got["c"]["history"]] == [("assistant", "x13"), ("user", "x15"), ("assistant", "x16")]
+    assert got["e"]["history"] == []
+
+
+def test_vector_index_keeps_other_columns(spark):
+    d = spark.createDataFrame([(1, "pod", "x")], "id int, text string, more string")
+    assert vectors.embed(d, "id", "text", keep=True).columns == ["id", "text", "more", "embedding", "error"]

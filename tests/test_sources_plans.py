@@ -121,6 +121,8 @@ def test_pipeline(spark):
     df = spark.range(3)
     p = P.Pipeline().add("double", lambda d: d.selectExpr("id * 2 AS id")).add("one", lambda d: d.limit(1)).enable("one", False)
     assert p(df).count() == 3 and [s["enabled"] for s in p.info()] == [True, False] and p.log[0]["status"] == "success"
+    e = P.Pipeline(eager=True).add("some", lambda d: d.where("id > 0"))
+    assert e(df).count() == 2 and e.log[0]["rows"] == 2
     p.remove("one").add("first", lambda d: d.where("id > 0"), 0)
     assert [s["name"] for s in p.info()] == ["first", "double"]
     with pytest.raises(KeyError):
@@ -166,3 +168,25 @@ def test_streams(spark, tmp_path, rows):
     shutil.rmtree(tmp_path / "c3")
     state.ingest_stream(s, p, str(tmp_path / "out"), str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_staging_and_shared_folder(spark, monkeypatch):
+    import os
+
+    from corvid import session
+
+    before = len(session._STAGED)
+    with session.staging():
+        at = session.stage(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(at)
+    assert not os.path.exists(at) and len(session._STAGED) == before
+    big = spark.createDataFrame([("x" * 1000, [1, 2])], "s string, a array<int>")
+    assert 1000 < session.bytes_of(big) < 1200 and session.bytes_of(big.limit(0)) == 0
+    assert "Broadcast" in spark.range(9).join(session.sent(big.withColumn("id", big.s.cast("bigint"))), "id")._jdf.queryExecution().toString()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster())

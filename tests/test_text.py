@@ -85,3 +85,19 @@ def test_vectors(spark):
     assert [r[0] for r in df.select(F.round(V.cosine("a", "b"), 6)).collect()] == [0.96, None, None, None]
     assert [round(x, 6) for x in df.select(V.l2_normalize("a")).first()[0]] == [0.6, 0.8]
     assert spark.range(1).select(V.distance_score(F.lit(0.5)), V.distance_score(F.lit(-0.5))).first()[1] == 1.0
+
+
+def test_consumed_streams(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from corvid.functions import text as T
+
+    body = ["data: 1\n\nevent: done\ndata: {}\n\ndata: 2\n\n", 'data: 1\n\nevent: error\ndata: {"message": "boom"}\n\n', "data: 1\n\ndata: 2\n\n", ""]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(body)], "i int, b string")
+    got = [(r["x"]["status"], r["x"]["message"], len(r["x"]["events"])) for r in df.select("i", T.sse_consumed("b").alias("x")).orderBy("i").collect()]
+    assert got == [("done", None, 1), ("error", "boom", 1), ("open", None, 2), ("open", None, 0)]
+    assert df.where("i <> 1").select(T.sse_strict("b")).count() == 3
+    with pytest.raises(PySparkException, match="boom"):
+        df.select(T.sse_strict("b")).collect()
+    assert [r[0] for r in spark.createDataFrame([(" Human",), ("AI",), ("System",), ("?",), (None,)], "r string").select(T.canonical_role("r")).collect()] == ["user", "assistant", "system", None, None]
