@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 from corvid.functions.vectors import distance_score, l2_normalize, norm
 from corvid.session import prepare, stage
@@ -123,51 +124,74 @@ def topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, quer
     spark = vectors.sparkSession
     prepare(spark)
     base = usable(vectors, id_col, vec_col)
-    kq, ki = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[id_col]
+    kq = queries.schema[query_id].dataType
     out = None
     for ids, units in query_blocks(queries, query_id, query_vec):
-        shared = spark.sparkContext.broadcast((ids, units))
-        dim = units.shape[1]
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def cut():
-                qi, cos = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-                vid = np.concatenate([h[1] for h in held])
-                o = np.lexsort((vid, -cos, qi))
-                qi, vid, cos = qi[o], vid[o], cos[o]
-                start = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]]))
-                place = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi))))
-                ok = place < k
-                held[:] = [(qi[ok], vid[ok], cos[ok])]
-
-            for b in batches:
-                if not b.num_rows:
+        part = _best_of(base.where(F.size("v") == units.shape[1]), ids, units, kq, k, exclude_self)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], _hits(kq, vectors.schema[id_col].dataType)).withColumn("rank", F.lit(0)).select("query_id", "id", "rank", "cosine")
+    return _ranked(out, k)
+
+
+def _hits(query_kind, id_kind) -> StructType:
+    return StructType([StructField("query_id", query_kind), StructField("id", id_kind), StructField("cosine", DoubleType())])
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "cosine")
+
+
+def _best_of(base: DataFrame, ids: list, units: np.ndarray, query_kind, k: int, exclude_self: bool = False, probed: np.ndarray | None = None) -> DataFrame:
+    """(query_id, id, cosine): of each task's rows of ``base`` (id, v[, cell]) the ``k`` best for every query of the block. With ``probed``
+    (queries x cells) a row is compared with the queries that probe its cell only, cell by cell."""
+    shared = base.sparkSession.sparkContext.broadcast((ids, units, probed))
+    out = _hits(query_kind, base.schema["id"].dataType)
+    qtype, vtype = to_arrow_type(query_kind), to_arrow_type(base.schema["id"].dataType)
+    dim = units.shape[1]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, probed = shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def cut():
+            qi, vid, cos = (np.concatenate([h[x] for h in held]) for x in range(3))
+            o = np.lexsort((vid, -cos, qi))
+            qi, vid, cos = qi[o], vid[o], cos[o]
+            start = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]])) if len(qi) else np.zeros(0, np.int64)
+            place = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi))))
+            ok = place < k
+            held[:] = [(qi[ok], vid[ok], cos[ok])]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            vid = np.array(b.column(0).to_pylist(), dtype=object if pa.types.is_string(b.column(0).type) else None)
+            flat, off = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+            u = _unit(flat[off[0] : off[-1]].reshape(-1, dim).astype(np.float64))
+            if probed is None:
+                groups = [(np.arange(len(qids)), np.arange(len(u)))]
+            else:
+                cell = b.column(2).to_numpy()
+                groups = [(np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+            for qs, rows in groups:
+                if not len(qs):
                     continue
-                vid = np.array(b.column(0).to_pylist(), dtype=object if pa.types.is_string(b.column(0).type) else None)
-                flat, off = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-                u = _unit(flat[off[0] : off[-1]].reshape(-1, dim).astype(np.float64))
-                cos = np.floor((q @ u.T) * 1e6 + 0.5) / 1e6
+                cos = np.floor((q[qs] @ u[rows].T) * 1e6 + 0.5) / 1e6
                 if exclude_self:
-                    cos[np.array(qids, dtype=vid.dtype)[:, None] == vid[None, :]] = -2.0
+                    cos[np.array(qids, dtype=vid.dtype)[qs][:, None] == vid[rows][None, :]] = -2.0
                 m = min(k, cos.shape[1])
                 least = -np.partition(-cos, m - 1, axis=1)[:, m - 1]
                 i, j = np.nonzero((cos >= least[:, None]) & (cos > -2.0))
-                held.append((i, vid[j], cos[i, j]))
-                cut()
+                held.append((qs[i], vid[rows[j]], cos[i, j]))
             if held:
-                i, vid, cos = held[0]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], qtype), pa.array(vid.tolist(), vtype), pa.array(cos)], ["query_id", "id", "cosine"])
+                cut()
+        if held:
+            i, vid, cos = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], qtype), pa.array(vid.tolist(), vtype), pa.array(cos)], out.names)
 
-        qtype, vtype = (pa.string() if t == "string" else pa.int64() if t == "bigint" else pa.int32() for t in (kq, ki))
-        part = base.where(F.size("v") == dim).mapInArrow(best, f"query_id {kq}, id {ki}, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kq}, id {ki}, rank int, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "cosine")
+    return base.mapInArrow(best, out)
 
 
 def with_scores(hits: DataFrame) -> DataFrame:
@@ -249,57 +273,55 @@ def cell_bounds(index: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int,
     return {r["cell"]: (r["n"], r["least"]) for r in near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("least")).collect()}
 
 
-def _open_cells(probed: DataFrame, centroids: dict[int, np.ndarray], bounds: dict[int, tuple[int, float]], first: int) -> DataFrame:
-    """(query_id, qv, cell): the cells behind the ``first`` nearest of a query that may hold a cosine of its ``floor`` or above:
-    a row lies within the cell's angle of the centroid, so no nearer to the query than the centroid's angle less that."""
-    shared = probed.sparkSession.sparkContext.broadcast((centroids, bounds))
-
-    def run(batches):
-        centroids, bounds = shared.value
-        for b in batches:
-            floor = b.column(2).to_numpy()
-            for at, u, c, base in _by_length(b, 1, centroids):
-                sim = u @ c.T
-                angle = np.arccos(np.clip([bounds[base + k][1] if base + k in bounds else 1.0 for k in range(len(c))], -1, 1))
-                best = np.cos(np.maximum(np.arccos(np.clip(sim, -1, 1)) - angle, 0))
-                # Cosines are compared at six places, and the index holds floats.
-                ok = (best >= floor[at][:, None] - 1e-5) & np.isin(np.arange(base, base + len(c)), list(bounds))
-                np.put_along_axis(ok, np.argsort(-sim, axis=1, kind="stable")[:, :first], False, axis=1)
-                i, cell = np.nonzero(ok)
-                rows = pa.array(at[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array((cell + base).astype(np.int32))], ["query_id", "qv", "cell"])
-
-    return probed.select("query_id", "qv", "floor").mapInArrow(run, f"query_id {dict(probed.dtypes)['query_id']}, qv array<float>, cell int")
-
-
 def ivf_search(index: DataFrame, centroids: dict[int, np.ndarray], queries: DataFrame, query_id: str, query_vec: str, k: int = 10, nprobe: int | None = None) -> DataFrame:
-    """(query_id, id, rank, cosine): the best ``k`` rows of the index for each query, by equi-joins on the cell.
+    """(query_id, id, rank, cosine): the best ``k`` rows of the index for each query, from the cells it probes.
 
     Exact by default: the nearest cells are probed first, as many as ``nprobe_for`` says, then every cell whose bound does
     not exclude a hit as good as the k-th so far. With ``nprobe`` only the rows of so many nearest cells are compared, and
-    hits outside them are missed.
+    hits outside them are missed. Queries go to the tasks in blocks; cells that none of a block probes are not read where
+    the index is written by cell, and a row meets only the queries that probe its cell, in one matrix product a cell.
     """
-    from corvid.functions.vectors import cosine
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-
-    def hits(probes: DataFrame) -> DataFrame:
-        return index.join(probes, "cell").select("query_id", "id", F.round(cosine("v", "qv"), 6).alias("cosine"))
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "cosine")
+    spark = index.sparkSession
+    prepare(spark)
+    kq = queries.schema[query_id].dataType
+    bounds = {} if nprobe else cell_bounds(index, centroids)
+    first = nprobe or nprobe_for(sum(n for n, _ in bounds.values()))
+    starts = dict(zip(sorted(centroids), np.cumsum([0, *(len(centroids[d]) for d in sorted(centroids))])))
+    cells = sum(len(c) for c in centroids.values())
 
-    def nearest(cells: int) -> DataFrame:
-        return ivf_assign(queries, query_id, query_vec, centroids, cells).withColumnsRenamed({"id": "query_id", "v": "qv"})
+    def hits(ids: list, units: np.ndarray, probed: np.ndarray) -> DataFrame:
+        some = np.flatnonzero(probed.any(axis=0)).tolist()
+        return _ranked(_best_of(index.where(F.col("cell").isin(some)).select("id", "v", "cell"), ids, units, kq, k, probed=probed), k)
 
-    if nprobe:
-        return best(hits(nearest(nprobe)))
-    bounds = cell_bounds(index, centroids)
-    first = nprobe_for(sum(n for n, _ in bounds.values()))
-    some = stage(best(hits(nearest(first))), "ivf_first")
-    floor = some.where(F.col("rank") == k).select("query_id", F.col("cosine").alias("floor"))
-    q = nearest(1).drop("cell").join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    return best(some.drop("rank").unionByName(hits(_open_cells(q, centroids, bounds, first))))
+    out = None
+    for ids, units in query_blocks(queries, query_id, query_vec):
+        c = centroids.get(units.shape[1])
+        if c is None:
+            continue
+        base = starts[units.shape[1]]
+        sim = units @ c.T
+        probed = np.zeros((len(ids), cells), bool)
+        np.put_along_axis(probed, np.argsort(-sim, axis=1, kind="stable")[:, :first] + base, True, axis=1)
+        part = hits(ids, units, probed)
+        if not nprobe:
+            part = stage(part, "ivf_first")
+            floor = {r["query_id"]: r["cosine"] for r in part.where(F.col("rank") == k).collect()}
+            least = np.array([floor.get(i, -2.0) for i in ids])
+            # A row lies within the cell's angle of the centroid, so no nearer to the query than the centroid's angle less that.
+            # Cosines are compared at six places, and the index holds floats.
+            angle = np.arccos(np.clip([bounds[base + x][1] if base + x in bounds else 1.0 for x in range(len(c))], -1, 1))
+            best = np.cos(np.maximum(np.arccos(np.clip(sim, -1, 1)) - angle, 0))
+            more = np.zeros_like(probed)
+            more[:, base : base + len(c)] = (best >= least[:, None] - 1e-5) & np.isin(np.arange(base, base + len(c)), list(bounds))
+            more &= ~probed
+            if more.any():
+                part = part.drop("rank").unionByName(hits(ids, units, more).drop("rank"))
+            part = _ranked(part, k)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], _hits(kq, index.schema["id"].dataType)).withColumn("rank", F.lit(0)).select("query_id", "id", "rank", "cosine")
+    # An id that several queries' blocks share is ranked once more.
+    return _ranked(out.drop("rank").distinct(), k)
 
 
 def chunks_by_path(chunks: DataFrame, path: str, limit: int = 1000) -> DataFrame:
