@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from corvid.functions.text import strip, tokens
-from corvid.session import sent, stage
+from corvid.operators.vectors import QUERY_BLOCK, Best, ids_of
+from corvid.session import prepare, sent, stage
 
 K1, B = 1.2, 0.75
 #: A character that with its like makes one token.
@@ -49,42 +56,98 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     """(query_id, doc_id, rank, score): the ``k`` best documents of each query by BM25, ties by doc_id, scores at six places.
 
     With ``search.fuzziness`` similar terms of the documents count too, weighted by their likeness. With a ``path`` column a query
-    that is the whole path scores its idf there, and the better of both fields counts (the text times its boost). Texts are read
-    once (twice with fuzzy terms): only the queries' terms and one row of statistics a document leave the scan. Terms are
-    broadcast by their measured bytes. Null and empty texts count as documents without terms.
+    that is the whole path scores its idf there, and the better of both fields counts (the text times its boost). Queries go to
+    the tasks in blocks. For a block each text is read once and counted where it is read; only the numbers of the queries' terms
+    are kept. Scores are summed and cut to the best ``k`` of each query within the tasks, so no document is shuffled by its terms.
+    Null and empty texts count as documents without terms; null ids are dropped.
     """
+    spark = docs.sparkSession
+    prepare(spark)
     terms = query_terms(queries, query_id, query).withColumn("weight", F.lit(1.0))
     if search.fuzziness:
         terms = fuzzy_query_terms(queries, query_id, query, docs.select(F.explode(tokens(text)).alias("term")), search)
-    terms = stage(terms, "terms")
-    # '' is no token: as a term it carries each document's length through the same pass.
-    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
-    tf = (
-        toks.select("doc_id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-        .join(sent(wanted), "term")
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    )
-    tf = stage(tf, "tf")
-    hits = tf.where("term <> ''")
-    stats = tf.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avglen"))
-    weights = terms.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(F.broadcast(stats))
-    idf = lambda df: F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    weights = stage(weights.select("query_id", "term", (idf(F.col("df")) * F.col("weight")).alias("idf"), "avglen"), "idf")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
-    scored = hits.join(sent(weights), "term").groupBy("query_id", "doc_id").agg((F.sum(part) * search.text_boost).alias("score"))
+    listed = stage(terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms")), "terms")
+    kind = StructType([StructField("query_id", queries.schema[query_id].dataType), StructField("doc_id", docs.schema[doc_id].dataType), StructField("score", DoubleType())])
+    toks = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
+    scored = None
+    waiting = listed.toLocalIterator()
+    while block := list(islice(waiting, QUERY_BLOCK)):
+        part = _scored(toks, block, kind, k, search.text_boost)
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        scored = spark.createDataFrame([], kind)
     if path:
+        n = docs.where(F.col(doc_id).isNotNull()).count()
         whole = queries.select(F.col(query_id).alias("query_id"), strip(query).alias("path")).where("path <> ''")
-        at = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path")).join(sent(whole.select("path").distinct()), "path"), "paths")
-        per = at.groupBy("path").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("path", idf(F.col("df")).alias("score"))
-        named = whole.join(per, "path").join(at, "path").select("query_id", "doc_id", "score")
+        at = stage(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path")).join(sent(whole.select("path").distinct()), "path"), "paths")
+        per = at.groupBy("path").agg(F.count(F.lit(1)).alias("df")).select("path", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("score"))
+        named = whole.join(per, "path").join(at, "path").select("query_id", "doc_id", F.round("score", 6).alias("score"))
         scored = scored.unionByName(named).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    scored = scored.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
 
 
+def _scored(toks: DataFrame, block: list, kind: StructType, k: int, boost: float) -> DataFrame:
+    """(query_id, doc_id, score) of a block of queries (query_id, terms): of every task the ``k`` best documents of each."""
+    spark = toks.sparkSession
+    place: dict[str, int] = {}
+    at = np.array([place.setdefault(t["term"], len(place)) for r in block for t in r["terms"]], np.int64)
+    owner = np.repeat(np.arange(len(block)), [len(r["terms"]) for r in block])
+    weight = np.array([t["weight"] for r in block for t in r["terms"]], np.float64)
+    shared = spark.sparkContext.broadcast(place)
+    counts = StructType([kind["doc_id"], *(StructField(c, t) for c, t in (("len", IntegerType()), ("terms", ArrayType(IntegerType())), ("tf", ArrayType(IntegerType()))))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        for b in batches:
+            off = b.column(1).offsets.to_numpy().astype(np.int64)
+            coded = b.column(1).values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+            known = np.array([place.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            term = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            met = term >= 0
+            cells, tf = np.unique(row[met] << 32 | term[met], return_counts=True)
+            ends = pa.array(np.searchsorted(cells, np.arange(b.num_rows + 1) << 32).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (cells & 0xFFFFFFFF, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off).astype(np.int32)), *lists], counts.names)
+
+    rows = stage(toks.mapInArrow(count, counts), "tf")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen")).first()
+    n, avglen = stats["n"], stats["avglen"] or 1.0
+    df = np.zeros(len(place))
+    for r in rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+        df[r["term"]] = r["count"]
+    weight = weight * np.log(1 + (n - df[at] + 0.5) / (df[at] + 0.5)) * boost
+    o = np.argsort(at, kind="stable")
+    sides = spark.sparkContext.broadcast(([r["query_id"] for r in block], owner[o], weight[o], np.searchsorted(at[o], np.arange(len(place) + 1))))
+    qtype, dtype = to_arrow_type(kind["query_id"].dataType), to_arrow_type(kind["doc_id"].dataType)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, owner, weight, first = sides.value
+        held = Best(k)
+        for b in batches:
+            off = b.column(2).offsets.to_numpy().astype(np.int64)
+            term, tf = (b.column(c).values.to_numpy()[off[0] : off[-1]] for c in (2, 3))
+            if not len(term):
+                continue
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            length = b.column(1).to_numpy()[row]
+            s = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avglen))
+            o = np.argsort(term, kind="stable")
+            term, row, s = term[o], row[o], s[o]
+            sums = np.zeros((len(qids), b.num_rows))
+            cut = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1], [True]]))
+            for x, y in zip(cut[:-1], cut[1:]):
+                q = slice(first[term[x]], first[term[x] + 1])
+                sums[np.ix_(owner[q], row[x:y])] += weight[q][:, None] * s[x:y][None, :]
+            held.add(np.arange(len(qids)), ids_of(b.column(0)), np.floor(sums * 1e6 + 0.5) / 1e6, sums > 0)
+        i, ids, score = held.rows()
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], qtype), pa.array(ids.tolist(), dtype), pa.array(score)], kind.names)
+
+    return rows.where(F.size("terms") > 0).mapInArrow(best, kind)
+
+
 def allowed_edits(c):
     """0, 1 or 2 edits for terms of up to 2, 5 and more characters."""
     n = F.length(c)

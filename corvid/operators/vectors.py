@@ -115,6 +115,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as Spark does: numbers, or strings by code points."""
+    return np.array(column.to_pylist())
+
+
+class Best:
+    """The ``k`` best rows of each query, of all that were added: highest score first, equal ones by id."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, []
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, ok: np.ndarray | None = None) -> None:
+        """``scores`` is queries x ids; where ``ok`` is false a row does not count."""
+        if ok is not None:
+            scores = np.where(ok, scores, -np.inf)
+        m = min(self.k, scores.shape[1])
+        least = -np.partition(-scores, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if len(i):
+            self.held.append((queries[i], ids[j], scores[i, j]))
+            self.held = [self.rows()]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, ids, scores) in order."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        q, ids, s = (np.concatenate([h[x] for h in self.held]) for x in range(3))
+        o = np.lexsort((ids, -s, q))
+        q, ids, s = q[o], ids[o], s[o]
+        start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+        ok = place < self.k
+        return q[ok], ids[ok], s[ok]
+
+
 def topk(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, rank, cosine): the ``k`` most similar vectors of every query, cosine at six places, ties by id.
 
@@ -153,21 +188,12 @@ def _best_of(base: DataFrame, ids: list, units: np.ndarray, query_kind, k: int,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, probed = shared.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def cut():
-            qi, vid, cos = (np.concatenate([h[x] for h in held]) for x in range(3))
-            o = np.lexsort((vid, -cos, qi))
-            qi, vid, cos = qi[o], vid[o], cos[o]
-            start = np.flatnonzero(np.concatenate([[True], qi[1:] != qi[:-1]])) if len(qi) else np.zeros(0, np.int64)
-            place = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi))))
-            ok = place < k
-            held[:] = [(qi[ok], vid[ok], cos[ok])]
-
+        names = np.array(qids)
+        held = Best(k)
         for b in batches:
             if not b.num_rows:
                 continue
-            vid = np.array(b.column(0).to_pylist(), dtype=object if pa.types.is_string(b.column(0).type) else None)
+            vid = ids_of(b.column(0))
             flat, off = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             u = _unit(flat[off[0] : off[-1]].reshape(-1, dim).astype(np.float64))
             if probed is None:
@@ -176,20 +202,12 @@ def _best_of(base: DataFrame, ids: list, units: np.ndarray, query_kind, k: int,
                 cell = b.column(2).to_numpy()
                 groups = [(np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]
             for qs, rows in groups:
-                if not len(qs):
-                    continue
-                cos = np.floor((q[qs] @ u[rows].T) * 1e6 + 0.5) / 1e6
-                if exclude_self:
-                    cos[np.array(qids, dtype=vid.dtype)[qs][:, None] == vid[rows][None, :]] = -2.0
-                m = min(k, cos.shape[1])
-                least = -np.partition(-cos, m - 1, axis=1)[:, m - 1]
-                i, j = np.nonzero((cos >= least[:, None]) & (cos > -2.0))
-                held.append((qs[i], vid[rows[j]], cos[i, j]))
-            if held:
-                cut()
-        if held:
-            i, vid, cos = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], qtype), pa.array(vid.tolist(), vtype), pa.array(cos)], out.names)
+                if len(qs):
+                    cos = np.floor((q[qs] @ u[rows].T) * 1e6 + 0.5) / 1e6
+                    held.add(qs, vid[rows], cos, names[qs][:, None] != vid[rows][None, :] if exclude_self else None)
+        i, ids, cos = held.rows()
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in i], qtype), pa.array(ids.tolist(), vtype), pa.array(cos)], out.names)
 
     return base.mapInArrow(best, out)
 

@@ -290,14 +290,37 @@ def clean_nodes(spark, d):
     return code.clean_nodes(c, "id", "content", "metadata", none).select("id", F.md5("content").alias("hash"), n.alias("n_keys"), F.size("code_ids").alias("n_codes"))
 
 
-@query()
+def sql_pieces(x: str) -> str:
+    """The texts between the tags of a page, stripped, empty ones left out."""
+    text = f"regexp_replace({x}, '(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\\b[^>]*>.*?</(?:script|style|noscript|template)>', '<x>', 'g')"
+    plain = "p"
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "©"), ("#39", "''"), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{sign}')"
+    strip = rf"regexp_replace({plain}, '^[\s\v\p{{Z}}\x{{85}}]+|[\s\v\p{{Z}}\x{{85}}]+$', '', 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array({text}, '</?[a-zA-Z][^<>]*>'), lambda p: {strip}), lambda p: p <> '')"
+
+
+def sql_page_letters(x: str) -> str:
+    """Letters and digits of a page's visible text outside the site's blocks."""
+    body = f"coalesce({x}, '')"
+    for tag in T.HTML_BLOCKS:
+        body = f"regexp_replace({body}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '<x>', 'g')"
+    return f"regexp_replace(array_to_string({sql_pieces(body)}, ' '), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+LETTERS = r"[^\p{L}\p{N}]+"
+
+
+@query(f"SELECT page_id, md5({sql_page_letters('content')}) AS hash, 0 AS n_codes FROM {PAGES}")
 def html_pages(spark, d):
-    return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", "article")
+    """Markdown of whole pages, compared by its letters; marks and white space are its own."""
+    m = code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content")
+    return m.select("page_id", F.md5(F.regexp_replace("content", LETTERS, "")).alias("hash"), "n_codes")
 
 
-@query()
+@query(f"SELECT page_id, array_to_string({sql_pieces("coalesce(content, '')")}, chr(10)) AS content, 0 AS n_codes FROM {PAGES}")
 def html_plain(spark, d):
-    return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", "div.td-content", skip_missing=False, legacy=True)
+    return code.html_pages(pages_of(spark, d, "page_id", "content"), "page_id", "content", legacy=True)
 
 
 @query("SELECT page_id, file_size, lower(file_type) AS file_type FROM raw_docs WHERE (ends_with(lower(relative_path), '.html') OR ends_with(lower(relative_path), '.md') OR ends_with(lower(relative_path), '.txt')) AND NOT contains(relative_path, 'lag') AND NOT regexp_matches(relative_path, '(^|/)\\.')")
@@ -1107,8 +1130,15 @@ def stream_last_seen(spark, d):
 # ---------------------------------------------------------------- ingest
 
 
-@query()
+@query(
+    f"""SELECT path, md5(l) AS hash FROM (SELECT coalesce(nullif(relative_path, ''), 'page_' || page_id) AS path, CASE WHEN lower(coalesce(file_type, '')) IN ('.html', '.htm', 'html', 'htm') THEN {sql_page_letters('content')}
+    ELSE regexp_replace(coalesce(content, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END AS l FROM {PAGES}) WHERE l <> ''"""
+)
 def ingest_chunks(spark, d):
-    s = pipeline.Settings(backend="text", selector=None)
+    """The ingest of all pages without overlap: the letters of each document's chunks, in order, are those of its text."""
+    s = pipeline.Settings(backend="text", selector=None, chunk_overlap=0, min_chunk=1)
     docs = files.unique_paths(pages_of(spark, d, "page_id", "relative_path", "file_type", "content"), "relative_path", "page_id")
-    return pipeline.REGISTRY["text"](s)(docs.select("relative_path", "file_type", "content")).select("doc_id", "chunk_index", F.md5("content").alias("hash"))
+    c = pipeline.REGISTRY["text"](s)(docs.select("relative_path", "file_type", "content"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "")
+    letters = F.regexp_replace("t", LETTERS, "")
+    return c.groupBy("relative_path").agg(text.alias("t")).where(letters != "").select(F.col("relative_path").alias("path"), F.md5(letters).alias("hash"))

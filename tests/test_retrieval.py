@@ -214,3 +214,13 @@ def test_histories(spark):
 def test_vector_index_keeps_other_columns(spark):
     d = spark.createDataFrame([(1, "pod", "x")], "id int, text string, more string")
     assert vectors.embed(d, "id", "text", keep=True).columns == ["id", "text", "more", "embedding", "error"]
+
+
+def test_bm25_blocks_and_string_ids(spark, rows, monkeypatch):
+    d = spark.createDataFrame([(f"d{i}", "pod " * (i % 4) + "node") for i in range(30)] + [(None, "pod"), ("e", None)], "doc_id string, text string").repartition(4)
+    q = spark.createDataFrame([(f"q{i}", ("pod", "node", "pod node", "")[i % 4]) for i in range(9)], "query_id string, query string")
+    whole = rows(keyword.bm25(d, "doc_id", "text", q, "query_id", "query", 3))
+    monkeypatch.setattr(keyword, "QUERY_BLOCK", 2)
+    assert rows(keyword.bm25(d, "doc_id", "text", q, "query_id", "query", 3)) == whole and len(whole) == 7 * 3
+    assert [r[1] for r in whole if r[0] == "q0"] == ["d11", "d15", "d19"]
+    assert rows(vectors.topk(vectors.embed(d.where("doc_id IS NOT NULL"), "doc_id", "text"), "doc_id", "embedding", vectors.embed(q, "query_id", "query"), "query_id", "embedding", 1).select("query_id"))[0] == ("q0",)
