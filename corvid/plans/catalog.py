@@ -304,7 +304,7 @@ def sql_page_letters(x: str) -> str:
     """Letters and digits of a page's visible text outside the site's blocks."""
     body = f"coalesce({x}, '')"
     for tag in T.HTML_BLOCKS:
-        body = f"regexp_replace({body}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '<x>', 'g')"
+        body = f"regexp_replace({body}, '(?is)<{tag}(?:[ \\t\\r\\n/][^>]*)?>.*?</{tag}>', '<x>', 'g')"
     return f"regexp_replace(array_to_string({sql_pieces(body)}, ' '), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
