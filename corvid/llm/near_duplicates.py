@@ -137,32 +137,36 @@ def signed_classes(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return stage(base.withColumn("rid", F.monotonically_increasing_id()), "signed")
 
 
-def leader_pairs(starts: np.ndarray, test) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) within buckets: each bucket's first row with all that are close to it, the first of the others with all
-    of those that are close to it, and so on: every row is in one pair at most as the second."""
-    out_i, out_j = [], []
+def leader_pairs(starts: np.ndarray, test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, several): positions within buckets, each bucket's first row with all that are close to it, the first of the others
+    with all of those that are close to it, and so on: every row is in one pair at most as the second. ``several`` are the
+    starts of the buckets with more than one such leader."""
+    out_i, out_j, several = [], [], []
     for a, b in zip(starts[:-1], starts[1:]):
-        rest = np.arange(a, b)
-        while len(rest) > 1:
+        rest, leaders = np.arange(a, b), 0
+        while len(rest):
+            leaders += 1
             hit = test(np.full(len(rest) - 1, rest[0]), rest[1:])
             out_i.append(np.full(int(hit.sum()), rest[0]))
             out_j.append(rest[1:][hit])
             rest = rest[1:][~hit]
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if leaders > 1:
+            several.append(a)
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return join(out_i), join(out_j), np.array(several, np.int64)
 
 
-def candidates_of(base: DataFrame, least: float, leaders: bool = False) -> DataFrame:
-    """(a, b), a < b: the pairs of classes that share a band and whose sketches may reach ``least``. With ``leaders`` only those of
-    ``leader_pairs``, as many as rows at most; if ``base`` has a column ``part``, only pairs of different parts."""
+def copies_of(base: DataFrame, *more: str) -> DataFrame:
+    """A row for every band of a class."""
+    return base.select("rid", "s0", "s1", "s2", "s3", *more, F.explode("keys").alias("key"))
+
+
+def candidates_of(base: DataFrame, least: float, keys: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that share a band and whose sketches may reach ``least``. With ``keys`` (key) only pairs
+    that meet in those buckets and lie in different parts, by the column ``part`` of ``base``."""
     limit = sketch_limit(least)
-    apart = "part" in base.columns
-    if apart:
-        copies = base.select("rid", "s0", "s1", "s2", "s3", "part", F.explode("keys").alias("key"))
-        # Buckets within one part have no such pair: they are dropped before any row meets another.
-        mixed_ = copies.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-        copies = copies.join(sent(stage(mixed_, "mixed")), "key", "left_semi")
-    else:
-        copies = base.select("rid", "s0", "s1", "s2", "s3", F.lit(0).cast("bigint").alias("part"), F.explode("keys").alias("key"))
+    apart = keys is not None
+    copies = copies_of(base, "part").join(sent(keys), "key", "left_semi") if apart else copies_of(base.withColumn("part", F.lit(0).cast("bigint")), "part")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "key"):
@@ -174,15 +178,44 @@ def candidates_of(base: DataFrame, least: float, leaders: bool = False) -> DataF
                 ok = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= limit
                 return ok & (part[i] != part[j]) if apart else ok
 
-            i, j = leader_pairs(at, close) if leaders else near_pairs(at, p, q, blk, close)
+            i, j = near_pairs(at, p, q, blk, close)
             if len(i):
                 a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    found = keyed(copies, "key", "rid", copies=base.count() * BANDS).mapInArrow(verify, "a bigint, b bigint").where("a <> b")
+    n = None if apart else base.count() * BANDS
+    found = keyed(copies, "key", "rid", copies=n).mapInArrow(verify, "a bigint, b bigint").where("a <> b")
     return stage(found.distinct(), "candidates")
 
 
+def led(base: DataFrame, least: float) -> DataFrame:
+    """(key, a, b): the ``leader_pairs`` of all buckets, as class numbers, a < b; and a row with a = b = -1 for every bucket that has
+    several leaders."""
+    limit = sketch_limit(least)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, "key"):
+            at = spans(t, "key")
+            at = at if np.diff(at).max(initial=0) > 1 else at[:1]
+            key, rid = t.column("key").to_numpy(), t.column("rid").to_numpy()
+            words = [t.column(f"s{k}").to_numpy().view(np.uint64) for k in range(4)]
+            # Buckets of one row have nothing to compare.
+            wide = np.flatnonzero(np.diff(at) > 1)
+            i, j, several = [], [], []
+            for x in wide:
+                parts = leader_pairs(at[x : x + 2], lambda i, j, words=words: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= limit)
+                i.append(parts[0])
+                j.append(parts[1])
+                several.append(parts[2])
+            if i:
+                i, j, several = np.concatenate(i), np.concatenate(j), np.concatenate(several)
+                none = np.full(len(several), -1)
+                a, b = np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((key[i], key[several]), (a, none), (b, none))], ["key", "a", "b"])
+
+    return stage(keyed(copies_of(base), "key", "rid", copies=base.count() * BANDS).mapInArrow(verify, "key bigint, a bigint, b bigint"), "led")
+
+
 def verified_pairs(texts: DataFrame, ids: DataFrame, candidates: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
     """(a, b, similarity) of the candidates whose shingle sets reach ``least``, exactly."""
     involved = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(ids, "rid")
@@ -259,10 +292,15 @@ def duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "content
     texts = stage(texts_of(df, id_col, text_col, min_chars), "normalised")
     base = signed_classes(texts, shingle)
     ids = base.select("rid", "h1", "h2")
-    first = stage(verified_pairs(texts, ids, candidates_of(base, least, leaders=True), least, shingle).select("a", "b"), "links")
+    met = led(base, least)
+    candidates = stage(met.where("a >= 0 AND a <> b").select("a", "b").distinct(), "candidates")
+    first = stage(verified_pairs(texts, ids, candidates, least, shingle).select("a", "b"), "links")
+    # A bucket with one leader that all its rows are verified with is one group: only the others hold more to be found.
+    failed = candidates.join(first, ["a", "b"], "left_anti")
+    left = stage(met.where("a < 0").select("key").unionByName(met.join(failed, ["a", "b"]).select("key")).distinct(), "left")
     part = connected_components(first).withColumnsRenamed({"node": "rid", "component": "part"})
     parts = stage(base.join(part, "rid", "left").withColumn("part", F.coalesce("part", "rid")), "parts")
-    rest = verified_pairs(texts, ids, candidates_of(parts, least), least, shingle).select("a", "b")
+    rest = verified_pairs(texts, ids, candidates_of(parts, least, left), least, shingle).select("a", "b")
     named = parts.select("rid", "part")
     over = rest.join(named.withColumnsRenamed({"rid": "a", "part": "x"}), "a").join(named.withColumnsRenamed({"rid": "b", "part": "y"}), "b")
     joined = connected_components(over.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnsRenamed({"node": "part"})
