@@ -203,25 +203,34 @@ def doc_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview("text").alias("preview"))
 
 
+# The contents of the chunks under different names, and none at all for chunks without an index, so every leg is taken.
 @query(
-    """SELECT DISTINCT id, md5(coalesce(nullif(content, ''), CASE WHEN json_valid(metadata) THEN nullif(json_extract_string(metadata, '$.text'), '') END,
-    CASE WHEN json_valid(metadata) THEN nullif(json_extract_string(metadata, '$.content'), '') END)) AS hash FROM chunks"""
+    """WITH c AS (SELECT id, CASE WHEN chunk_index % 3 = 0 THEN content END AS text, CASE WHEN chunk_index % 3 = 1 THEN content END AS content, CASE WHEN chunk_index % 3 = 2 THEN content END AS data, metadata FROM chunks)
+    SELECT DISTINCT id, md5(coalesce(nullif(text, ''), nullif(content, ''), nullif(data, ''), CASE WHEN json_valid(metadata) THEN nullif(json_extract_string(metadata, '$.text'), '') END,
+    CASE WHEN json_valid(metadata) THEN nullif(json_extract_string(metadata, '$.content'), '') END)) AS hash FROM c"""
 )
 def entity_content(spark, d):
-    null = F.lit(None).cast("string")
-    return table(spark, d, "chunks").select("id", F.md5(T.entity_text(null, F.col("content"), null, F.col("metadata"))).alias("hash")).distinct()
+    text, content, data = (F.when(F.col("chunk_index") % 3 == i, F.col("content")) for i in range(3))
+    return table(spark, d, "chunks").select("id", F.md5(T.entity_text(text, content, data, F.col("metadata"))).alias("hash")).distinct()
+
+
+ENTITY_KEYS = {
+    "file_path": "file_path", "file_name": "string_split(file_path, '/')[-1]", "doc_id": "doc_id", "document_title": "CASE WHEN chunk_index = 0 THEN file_path END", "relative_path": "file_path",
+    "chunk_index": "chunk_index::VARCHAR", "creation_date": "CASE WHEN chunk_index > 0 THEN '2025-01-01' END",
+}
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT id, file_path, chunk_index, metadata FROM chunks), m AS (SELECT id, key, json_extract_string(metadata, '$."' || key || '"') AS value FROM
+    f"""WITH c AS (SELECT DISTINCT id, doc_id, file_path, chunk_index, metadata FROM chunks), m AS (SELECT id, key, json_extract_string(metadata, '$."' || key || '"') AS value FROM
     (SELECT id, metadata, unnest(json_keys(metadata)) AS key FROM c WHERE json_valid(metadata) AND json_type(metadata) = 'OBJECT')),
-    e AS (SELECT id, 'file_path' AS key, file_path AS value FROM c UNION ALL SELECT id, 'chunk_index', chunk_index::VARCHAR FROM c)
+    e AS ({" UNION ALL ".join(f"SELECT id, '{k}' AS key, {x} AS value FROM c" for k, x in ENTITY_KEYS.items())})
     SELECT id, key, value FROM m UNION ALL SELECT id, key, value FROM e WHERE value IS NOT NULL AND (id, key) NOT IN (SELECT (id, key) FROM m)"""
 )
 def entity_metadata(spark, d):
-    c = table(spark, d, "chunks").select("id", "file_path", "chunk_index", "metadata").distinct()
-    m = T.merge_metadata(T.json_map("metadata"), {"file_path": F.col("file_path"), "chunk_index": F.col("chunk_index")})
-    return c.select("id", F.explode(m).alias("key", "value"))
+    c = table(spark, d, "chunks").select("id", "doc_id", "file_path", "chunk_index", "metadata").distinct()
+    extra = {"file_path": F.col("file_path"), "file_name": F.substring_index("file_path", "/", -1), "doc_id": F.col("doc_id"), "document_title": F.when(F.col("chunk_index") == 0, F.col("file_path"))}
+    extra |= {"relative_path": F.col("file_path"), "chunk_index": F.col("chunk_index"), "creation_date": F.when(F.col("chunk_index") > 0, F.lit("2025-01-01"))}
+    return c.select("id", F.explode(T.merge_metadata(T.json_map("metadata"), extra)).alias("key", "value"))
 
 
 def _lang_sql(order: list[str]) -> str:
