@@ -24,7 +24,7 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.dropped(table(spark, d, "chats"), table(spark, d, "messages"))
+    return conversations.not_rebuilt(table(spark, d, "chats"), table(spark, d, "messages"))
 
 
 def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:

@@ -105,6 +105,21 @@ def test_rebuilt_takes_in_lost_messages(spark):
     assert {r[0] for r in C.dropped(known, df).collect()} == {"c1", "empty", "gone"}
 
 
+def test_found_takes_in_lost_messages(spark, tmp_path):
+    from corvid.llm.queries import QUERIES
+
+    data = [msg("a", "C1", "user", 1), msg("b", None, "assistant", 2, meta='{"reply_to": "a"}')]  # whole only with b
+    data += [msg("c", "c2", "user", 1), msg("d", "c2", "assistant", 2), msg("e", None, "user", 3, meta='{"quote_of": "d"}')]  # broken by e
+    data += [msg("f", None, "user", 1), msg("g", None, "assistant", 2, meta='{"in_reply_to": "f"}')]  # without a chat
+    data += [msg("h", "gone", "user", 1), msg("i", None, "assistant", 2, meta='{"reply_to": "h"}')]  # not in chats
+    data += [msg("j", "c3", "user", 1), msg("k", None, "assistant", 2, meta='{"reply_to": "j"}'), msg("l", None, "user", 3, meta='{"reply_to": "k"}'), msg("m", None, "bot", 4, meta='{"parent_id": "l"}')]  # whole by a chain
+    data += [msg("n", "c4", "user", 1), msg("o", "c4", "assistant", 2), msg("c4", None, "user", 3)]  # a message named like the chat
+    data += [msg("p", "c5", "user", 1), msg("q", None, "assistant", 2, meta='{"reply_to": "p"}'), msg("q", "c5", "assistant", 2, " ", version=1)]  # the newer version counts
+    spark.createDataFrame(data, MSG).write.parquet(f"{tmp_path}/messages.parquet")
+    chats(spark, "c1", "C2", "c3", "c4", "c5", "empty", None).write.parquet(f"{tmp_path}/chats.parquet")
+    assert sorted(r[0] for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()) == ["c2", "c5", "empty", "gone"]
+
+
 def test_rebuilt_is_registered():
     from corvid.llm.queries import QUERIES
 
